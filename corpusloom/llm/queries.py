@@ -7,11 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm.shared_spans import shared_share, shared_spans
+from corpusloom.llm.similar_vectors import similar_pairs
 from corpusloom.session import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_pairs(read_table(spark, sf_dir, "vectors"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans(read_table(spark, sf_dir, "documents"))
 
