@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusloom.llm.leakage import leaks
 from corpusloom.llm.shared_spans import shared_share, shared_spans
 from corpusloom.llm.similar_vectors import similar_pairs
 from corpusloom.session import read_table
@@ -17,6 +18,14 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_pairs(read_table(spark, sf_dir, "vectors"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans(read_table(spark, sf_dir, "documents"))
 

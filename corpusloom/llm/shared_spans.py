@@ -20,31 +20,19 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.session import cut
+from corpusloom.llm.batches import slices, whole_groups
 from corpusloom.llm.rolling import codes_of, sampled_windows, window_hashes
+from corpusloom.session import cut
 
 SEED_SCHEMA = "h bigint, t bigint, pos int"
 PASSAGE_SCHEMA = "t bigint, partner bigint, p_start int, p_end int, q_start int, q_end int, score double"
 CHARS_AT_ONCE = 48_000  # the arrays of so many characters stay in a core's cache
 
 
-def _slices(pdf: pd.DataFrame, column: str, most: int = CHARS_AT_ONCE) -> Iterator[pd.DataFrame]:
-    """The frame in runs of rows of at most `most` characters (a longer text stands alone)."""
-    sizes = pdf[column].str.len().to_numpy()
-    begin = total = 0
-    for i, n in enumerate(sizes):
-        if i > begin and total + n > most:
-            yield pdf.iloc[begin:i]
-            begin, total = i, 0
-        total += n
-    if len(sizes):
-        yield pdf.iloc[begin:]
-
-
 def _seeds(k: int, w: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for part in _slices(pdf, "text"):
+            for part in slices(pdf, "text", CHARS_AT_ONCE):
                 which, pos, h = sampled_windows(part["text"].tolist(), k, w)
                 yield pd.DataFrame({"h": h.view(np.int64), "t": part["t"].to_numpy()[which], "pos": pos.astype(np.int32)})
 
@@ -102,20 +90,8 @@ def _passages(k: int, gap: float):
         return pd.DataFrame(out, columns=["t", "partner", "p_start", "p_end", "q_start", "q_end", "score"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []  # rows of the last (t, partner), which may go on in the next batch
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            last = (pdf["t"] == pdf["t"].iloc[-1]) & (pdf["partner"] == pdf["partner"].iloc[-1])
-            if last.all() and held and (held[0]["t"].iloc[0], held[0]["partner"].iloc[0]) == (pdf["t"].iloc[0], pdf["partner"].iloc[0]):
-                held.append(pdf)
-                continue
-            ready = pd.concat([*held, pdf[~last]])
-            held = [pdf[last]]
-            if len(ready):
-                yield chains(ready)
-        if held:
-            yield chains(pd.concat(held))
+        for ready in whole_groups(batches, ["t", "partner"]):
+            yield chains(ready)
 
     return run
 

@@ -129,7 +129,7 @@ def nearest_in_cell(unit: np.ndarray, names: np.ndarray, query: np.ndarray, data
     return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, int), np.empty(0, int), np.empty(0))
 
 
-def similar_vectors(vectors: DataFrame, k: int = 10, least: float = -1.0, model: str = "beacon-embed-96", dim: int = 96, probes: int = 2, epsilon: float = 3.0, max_cell: int = 4096) -> DataFrame:
+def similar_vectors(vectors: DataFrame, k: int = 10, least: float = -1.0, model: str = "beacon-embed-96", dim: int = 96, probes: int = 3, epsilon: float = 3.0, max_cell: int = 4096) -> DataFrame:
     """(id, neighbour, cosine): for every usable vector its k most similar others, ties by smaller id.
 
     Cosines are in double precision, rounded to 6 decimals; neighbours below `least` are left out.
