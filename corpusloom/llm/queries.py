@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusloom.llm.code_docs import documented_functions
 from corpusloom.llm.leakage import leaks
 from corpusloom.llm.shared_spans import shared_share, shared_spans
 from corpusloom.llm.similar_vectors import similar_pairs
+from corpusloom.llm.splitting import split_oversized
 from corpusloom.session import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +20,22 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_pairs(read_table(spark, sf_dir, "vectors"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_pieces(spark, sf_dir).select("chunk_id").distinct()
+
+
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_oversized(read_table(spark, sf_dir, "chunks"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_pairs(spark, sf_dir).select("chunk_id").distinct()
+
+
+def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documented_functions(read_table(spark, sf_dir, "chunks"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_leaks(spark, sf_dir).select("doc_id", "item_id")
 
