@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm.code_docs import documented_functions
 from corpusloom.llm.leakage import leaks
+from corpusloom.llm.mixing import mixture
 from corpusloom.llm.shared_spans import shared_share, shared_spans
 from corpusloom.llm.similar_vectors import similar_pairs
 from corpusloom.llm.splitting import split_oversized
+from corpusloom.llm.syntax_check import checked_files, invalid_rates
 from corpusloom.session import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +22,18 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_pairs(read_table(spark, sf_dir, "vectors"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checked_files(read_table(spark, sf_dir, "source_files")).where("not valid").select("file_id")
+
+
+def p2_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checked_files(read_table(spark, sf_dir, "source_files"))
+
+
+def p2_invalid_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return invalid_rates(read_table(spark, sf_dir, "source_files"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_pieces(spark, sf_dir).select("chunk_id").distinct()
 
@@ -44,6 +58,14 @@ def p6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
 
 
+def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets"))[1]
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans(read_table(spark, sf_dir, "documents"))
 
