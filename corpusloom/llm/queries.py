@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from corpusloom.llm.code_docs import documented_functions
 from corpusloom.llm.leakage import leaks
 from corpusloom.llm.mixing import mixture
+from corpusloom.llm.provenance import provenance
 from corpusloom.llm.shared_spans import shared_share, shared_spans
 from corpusloom.llm.similar_vectors import similar_pairs
 from corpusloom.llm.splitting import split_oversized
@@ -34,6 +35,14 @@ def p2_invalid_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return invalid_rates(read_table(spark, sf_dir, "source_files"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_provenance(spark, sf_dir).where("not by_hand").select("file_id")
+
+
+def p3_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return provenance(read_table(spark, sf_dir, "source_files"), read_table(spark, sf_dir, "packages"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_pieces(spark, sf_dir).select("chunk_id").distinct()
 
