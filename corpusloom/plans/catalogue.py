@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusloom.plans import evidence, scalars, scans, search, storing
+
 Query = Callable[[SparkSession, str], DataFrame]
-SECTIONS: list = []
+SECTIONS = [search, scalars, storing, evidence, scans]
 
 
 def queries() -> dict[str, Query]:
