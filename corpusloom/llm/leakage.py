@@ -107,12 +107,12 @@ def leaked_tiles(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item
 
     Words are the maximal runs of [a-z0-9_] in the lower-cased text. If the items have at most
     `most_broadcast` seeds, their hashes filter the documents' seeds inside the tasks; beyond that all seeds
-    are joined by shuffle. Null or short texts give no row; equal documents each give their own rows.
+    are joined by shuffle. Rows with a null id or text and short texts give no row; equal documents each give their own rows.
     """
-    item_seeds = items.where(F.col(text).isNotNull()).select(F.col(item_id).cast("bigint").alias("id"), F.col(text).alias("text")).mapInPandas(_seeds(least, None), SEED_SCHEMA)
+    item_seeds = items.where(F.col(text).isNotNull() & F.col(item_id).isNotNull()).select(F.col(item_id).cast("bigint").alias("id"), F.col(text).alias("text")).mapInPandas(_seeds(least, None), SEED_SCHEMA)
     few = [r[0] for r in item_seeds.select("h").distinct().limit(most_broadcast + 1).toLocalIterator()]
     wanted = np.sort(np.array(few, dtype=np.int64).view(np.uint64)) if len(few) <= most_broadcast else None
-    doc_seeds = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text")).mapInPandas(_seeds(least, wanted), SEED_SCHEMA)
+    doc_seeds = docs.where(F.col(text).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text")).mapInPandas(_seeds(least, wanted), SEED_SCHEMA)
     right = item_seeds.select("h", F.col("id").alias("item"), F.col("pos").alias("other"), F.col("n_words").alias("item_words"))
     if wanted is not None:
         right = F.broadcast(right)

@@ -44,8 +44,8 @@ def _count(path: str):
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", tokenizer: str = TOKENIZER) -> DataFrame:
-    """(id, source, tokens) with the source in clean spelling; rows without text are dropped."""
-    rows = docs.where(F.col("text").isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), clean_source(F.col("source")).alias("source"), "text")
+    """(id, source, tokens) with the source in clean spelling; rows without id or text are dropped."""
+    rows = docs.where(F.col("text").isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), clean_source(F.col("source")).alias("source"), "text")
     return rows.mapInPandas(_count(tokenizer), "id bigint, source string, tokens bigint")
 
 

@@ -87,5 +87,26 @@ def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()}
 
 
+_P1 = """WITH latest AS (SELECT chunk_id, dense FROM vectors WHERE model = 'beacon-embed-96' AND chunk_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY embedded_at DESC NULLS LAST) = 1),
+u AS (SELECT chunk_id, dense::DOUBLE[] AS v FROM latest WHERE len(dense) = 96 AND len(list_filter(dense, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(dense, lambda x: x <> 0)) > 0),
+near AS (SELECT a.chunk_id AS a, b.chunk_id AS b, round(list_cosine_similarity(a.v, b.v), 6) AS c FROM u a JOIN u b ON a.chunk_id <> b.chunk_id QUALIFY row_number() OVER (PARTITION BY a.chunk_id ORDER BY c DESC, b.chunk_id) <= 10)
+SELECT DISTINCT least(a, b) AS chunk_id_a, greatest(a, b) AS chunk_id_b FROM near WHERE c >= 0.8"""
+_P6 = """WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS w FROM documents), i AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS w FROM eval_items),
+dg AS (SELECT doc_id, array_to_string(w[p:p + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS p FROM d)), ig AS (SELECT DISTINCT item_id, array_to_string(w[p:p + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS p FROM i))
+SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)"""
+_P8 = """WITH w AS (SELECT doc_id, p, hash(substr(text, p + 1, 400)) AS h FROM (SELECT doc_id, text, unnest(range(0, length(text) - 399)) AS p FROM documents WHERE length(text) >= 400)),
+shared AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id)),
+hit AS (SELECT doc_id, p, coalesce(p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 400, true) AS fresh FROM w WHERE h IN (SELECT h FROM shared)),
+island AS (SELECT doc_id, p, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM hit)
+SELECT doc_id, min(p) AS span_start, max(p) + 400 AS span_end FROM island GROUP BY doc_id, k"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """For those that SQL can state; the other operators are tested against brute force or by round trips."""
+    return {
+        "p1_found": _P1,
+        "p4_found": "SELECT DISTINCT chunk_id FROM chunks WHERE length(text) > 2000",
+        "p6_found": _P6,
+        "p8_found": _P8,
+        "p8_shared_share": f"WITH s AS (SELECT doc_id, sum(span_end - span_start)::BIGINT AS n FROM ({_P8}) GROUP BY doc_id) SELECT doc_id, coalesce(length(text), 0) AS n_chars, coalesce(n, 0) AS shared_chars, coalesce(coalesce(n, 0) / nullif(length(text), 0), 0)::DOUBLE AS shared_ratio FROM documents LEFT JOIN s USING (doc_id)",
+    }

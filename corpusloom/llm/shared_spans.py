@@ -113,8 +113,8 @@ def _windows(min_len: int, pad: int):
 
 
 def text_classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, t, n, text) with t the class of equal texts; null texts are dropped."""
-    return docs.where(F.col(text_col).isNotNull()).select(
+    """(id, t, n, text) with t the class of equal texts; rows with a null id or text are dropped."""
+    return docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("t"), F.length(text_col).alias("n"), F.col(text_col).alias("text")
     )
 
@@ -146,7 +146,7 @@ def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, span_start, span_end): merged stretches covered by windows of min_len characters that another row holds too.
 
     Rows whose whole text occurs in another row (at least min_len characters) come out as one span.
-    Repetition inside one row doesn't count. Null, empty and shorter texts give no row; offsets are
+    Repetition inside one row doesn't count. Rows with a null id and null, empty and shorter texts give no row; offsets are
     in code points, end exclusive. Other columns of docs are ignored.
     """
     base = text_classes(docs, id_col, text_col)
