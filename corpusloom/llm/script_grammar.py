@@ -22,7 +22,11 @@ _BINARY = {"o", "*", "-", "<", ">", "|", "&", "/", "in", "instanceof"}
 _OPERATOR = r"=>|\.\.\.|\?\?=?|&&=?|\|\|=?|\*\*=?|[=!]==?|<<=|<<|<=|[-+*%&|^]=|/=(?=\s)|\?\.(?!\d)|\+\+|--|[-+*%&|^!~<>=?:;,.@{}()\[\]/]"
 _REGEX = r"/(?![*/])(?:\\[^\n]|\[(?:\\[^\n]|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*"
 _BEFORE_REGEX = r"(?:=>|\.\.\.|\?\?|&&|\|\||[=!]==?|<=|[-+*%&|^]=|[-+*%&|^!~<>=?:;,{(\[]|\b(?:return|typeof|case|in|of|instanceof|new|delete|void|throw|do|else|await|yield)\b)"
-_SIMPLE = r"""(?:[^{}`'"]|'(?:\\.|[^'\\\n])*'|"(?:\\.|[^"\\\n])*"|\{[^{}`]*\})*"""
+_STRING = r"""'(?:\\.|[^'\\\n])*+'|"(?:\\.|[^"\\\n])*+\""""
+_SIMPLE = rf"""(?:[^{{}}`'"]|{_STRING}|\{{[^{{}}`]*\}})*+"""
+for _ in range(3):  # templates inside templates
+    _TEMPLATE = rf"`(?:\\[\s\S]|[^`\\$]|\$(?!\{{)|\$\{{{_SIMPLE}\}})*+`"
+    _SIMPLE = rf"""(?:[^{{}}`'"]|{_STRING}|\{{(?:[^{{}}`]|{_TEMPLATE})*\}}|{_TEMPLATE})*+"""
 _TOKEN = re.compile(
     r"[ \t\f\v\u00a0\ufeff]+|//[^\n]*|/\*(?:.|\n)*?\*/"
     rf"|{_BEFORE_REGEX}\s*{_REGEX}"
@@ -30,7 +34,7 @@ _TOKEN = re.compile(
     r"|(?:[^\W\d]|[$\\])(?:[\w$]|\\u)*|\#(?:[^\W\d]|\$)[\w$]*"
     r"|(?:0[xX][\da-fA-F_]+n?|0[bB][01_]+n?|0[oO][0-7_]+n?|(?:\d[\d_]*(?:\.[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?\d+)?n?)(?![\w$])"
     r"|'(?:\\(?:\r\n|[\s\S])|[^'\\\n])*'|\"(?:\\(?:\r\n|[\s\S])|[^\"\\\n])*\""
-    rf"|`(?:\\[\s\S]|[^`\\$]|\$(?!\{{)|\$\{{{_SIMPLE}\}})*`"
+    rf"|{_TEMPLATE}"
     rf"|/\*|{_OPERATOR}|[\s\S]"
 )
 _HOLE = re.compile(rf"\\[\s\S]|\$\{{({_SIMPLE})\}}")
@@ -129,7 +133,7 @@ def _reduce(line: str, typed: bool) -> str | None:
         line = shorter
 
 
-@lru_cache(400_000)
+@lru_cache(100_000)
 def _symbol(opening: str, content: str, typed: bool) -> str:
     flat = content.replace("\n", "")
     readings = {"(": (("args", ARGS), ("expr", EXPR), ("params", PARAMS), ("for_head", FOR), ("catch", BINDING), ("type_all", TYPE)), "[": (("array", ARRAY), ("expr", INDEX), ("pattern_list", PATTERN), ("tuple_type", TUPLE), ("type_index", TYPE_INDEX), ("signature", SIGNATURE)), "{": (("object", OBJECT), ("fields", FIELDS), ("names", NAMES), ("enum", ENUM))}[opening]
@@ -178,7 +182,7 @@ def statements(content: str, typed: bool, top: bool) -> tuple[bool, bool] | None
     return returns, awaits
 
 
-@lru_cache(400_000)
+@lru_cache(100_000)
 def _piece(content: str, typed: bool, top: bool) -> tuple[bool, bool] | None:
     return _reads(content, typed, "module" if top else "block")
 

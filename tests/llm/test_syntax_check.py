@@ -23,7 +23,7 @@ var o = { a, 'b': 1, 3: 2, [c]: 3, get d() { return 1 }, set d(v) { }, async *e(
 export { a as b, c as default } from 'x'; export * as ns from 'y'; import d, { e as f } from 'z' with { type: 'json' }
 if (a) function q() { }
 var async = 1, of = 2, get = 3; async = of; x = async (1)
-0x1F + 1_000n + .5e-3 + 1. ; a = b
+0x1F + 1_000n + .5e-3 + 1. ; a = b;
 /re/.test(c)
 """.lstrip()
 TYPED = """
@@ -62,7 +62,7 @@ def test_errors(bad):
 def test_judgement():
     assert judge("def f(:\n", "python") == (False, None)
     assert judge("def f():\n    return 1\n", "typescript") == (False, "python")
-    assert judge("", "python") == (True, None) and judge("", "json") == (False, "javascript") or True
+    assert judge("", "python") == (True, None)
     assert judge("", "json")[0] is False and judge("{\"a\": NaN}", "json")[0] is False and judge('{"a": [1]}', "json")[0] is True
     assert judge("# ] (", "markdown") == (True, None) and judge("x", None) == (None, None)
     assert judge("[" * 100_000, "json")[0] is False and judge("(" * 5000 + ")" * 5000, "javascript")[0] is False
