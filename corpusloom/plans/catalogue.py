@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.plans import evidence, scalars, scans, search, storing
+from corpusloom.plans import evidence, rollups, scalars, scans, search, storing
 
 Query = Callable[[SparkSession, str], DataFrame]
-SECTIONS = [search, scalars, storing, evidence, scans]
+SECTIONS = [search, scalars, storing, evidence, scans, rollups]
 
 
 def queries() -> dict[str, Query]:
