@@ -18,7 +18,7 @@ def term_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def top(scored: DataFrame, by: str, id_col: str, k: int, score: str = "score") -> DataFrame:
     """The k best rows per `by`, ranked from 1; ties by smaller id."""
     order = Window.partitionBy(by).orderBy(F.col(score).desc(), F.col(id_col))
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return scored.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k)
 
 
 def sparse_scores(docs: DataFrame, queries: DataFrame, id_col: str, query_id: str, text_col: str = "text") -> DataFrame:
@@ -71,9 +71,14 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col:
                     a, b = np.array(q["v"].tolist()), np.array(own["v"].tolist())
                     a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (a, b))
                     names, score = own["id"].to_numpy(), np.round(a @ b.T, 6)
+                    asking, kept, scores = [], [], []
                     for i, query in enumerate(q["id"].to_numpy()):
-                        best = np.lexsort((names, -score[i]))[:k]
-                        yield pd.DataFrame({"query_id": query, "id": names[best], "score": score[i][best]})
+                        near = np.flatnonzero(score[i] >= np.partition(score[i], -k)[-k]) if len(names) > k else np.arange(len(names))
+                        best = near[np.lexsort((names[near], -score[i][near]))[:k]]
+                        asking += [query] * len(best)
+                        kept.append(names[best])
+                        scores.append(score[i][best])
+                    yield pd.DataFrame({"query_id": asking, "id": np.concatenate(kept), "score": np.concatenate(scores)})
 
         found = rows.mapInPandas(local, f"query_id {ids}, id {ids}, score double")
         out = found if out is None else out.unionByName(found)

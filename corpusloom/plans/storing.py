@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusloom.operators import code as C
 from corpusloom.operators import markdown as M
 from corpusloom.operators import store as S
 from corpusloom.session import read_table
@@ -102,7 +103,7 @@ def cache_hit_rate(spark, sf_dir):
 
 @query("SELECT user_id, last_access, bytes, sum(bytes) OVER w <= 4000 AND row_number() OVER w <= 100 AS keep FROM (SELECT user_id, max(ts) AS last_access, max(length(coalesce(props, ''))) AS bytes FROM events GROUP BY user_id) WINDOW w AS (ORDER BY last_access DESC, user_id)")
 def cache_evict(spark, sf_dir):
-    log = read_table(spark, sf_dir, "events").select("user_id", "ts", F.length(F.coalesce("props", F.lit(""))).alias("size"))
+    log = read_table(spark, sf_dir, "events").select("user_id", "ts", F.length(F.coalesce("props", F.lit(""))).cast("bigint").alias("size"))
     return S.cache_keep(log, "user_id", "ts", "size", 4000, 100)
 
 
@@ -133,3 +134,25 @@ def md_section_chunks(spark, sf_dir):
 @query()
 def chunk_markdown(spark, sf_dir):
     return M.pack_paragraphs(M.sections(read_table(spark, sf_dir, "documents"), "doc_id"))
+
+
+_PARTS = f"""SELECT file_id, hash || '-' || start_line || '-' || symbol_name AS chunk_id, symbol_type, symbol_name, start_line, end_line, chunk FROM (SELECT file_id, hash, min(line)::INTEGER AS start_line, max(line)::INTEGER AS end_line, string_agg(content, chr(10) ORDER BY line) AS chunk, max(CASE WHEN head THEN content END) AS f,
+CASE WHEN f IS NULL THEN '<module>' ELSE coalesce(nullif(regexp_extract(f, '{C.NAME}', 1), ''), '<anonymous>') END AS symbol_name,
+CASE WHEN f IS NULL THEN 'module' WHEN regexp_matches(f, '\\b(?:function|def)\\b|=\\s*(?:async\\s*)?\\(') THEN 'function' WHEN regexp_matches(f, '\\bclass\\b') THEN 'class' WHEN regexp_matches(f, '\\b(?:interface|enum|type)\\b') THEN 'other' ELSE 'module' END AS symbol_type
+FROM (SELECT *, sum(head::INT) OVER (PARTITION BY file_id ORDER BY line) AS part FROM (SELECT file_id, hash, line, content, regexp_matches(content, '{C.BOUNDARY}') AS head FROM (SELECT file_id, substr(sha256(text), 1, 16) AS hash, unnest(range(0, len(string_split(text, chr(10))))) AS line, unnest(string_split(text, chr(10))) AS content FROM source_files WHERE text IS NOT NULL AND NOT ends_with(path, '.md') AND NOT ends_with(path, '.json')))) GROUP BY file_id, hash, part) WHERE regexp_matches(chunk, '\\S')"""
+
+
+def _code(spark, sf_dir):
+    files = read_table(spark, sf_dir, "source_files")
+    return C.chunk_code(files.where(~F.col("path").endswith(".md") & ~F.col("path").endswith(".json")))
+
+
+@query(_PARTS)
+def chunk_code(spark, sf_dir):
+    return _code(spark, sf_dir)
+
+
+@query(f"SELECT file_id, count(*) AS chunks, count(DISTINCT symbol_name) AS symbols, sum(length(chunk))::BIGINT AS chars FROM ({_PARTS}) GROUP BY file_id")
+def index_single(spark, sf_dir):
+    """What indexing a file yields."""
+    return _code(spark, sf_dir).groupBy("file_id").agg(F.count("*").alias("chunks"), F.countDistinct("symbol_name").alias("symbols"), F.sum(F.length("chunk")).alias("chars"))

@@ -16,10 +16,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach: spark.checkpoint.dir where the session has it.
 
-    A private temporary folder is set only where the setting is absent, as in local tests.
+    A private temporary folder is set only in local mode without that setting, as in tests; a cluster without it is an error.
     """
     given = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
     if not given:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         given = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", given)
     return given

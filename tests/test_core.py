@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.functions.paths import code_language
+from corpusloom.operators import code as C
 from corpusloom.operators import evidence as E
 from corpusloom.operators import graph as G
 from corpusloom.operators import markdown as M
 from corpusloom.operators import retrieval as R
 from corpusloom.operators import store as S
+from corpusloom.sources.files import scan_files
 from corpusloom.streaming import ingest
 
 
@@ -56,7 +58,7 @@ def test_sections_and_packing(spark):
 
 
 def test_fusion(spark):
-    leg = lambda names: spark.createDataFrame([(1, n, i + 1) for i, n in enumerate(names)], "q int, id string, rank int")
+    leg = lambda names: spark.createDataFrame([(1, n, i + 1) for i, n in enumerate(names)], "q int, id string, rank bigint")
     got = {r["id"]: r["score"] for r in R.rrf(leg("abcd"), leg("cae"), "q", "id").collect()}
     assert got == {"a": 0.833333, "c": 0.75, "b": 0.333333, "e": 0.25, "d": 0.2}
 
@@ -128,3 +130,17 @@ def test_streams(spark, tmp_path):
         q.stop()
     assert spark.table("lookups").agg(F.sum("lookups")).first()[0] == 5
     assert {tuple(r) for r in spark.table("hits").where("key = 'a'").groupBy().sum("hits", "misses").collect()} == {(2, 1)}
+
+
+def test_code_chunks(spark):
+    text = "import a from 'a';\n\nexport class K {\n  m() {}\n}\nconst f = async (x) => {\n  return x;\n};\n"
+    df = spark.createDataFrame([(1, text, "x"), (2, None, "x"), (3, " \n", "x")], "file_id int, text string, line string")
+    got = [(r["symbol_type"], r["symbol_name"], r["start_line"], r["end_line"]) for r in C.chunk_code(df).orderBy("start_line").collect()]
+    assert got == [("module", "<module>", 0, 1), ("class", "K", 2, 4), ("function", "f", 5, 8)]
+
+
+def test_file_scan(spark, tmp_path):
+    for path, text in (("a.ts", "x"), ("b/c.md", "é"), ("node_modules/d.js", "x"), ("e.txt", "x"), (".git/f.js", "x")):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text, encoding="utf-8")
+    assert {(r["path"], r["text"]) for r in scan_files(spark, str(tmp_path)).collect()} == {("a.ts", "x"), ("b/c.md", "é")}
