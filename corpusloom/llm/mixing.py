@@ -22,7 +22,7 @@ from corpusloom.session import cut
 TOKENIZER = os.environ.get("CORPUSLOOM_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: Fixed value: the pattern that splits text for this tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MAX_SHARDS = 1024
+MAX_SHARDS = 16_384
 
 
 def clean_source(source: Column) -> Column:
