@@ -205,3 +205,36 @@ def similar_pairs(vectors: DataFrame, k: int = 10, least: float = 0.8, **options
     """(chunk_id_a, chunk_id_b), a < b, of which either is among the other's k nearest, with cosine of at least `least`."""
     near = similar_vectors(vectors, k, least, **options)
     return near.select(F.least("id", "neighbour").alias("chunk_id_a"), F.greatest("id", "neighbour").alias("chunk_id_b")).distinct()
+
+
+def search_vectors(vectors: DataFrame, asked: DataFrame, k: int = 10, least: float = -1.0, model: str = "beacon-embed-96", dim: int = 96, epsilon: float = 3.0, block: int = 1024) -> DataFrame:
+    """(id, neighbour, cosine): the k nearest among all usable vectors of those whose chunk_id is in asked(id); ties by smaller id.
+
+    All codes are scanned, so only the error bound (epsilon) can lose a neighbour. Queries are taken in blocks of
+    about `block` rows and sent to every task; each batch keeps its own k best, and only those are shuffled.
+    """
+    spark = vectors.sparkSession
+    usable = cut(usable_vectors(vectors, model, dim), "vectors")
+    wanted = usable.join(asked.select("id").distinct(), "id", "left_semi")
+    turn = spark.sparkContext.broadcast(rotation(dim))
+    parts = max(1, -(-wanted.count() // block))
+    found = None
+    for part in range(parts):
+        some = wanted.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part).toPandas()  # about one block
+
+        def scan(batches, some=some):
+            names, own = some["id"].to_numpy(), _matrix(some["dense"]).reshape(-1, dim)
+            for pdf in batches:
+                if not (len(pdf) and len(some)):
+                    continue
+                every = np.concatenate([names, pdf["id"].to_numpy()])
+                unit = _unit(np.concatenate([own, _matrix(pdf["dense"])]).astype(np.float64))
+                # a query's own row comes along as data; one more place is kept for it
+                i, j, cosine = nearest_in_cell(unit, every, np.arange(len(own)), np.arange(len(own), len(every)), turn.value, k + 1, least, epsilon)
+                out = pd.DataFrame({"id": every[i], "neighbour": every[j], "cosine": cosine})
+                yield out[out["id"] != out["neighbour"]]
+
+        near = usable.mapInPandas(scan, "id string, neighbour string, cosine double")
+        found = near if found is None else found.unionByName(near)
+    place = Window.partitionBy("id").orderBy(F.col("cosine").desc(), "neighbour")
+    return found.withColumn("n", F.row_number().over(place)).where(F.col("n") <= k).drop("n")

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from corpusloom.llm.similar_vectors import OneBitCodes, rotation, similar_pairs, similar_vectors
+from corpusloom.llm.similar_vectors import OneBitCodes, rotation, search_vectors, similar_pairs, similar_vectors
 
 SCHEMA = "chunk_id string, model string, dense array<float>, embedded_at timestamp_ntz, id int"
 
@@ -64,3 +64,15 @@ def test_estimates_stay_within_their_bounds():
     u = (u / np.linalg.norm(u, axis=1, keepdims=True) @ rotation(96)).astype(np.float32)
     codes = OneBitCodes(u, 3.0)
     assert (np.abs(codes.estimate(u[:50]) - u[:50] @ u.T) <= codes.error + 0.02).mean() > 0.99
+
+
+def test_search_scans_everything(spark):
+    m = clusters(700)
+    names = [f"v{i:03d}" for i in range(len(m))]
+    df = table(spark, list(zip(names, m)))
+    asked = spark.createDataFrame([(n,) for n in [*names[::50], "nobody", None]], "id string")
+    want = {(a, b) for a, b in brute(names, m, 7, -1.0) if a in names[::50]}
+    for block in (5, 1000):
+        got = {(r["id"], r["neighbour"]) for r in search_vectors(df, asked, 7, model="m", dim=16, epsilon=6.0, block=block).collect()}
+        assert got == want
+    assert search_vectors(df, asked.limit(0), model="m", dim=16).count() == 0 == search_vectors(df.limit(0), asked, model="m", dim=16).count()
