@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import keywords
+from corpusloom.functions.text import keywords, tokens
+from corpusloom.operators.sequences import previous
 
 
 def match_evidence(claims: DataFrame, evidence: DataFrame, group: str) -> DataFrame:
@@ -55,8 +56,37 @@ def confidence_level(score: Column) -> Column:
     return F.when(score >= 0.7, "high").when(score >= 0.4, "medium").otherwise("low")
 
 
-def recurse_decision(runs: DataFrame, group: str, order: str, score: str, least: float = 0.5, gain: float = 0.05) -> DataFrame:
-    """Whether another round pays: at first if the score is too low, later only if it also rose by `gain`."""
-    before = F.lag(score).over(Window.partitionBy(group).orderBy(order))
+def recurse_decision(runs: DataFrame, group: str, order: str, score: str, least: float = 0.5, gain: float = 0.05, width: int = 4096) -> DataFrame:
+    """Whether another round pays: at first if the score is too low, later only if it also rose by `gain`.
+
+    order is a number; rows are compared with the one before in ranges of `width`, so a long run is not sorted in one task.
+    """
     low = F.coalesce(F.col(score), F.lit(0.0)) < least
-    return runs.withColumn("recurse", low & (before.isNull() | (F.col(score) - before >= gain)))
+    found = previous(runs, group, [order], F.col(score), F.floor(F.col(order) / width), "_before")
+    return found.withColumn("recurse", low & (F.col("_before").isNull() | (F.col(score) - F.col("_before") >= gain))).drop("_before")
+
+
+def claim_links(claims: DataFrame, evidence: DataFrame, group: str) -> DataFrame:
+    """(group, pos, epos, shared): all evidence of a claim's group that shares two of its terms, or half of them.
+
+    claims: (group, pos, claim); evidence: (group, epos, evidence). A claim's terms are its different keywords, or its words of
+    more than four letters where it has fewer than two keywords. Joined by term and counted: texts without a common term never meet.
+    """
+    long = lambda c: F.filter(tokens(F.col(c)), lambda w: F.length(w) > 4)
+    own = claims.select(group, "pos", F.array_distinct(keywords(F.col("claim"))).alias("k"), F.array_distinct(long("claim")).alias("g"))
+    own = own.select(group, "pos", F.when(F.size("k") >= 2, F.col("k")).otherwise(F.col("g")).alias("terms"))
+    theirs = evidence.select(group, "epos", F.explode(F.array_distinct(F.concat(keywords(F.col("evidence")), long("evidence")))).alias("term"))
+    exploded = own.select(group, "pos", F.size("terms").alias("n"), F.explode("terms").alias("term"))
+    shared = exploded.join(theirs, [group, "term"]).groupBy(group, "pos", "epos", "n").agg(F.count("*").alias("shared"))
+    return shared.where("shared >= 2 or shared * 2 >= n").select(group, "pos", "epos", "shared")
+
+
+def confidence_warnings(retrieval: Column, covered: Column, chunks: Column, consistent: Column) -> Column:
+    """What to warn of, joined by semicolons; empty if nothing."""
+    return F.concat_ws(
+        "; ",
+        F.when(retrieval < 0.5, "weak retrieval"),
+        F.when(covered < 0.5, "few claims covered"),
+        F.when(chunks == 0, "no source cited"),
+        F.when(consistent < 0.3, "scattered sources"),
+    )

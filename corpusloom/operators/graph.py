@@ -31,3 +31,20 @@ def levels(nodes: DataFrame, edges: DataFrame, node: str = "node", needs: str =
 def missing_references(nodes: DataFrame, edges: DataFrame, node: str = "node", needs: str = "needs") -> DataFrame:
     """Edges that point to no node."""
     return edges.where(F.col(needs).isNotNull()).join(nodes.select(F.col(node).alias(needs)).distinct(), needs, "left_anti").select(node, needs).distinct()
+
+
+def reachable(edges: DataFrame, start: DataFrame, node: str = "node", needs: str = "needs", most: int = 1000) -> DataFrame:
+    """(node): everything the start nodes need, directly or through others; a start node only if something leads back to it.
+
+    One round per step away from the start; each follows the edges of the nodes that are new, and writes what it found to the
+    shared folder. Cycles end the walk, null ends of edges are ignored.
+    """
+    pairs = cut(edges.select(node, needs).where(F.col(node).isNotNull() & F.col(needs).isNotNull()).distinct(), "edges")
+    fresh, done = start.select(node).distinct(), None
+    for _ in range(most):
+        met = pairs.join(fresh, node, "left_semi").select(F.col(needs).alias(node)).distinct()
+        fresh = cut(met if done is None else met.join(done, node, "left_anti"), "reached")
+        if done is not None and fresh.isEmpty():
+            break
+        done = fresh if done is None else cut(done.unionByName(fresh), "reached")
+    return done

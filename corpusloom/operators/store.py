@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.sequences import previous
+
 
 def latest(rows: DataFrame, keys: list[str], at: str, *ties: str) -> DataFrame:
     """One row per key: that of the greatest `at` (null is oldest), ties by the other columns given."""
@@ -50,9 +52,13 @@ def quantize_int8(vectors: DataFrame, id_col: str, vector_col: str, quantile: fl
 
 
 def cache_hits(log: DataFrame, key: str, at: str, ttl: str = "INTERVAL 24 HOURS") -> DataFrame:
-    """The access log with `hit`: the key was used before, within the time to live (each use renews it)."""
-    before = F.lag(at).over(Window.partitionBy(key).orderBy(at, *[c for c in log.columns if c not in (key, at)][:1]))
-    return log.withColumn("hit", F.coalesce(before + F.expr(ttl) >= F.col(at), F.lit(False)))
+    """The access log with `hit`: the key was used before, within the time to live (each use renews it).
+
+    Accesses of a busy key are sorted hour by hour, not all at once. Rows without a time never hit.
+    """
+    ties = [c for c in log.columns if c not in (key, at)][:1]
+    found = previous(log, key, [at, *ties], F.col(at), F.date_trunc("hour", at), "_before")
+    return found.withColumn("hit", F.coalesce(F.col("_before") + F.expr(ttl) >= F.col(at), F.lit(False))).drop("_before")
 
 
 def cache_keep(log: DataFrame, key: str, at: str, size: str, most_bytes: float, most_entries: int) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators import evidence as E
+from corpusloom.operators.sequences import previous
 from corpusloom.plans.scalars import _CLAIMS, _KEYS, _claims
 from corpusloom.session import read_table
 
@@ -101,7 +101,8 @@ def recurse_decision(spark, sf_dir):
 @query("WITH t AS (SELECT doc_id, repo, list_distinct(string_split(text, chr(10))) AS ls FROM documents WHERE text IS NOT NULL), l AS (SELECT doc_id, lag(ls) OVER (PARTITION BY repo ORDER BY doc_id) AS before, ls FROM t) SELECT doc_id, len(list_intersect(ls, before)) AS shared, len(list_intersect(ls, before)) > 0.5 * len(ls) AS repeats FROM l WHERE before IS NOT NULL")
 def error_repeat(spark, sf_dir):
     """Lines that a document of the repository repeats from the one before it, and whether they are more than half."""
-    own = read_table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "repo", F.array_distinct(T.lines(F.col("text"))).alias("ls"))
-    before = own.withColumn("before", F.lag("ls").over(Window.partitionBy("repo").orderBy("doc_id"))).where("before is not null")
+    hashes = F.array_distinct(F.transform(T.lines(F.col("text")), lambda line: F.xxhash64(line)))
+    own = read_table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "repo", hashes.alias("ls"))
+    before = previous(own, "repo", ["doc_id"], F.col("ls"), F.floor(F.col("doc_id") / 1024)).where("before is not null")
     n = F.size(F.array_intersect("ls", "before"))
     return before.select("doc_id", n.cast("bigint").alias("shared"), (n > 0.5 * F.size("ls")).alias("repeats"))
