@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from corpusloom.session import cut
 
 CELL_ROWS = 256
-MAX_CELLS = 4096
-SAMPLE_PER_CELL = 16
+MAX_CELLS = 16_384
+SAMPLE_PER_CELL = 32
+MAX_SAMPLE = 262_144
 QUERY_ROWS = 256
 
 
@@ -53,7 +54,7 @@ def fit_cells(sample: np.ndarray, cells: int, rounds: int = 5, seed: int = 7) ->
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), min(cells, len(x)), replace=False)].copy()
     for _ in range(rounds):
-        near = np.concatenate([(x[a : a + 4096] @ c.T).argmax(axis=1) for a in range(0, len(x), 4096)])
+        near = np.concatenate([(x[a : a + 1024] @ c.T).argmax(axis=1) for a in range(0, len(x), 1024)])
         total = np.zeros_like(c)
         np.add.at(total, near, x)
         norm = np.linalg.norm(total, axis=1)
@@ -147,30 +148,37 @@ def similar_vectors(vectors: DataFrame, k: int = 10, least: float = -1.0, model:
 
     n = usable.count()
     cells = max(1, min(MAX_CELLS, n // CELL_ROWS))
-    share = min(1.0, cells * SAMPLE_PER_CELL * 2 / max(1, n))
-    sample = usable.where(F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("dense").limit(cells * SAMPLE_PER_CELL * 3)
+    rows = min(cells * SAMPLE_PER_CELL, MAX_SAMPLE)
+    share = min(1.0, rows / max(1, n))
+    sample = usable.where(F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("dense").limit(rows * 3 // 2)
     points = np.array(sample.toPandas()["dense"].tolist(), dtype=np.float32).reshape(-1, dim)
     if not len(points):
         points = np.eye(1, dim, dtype=np.float32)
     centre = spark.sparkContext.broadcast(fit_cells(points, cells))  # at most MAX_CELLS vectors
     turn = spark.sparkContext.broadcast(rotation(dim))
 
-    def assign(batches):
-        c = centre.value
-        top = min(probes, len(c))
-        for pdf in batches:
-            if len(pdf):
-                near = _unit(_matrix(pdf["dense"])) @ c.T
-                cell = np.argpartition(-near, top - 1, axis=1)[:, :top]
-                yield pd.DataFrame({"cell": cell.ravel().astype(np.int32)}).assign(id=np.repeat(pdf["id"].to_numpy(), top), many=np.repeat(pdf["many"].to_numpy(), top), dense=np.repeat(pdf["dense"].to_numpy(), top))
-
-    placed = reps.mapInPandas(assign, "cell int, id string, many boolean, dense array<float>")
-    sizes = reps.select("id", "dense", "many").mapInPandas(assign, "cell int, id string, many boolean, dense array<float>").groupBy("cell").count().where(F.col("count") > max_cell)
-    big = {r["cell"]: -(-r["count"] // max_cell) for r in sizes.collect()}  # at most MAX_CELLS rows
-    blocks = F.lit(1)
-    if big:
-        blocks = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in big.items() for x in pair]), F.col("cell")), F.lit(1))
-    placed = placed.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    def assign(blocks: np.ndarray):
+        """Rows to their nearest cells, with the number of blocks of each cell."""
+
+        def run(batches):
+            c = centre.value
+            top = min(probes, len(c))
+            for pdf in batches:
+                if len(pdf):
+                    near = _unit(_matrix(pdf["dense"])) @ c.T
+                    cell = np.argpartition(-near, top - 1, axis=1)[:, :top].ravel().astype(np.int32)
+                    yield pd.DataFrame({"cell": cell, "blocks": blocks[cell]}).assign(id=np.repeat(pdf["id"].to_numpy(), top), many=np.repeat(pdf["many"].to_numpy(), top), dense=np.repeat(pdf["dense"].to_numpy(), top))
+
+        return run
+
+    schema = "cell int, blocks int, id string, many boolean, dense array<float>"
+    blocks = np.ones(cells, dtype=np.int32)
+    sizes = reps.mapInPandas(assign(blocks), schema).groupBy("cell").count().where(F.col("count") > max_cell)
+    big = sizes.collect()  # at most MAX_CELLS rows
+    blocks = blocks.copy()
+    for r in big:
+        blocks[r["cell"]] = -(-r["count"] // max_cell)
+    placed = reps.mapInPandas(assign(blocks), schema).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     # A block of queries meets each block of data in a task of its own: (cell, query block, data block).
     tasks = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     as_query = tasks.select("cell", F.col("own").alias("qb"), F.col("other").alias("db"), "id", "many", "dense", F.lit(True).alias("q"), (F.col("own") == F.col("other")).alias("d"))
