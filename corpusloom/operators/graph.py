@@ -2,29 +2,34 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.session import cut
+from corpusloom.session import cut, shared_dir
 
 
 def levels(nodes: DataFrame, edges: DataFrame, node: str = "node", needs: str = "needs", most: int = 1000) -> DataFrame:
     """(node, level): 1 without dependencies, else one more than the greatest level among them.
 
     edges holds (node, needs). Nodes on a cycle, behind one, or with an unknown dependency never get a level and are
-    left out. One round per level; each writes its result to the shared folder, so the lineage stays short.
+    left out. One round per level: it appends the nodes whose dependencies are all known, the greatest at the last level, to a
+    table in the shared folder, so the lineage stays short and nothing is written twice.
     """
-    pairs = edges.select(node, needs).where(F.col(needs).isNotNull()).distinct()
-    done = cut(nodes.select(node).distinct().join(pairs, node, "left_anti").withColumn("level", F.lit(1)), "levels")
-    open_edges = pairs
-    for _ in range(most):
-        met = done.select(F.col(node).alias(needs), F.col("level").alias("below"))
-        state = open_edges.join(met, needs, "left").groupBy(node).agg(F.count_if(F.col("below").isNull()).alias("missing"), F.max("below").alias("below"))
-        fresh = state.where("missing = 0").select(node, (F.col("below") + 1).alias("level"))
-        grown = cut(done.unionByName(fresh.join(done, node, "left_anti")), "levels")
-        if grown.count() == done.count():
+    spark = nodes.sparkSession
+    kind = nodes.schema[node].dataType
+    pairs = cut(edges.where(F.col(needs).isNotNull()).select(F.col(node).cast(kind).alias(node), F.col(needs).cast(kind).alias(needs)).distinct(), "edges")
+    fresh = nodes.select(node).distinct().join(pairs, node, "left_anti").withColumn("level", F.lit(1))
+    path, schema = f"{shared_dir(spark)}/levels-{uuid.uuid4().hex}", f"`{node}` {kind.simpleString()}, level int"
+    for level in range(1, most + 1):
+        fresh.write.mode("append").parquet(path)
+        done = spark.read.schema(schema).parquet(path)
+        if done.where(F.col("level") == level).isEmpty():
             break
-        done = grown
+        met = done.select(F.col(node).alias(needs), F.col("level").alias("below"))
+        state = pairs.join(met, needs, "left").groupBy(node).agg(F.count_if(F.col("below").isNull()).alias("missing"), F.max("below").alias("below"))
+        fresh = state.where((F.col("missing") == 0) & (F.col("below") == level)).select(node, F.lit(level + 1).alias("level"))
     return done
 
 
