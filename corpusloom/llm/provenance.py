@@ -51,7 +51,9 @@ BUILT = re.compile(r"[.-]min\.[cm]?[jt]sx?$|\.(?:gen|g|pb|generated|bundle|chunk
 _SCRIPT_TEXT = re.compile(r"(//[^\n]*|/\*.*?(?:\*/|\Z))|(?<=[(,=:\[!&|?{};+\n])\s*/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*|`(?:\\.|[^`\\])*`?|'(?:\\.|[^'\\\n])*'?|\"(?:\\.|[^\"\\\n])*\"?", re.S)
 _PYTHON_TEXT = re.compile(r"(#[^\n]*)|'''(?:\\.|.)*?(?:'''|\Z)|\"\"\"(?:\\.|.)*?(?:\"\"\"|\Z)|'(?:\\.|[^'\\\n])*'?|\"(?:\\.|[^\"\\\n])*\"?", re.S)
 _NAMED = r"(?:(?:export\s+(?:default\s+)?)?(?:const|let|var)\s+[\w$]+\s*(?::[\w<>\[\], |{};.]+?)?=|(?:module\.)?exports(?:\.[\w$]+)?\s*=|export\s+default\b|[\w$]+\s*(?::\s*[\w\[\], .|]+)?=(?!=))"
-_DATA = re.compile(rf"(?:\s*['\"]use strict['\"];?)?(?:\s*{_NAMED}(?:[\s\[\]{{}},:+\-.()]|\"\"|'(?=\s*:)|[\w$]+\s*(?=:)|\d[\w.]*|\b(?:true|false|null|undefined|None|True|False|as|const|satisfies)\b)+;?)+\s*;?\s*", re.S)
+_LITERALS = rf"(?:\s*['\"]use strict['\"];?)?(?:\s*{_NAMED}(?:[\s\[\]{{}},:+\-.()]|@MORE@\"\"|'(?=\s*:)|[\w$]+\s*(?=:)|\d[\w.]*|\b(?:true|false|null|undefined|None|True|False|as|const|satisfies)\b)+;?)+\s*;?\s*"
+#: By whether the file is Python, where a backslash may end a line and a string may have a prefix (f-strings are no literals).
+_DATA = {python: re.compile(_LITERALS.replace("@MORE@", r"\\\r?\n|(?:[rR][bB]?|[bB][rR]?|[uU])\"\"|" if python else ""), re.S) for python in (False, True)}
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 SHINGLE = 5
 SIMILAR = 0.8
@@ -139,7 +141,7 @@ def _reasons(known: dict[str, np.ndarray]):
                     reason = "notice" if has_notice(text) else path_reason(path)
                     if reason is None:
                         bare = code_only(text, python)
-                        if _DATA.fullmatch(bare):
+                        if _DATA[python].fullmatch(bare):
                             reason = "data"
                         elif not python and len(bare) >= 150 and len(re.findall(r"\s", bare)) < LEAST_SPACE * len(bare):
                             reason = "minified"

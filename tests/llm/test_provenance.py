@@ -30,3 +30,13 @@ def test_rows(spark):
     got = {r["file_id"]: (r["reason"], r["by_hand"]) for r in provenance(files, packages).collect()}
     assert got == {1: (None, True), 2: ("minified", False), 3: ("data", False), 4: ("package", False), 5: ("unparsed", True), 6: (None, True), 7: ("vendored", False), 9: (None, True)}
     assert provenance(files, packages.limit(0)).where("reason = 'package'").count() == 0 and provenance(files.limit(0), packages).count() == 0
+
+
+def test_python_data_with_continued_and_prefixed_strings(spark):
+    """String blobs continued by a backslash, and literals with a prefix; an f-string or a call is code."""
+    blob = lambda prefix, mark: "BLOB = (" + f" {mark}\n  ".join(f'{prefix}"{k}oGjsIoKqwvoccf3H7IwQ+/"' for k in range(20)) + ")\n"
+    texts = [blob("", "\\"), blob("", "\\").replace("\n", "\r\n"), blob("b", ""), blob("Rb", "\\"), "A = \\\n  'x' \\\n  u'y'\nB = [r'z', 1]\n", blob("f", "\\"), "A = decode(b'x')\n", "A = b\n"]
+    files = spark.createDataFrame([(k, "r", "src/a.py", "python", t) for k, t in enumerate(texts)] + [(90, "r", "src/a.js", "javascript", "const a = b`x`;\n")], "file_id bigint, repo string, path string, language string, text string")
+    packages = spark.createDataFrame([], "pkg_name string, language string, release_text string")
+    got = {r["file_id"]: (r["reason"], r["by_hand"]) for r in provenance(files, packages).collect()}
+    assert got == {**{k: ("data", False) for k in range(5)}, **{k: (None, True) for k in (5, 6, 7, 90)}}
