@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import tokens
 
+QUERY_TERMS = 20_000
+
 
 def term_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id_col, term, tf)."""
@@ -21,20 +23,24 @@ def top(scored: DataFrame, by: str, id_col: str, k: int, score: str = "score") -
     return scored.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k)
 
 
-def sparse_scores(docs: DataFrame, queries: DataFrame, id_col: str, query_id: str, text_col: str = "text") -> DataFrame:
+def sparse_scores(docs: DataFrame, queries: DataFrame, id_col: str, query_id: str, text_col: str = "text", most_terms: int = 0) -> DataFrame:
     """(query_id, id_col, score): tf x query tf x idf over the terms in common, rounded to 6 decimals.
 
     Only terms that a query holds are counted and shuffled: the queries' vocabulary is joined before the
-    documents' term counts. Rows without text count for the size of the collection only.
+    documents' term counts. Rows without text count for the size of the collection only. Up to `most_terms` terms of all
+    queries are broadcast (they are counted first), so that docs partitioned by id are not shuffled by term; the result is the same.
     """
     wanted = term_table(queries, query_id, text_col).withColumnRenamed("tf", "qf")
+    few = most_terms > 0 and wanted.limit(most_terms + 1).count() <= most_terms
     vocabulary = wanted.select("term").distinct()
+    vocabulary = F.broadcast(vocabulary) if few else vocabulary
     occurring = docs.select(id_col, F.explode(tokens(F.col(text_col))).alias("term")).join(vocabulary, "term", "left_semi")
     tf = occurring.groupBy(id_col, "term").agg(F.count("*").alias("tf"))
     n = docs.agg(F.count("*").alias("n"))
     df = tf.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n), F.lit(True))
     idf = df.select("term", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
-    return tf.join(idf, "term").join(wanted, "term").groupBy(query_id, id_col).agg(F.round(F.sum(F.col("tf") * F.col("qf") * F.col("idf")), 6).alias("score"))
+    met = tf.join(F.broadcast(wanted.join(idf, "term")), "term") if few else tf.join(idf, "term").join(wanted, "term")
+    return met.groupBy(query_id, id_col).agg(F.round(F.sum(F.col("tf") * F.col("qf") * F.col("idf")), 6).alias("score"))
 
 
 def overlap_scores(docs: DataFrame, queries: DataFrame, id_col: str, query_id: str, text_col: str = "text") -> DataFrame:
@@ -92,7 +98,23 @@ def rrf(first: DataFrame, second: DataFrame, by: str, id_col: str, k: int = 2, b
 
 
 def hybrid(docs: DataFrame, queries: DataFrame, id_col: str, query_id: str, k: int = 10, threshold: float = 0.0, where: Column | None = None) -> DataFrame:
-    """(query_id, id_col, score, rank): filter, both legs with 2 k rows, fusion, top k, then the threshold."""
+    """(query_id, id_col, score, rank): filter, both legs with 2 k rows, fusion, top k, then the threshold.
+
+    For rows without vectors: both legs are lexical (weighted terms, and different terms in common). `hybrid_dense` has a dense leg.
+    """
     pool = docs if where is None else docs.where(where)
     legs = (top(f(pool, queries, id_col, query_id), query_id, id_col, 2 * k) for f in (sparse_scores, overlap_scores))
     return top(rrf(*legs, query_id, id_col), query_id, id_col, k).where(F.coalesce("score", F.lit(0.0)) >= threshold)
+
+
+def hybrid_dense(docs: DataFrame, vectors: DataFrame, queries: DataFrame, id_col: str, query_id: str, text_col: str = "text", vector_col: str = "dense", k: int = 10, threshold: float = 0.0) -> DataFrame:
+    """(query_id, id_col, score, rank): a sparse and a dense leg with 2 k rows each, fusion, top k, then the threshold.
+
+    docs holds (id_col, text_col), vectors (id_col, vector_col), one row per id each; an id in one of the two only takes part in that leg.
+    queries holds (query_id, text_col, vector_col); it is read several times, and a null text or vector leaves that
+    leg empty. Filter docs and vectors alike before the call.
+    """
+    sparse = top(sparse_scores(docs, queries, id_col, query_id, text_col, QUERY_TERMS), query_id, id_col, 2 * k)
+    asked = queries.select(F.col(query_id).alias(id_col), vector_col)
+    dense = dense_topk(vectors, asked, id_col, vector_col, 2 * k).withColumnRenamed("query_id", query_id)
+    return top(rrf(sparse, dense, query_id, id_col), query_id, id_col, k).where(F.coalesce("score", F.lit(0.0)) >= threshold)

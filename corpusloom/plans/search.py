@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators import retrieval as R
-from corpusloom.session import read_table
+from corpusloom.session import cut, read_table
 
 
 def _tables(spark, sf_dir):
@@ -37,6 +38,21 @@ def quick_retrieve(spark, sf_dir):
     return R.hybrid(docs, items, "doc_id", "item_id", k=5, threshold=0.3).select("item_id", "doc_id", "score", "rank")
 
 
+def hybrid_dense(spark, sf_dir):
+    """Sparse search over the chunks' texts fused with dense search over their vectors, for a stated query set: the 20 usable vectors
+    whose ids have the smallest md5, each with its chunk's text."""
+    usable = "size(dense) = 96 and forall(dense, x -> x is not null and not isnan(x) and abs(x) < double('inf')) and exists(dense, x -> x <> 0)"
+    newest = Window.partitionBy("chunk_id").orderBy(F.col("embedded_at").desc_nulls_last())
+    own = read_table(spark, sf_dir, "vectors").where("model = 'beacon-embed-96' and chunk_id is not null")
+    vectors = own.withColumn("n", F.row_number().over(newest)).where("n = 1").where(usable).select("chunk_id", "dense")
+    chunks = read_table(spark, sf_dir, "chunks").where("chunk_id is not null")
+    text = F.max("text").alias("text")
+    asked = cut(vectors.orderBy(F.md5("chunk_id"), "chunk_id").limit(20), "asked")
+    own = chunks.join(F.broadcast(asked.select("chunk_id")), "chunk_id", "left_semi").groupBy("chunk_id").agg(text)
+    asked = cut(asked.join(own, "chunk_id", "left").withColumnRenamed("chunk_id", "query_id"), "asked")
+    return R.hybrid_dense(chunks.groupBy("chunk_id").agg(text), vectors, asked, "chunk_id", "query_id").select("query_id", "chunk_id", "score", "rank")
+
+
 def score_threshold(spark, sf_dir):
     return dense_topk(spark, sf_dir).where("coalesce(score, 0) >= 0.3")
 
@@ -55,11 +71,26 @@ _DENSE = """SELECT q.vec_id AS query_id, v.vec_id AS vec_id, round(list_cosine_s
 FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, v.vec_id) <= 10"""
 
 
+_HYBRID_DENSE = """WITH latest AS (SELECT chunk_id, dense FROM vectors WHERE model = 'beacon-embed-96' AND chunk_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY embedded_at DESC NULLS LAST) = 1),
+u AS (SELECT chunk_id, dense::DOUBLE[] AS v FROM latest WHERE len(dense) = 96 AND len(list_filter(dense, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(dense, lambda x: x <> 0)) > 0),
+t AS (SELECT chunk_id, max(text) AS text FROM chunks WHERE chunk_id IS NOT NULL GROUP BY chunk_id),
+q AS (SELECT chunk_id AS query_id, v, text FROM (SELECT * FROM u ORDER BY md5(chunk_id), chunk_id LIMIT 20) LEFT JOIN t USING (chunk_id)),
+qt AS (SELECT query_id, term, count(*) AS qf FROM (SELECT query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS term FROM q) GROUP BY ALL),
+dt AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS term FROM t) GROUP BY ALL),
+idf AS (SELECT term, ln(((SELECT count(*) FROM t) - count(*) + 0.5) / (count(*) + 0.5) + 1) AS idf FROM dt GROUP BY term),
+sparse AS (SELECT query_id, chunk_id, round(sum(tf * qf * idf), 6) AS score FROM dt JOIN idf USING (term) JOIN qt USING (term) GROUP BY ALL),
+dense AS (SELECT q.query_id, u.chunk_id, round(list_cosine_similarity(q.v, u.v), 6) AS score FROM q, u),
+a AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sparse QUALIFY rank <= 20),
+b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM dense QUALIFY rank <= 20),
+f AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (1 + rank)), 6) AS score FROM (SELECT query_id, chunk_id, rank FROM a UNION ALL SELECT query_id, chunk_id, rank FROM b) GROUP BY ALL)
+SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM f QUALIFY rank <= 10"""
+
+
 def _fused(where: str, k: int, threshold: float) -> str:
     return "WITH " + _SPARSE.format(where=where) + ", " + _FUSED.format(two=2 * k, k=k, threshold=threshold)
 
 
-QUERIES = {f.__name__: f for f in (sparse_topk, dense_topk, hybrid_rrf, hybrid_search, quick_retrieve, score_threshold)}
+QUERIES = {f.__name__: f for f in (sparse_topk, dense_topk, hybrid_rrf, hybrid_search, quick_retrieve, hybrid_dense, score_threshold)}
 SQL = {
     "sparse_topk": "WITH " + _SPARSE.format(where="") + " SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM sparse QUALIFY rank <= 10",
     "dense_topk": _DENSE,
@@ -67,4 +98,5 @@ SQL = {
     "hybrid_rrf": _fused("", 10, 0.0),
     "hybrid_search": _fused("WHERE lang = 'en'", 10, 0.25),
     "quick_retrieve": _fused("", 5, 0.3),
+    "hybrid_dense": _HYBRID_DENSE,
 }

@@ -76,6 +76,20 @@ def test_search_with_odd_rows(spark):
     assert R.dense_topk(v.limit(0), v.limit(0), "id", "v").count() == 0
 
 
+def test_hybrid_with_a_dense_leg(spark):
+    """A row that is near by vector but shares no word comes out, and so does one that shares words but has no vector."""
+    docs = spark.createDataFrame([("near", "blue"), ("words", "red"), ("far", "green"), ("silent", None)], "id string, text string")
+    vectors = spark.createDataFrame([("near", [1.0, 0.1]), ("far", [-1.0, 0.0]), ("bad", [0.0, 0.0]), ("alone", [1.0, 0.5])], "id string, dense array<float>")
+    asked = spark.createDataFrame([("q", "red", [2.0, 0.0]), ("none", None, None)], "q string, text string, dense array<float>")
+    got = [tuple(r) for r in R.hybrid_dense(docs, vectors, asked, "id", "q", k=3).orderBy("rank").select("q", "id", "score", "rank").collect()]
+    assert got == [("q", "near", 0.5, 1), ("q", "words", 0.5, 2), ("q", "alone", 0.333333, 3)]
+    assert [r["id"] for r in R.hybrid(docs, asked, "id", "q").collect()] == ["words"]
+    scores = [{tuple(r) for r in R.sparse_scores(docs, asked, "id", "q", most_terms=n).collect()} for n in (0, 1)]
+    assert scores[0] == scores[1] and {r[:2] for r in scores[0]} == {("q", "words")}
+    assert R.hybrid_dense(docs, vectors, asked, "id", "q", k=3, threshold=0.4).count() == 2
+    assert R.hybrid_dense(docs.limit(0), vectors.limit(0), asked, "id", "q").count() == 0
+
+
 def test_store(spark):
     at = datetime.datetime(2024, 1, 1)
     files = spark.createDataFrame([("r", "a", "h1"), (None, "b", "h2"), ("r", "c", "h3")], "repo string, path string, file_hash string")
