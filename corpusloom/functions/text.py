@@ -77,14 +77,15 @@ def keywords(text: Column) -> Column:
     return F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(STOP_WORDS))
 
 
-def split_positions(length: Column, size: int, ratio: float) -> Column:
+def split_positions(length: Column, size: int, ratio: float, whole: bool = False) -> Column:
     """Start offsets of a fixed-size split: windows of `size`, step size - floor(size * ratio), stopping when less than 0.3 size is left.
 
-    Raises for overlaps that would never end.
+    A window holds `size` characters, so up to 0.3 size - overlap characters at the end of a text lie in none. With `whole`, one more window
+    follows in that case, and every character lies in one. Raises for overlaps that would never end.
     """
     overlap = int(size * ratio)
     if overlap >= 0.3 * size:
         raise ValueError("the overlap must stay below 0.3 of the size")
     step = size - overlap
-    last = F.greatest(F.lit(0), F.floor((length - 0.3 * size) / step)).cast("int")
+    last = F.greatest(F.lit(0), F.ceil((length - size) / step) if whole else F.floor((length - 0.3 * size) / step)).cast("int")
     return F.transform(F.sequence(F.lit(0), last), lambda k: k * step)

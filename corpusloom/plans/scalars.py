@@ -215,14 +215,14 @@ def extract_keywords(spark, sf_dir):
     return read_table(spark, sf_dir, "documents").select("doc_id", F.explode(T.keywords(F.col("text"))).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
 
 
-def _split_sql(table, id_col, size, ratio, where):
+def _split_sql(table, id_col, size, ratio, where, last="floor((length(text) - 0.3 * {size}) / {step})"):
     ov = int(size * ratio)
     step = size - ov
-    return f"SELECT {id_col}, k AS part, substr(text, (k * {step} + 1)::BIGINT, {size}) AS piece FROM (SELECT {id_col}, text, unnest(range(0, (greatest(0, floor((length(text) - 0.3 * {size}) / {step})) + 1)::BIGINT)) AS k FROM {table} WHERE {where})"
+    return f"SELECT {id_col}, k AS part, substr(text, (k * {step} + 1)::BIGINT, {size}) AS piece FROM (SELECT {id_col}, text, unnest(range(0, (greatest(0, {last.format(size=size, step=step)}) + 1)::BIGINT)) AS k FROM {table} WHERE {where})"
 
 
-def _split(df, id_col, size, ratio):
-    starts = T.split_positions(F.length("text"), size, ratio)
+def _split(df, id_col, size, ratio, whole=False):
+    starts = T.split_positions(F.length("text"), size, ratio, whole)
     rows = df.select(id_col, "text", F.posexplode(starts).alias("part", "start"))
     return rows.select(id_col, F.col("part").cast("bigint").alias("part"), F.expr(f"substring(text, start + 1, {size})").alias("piece"))
 
@@ -237,6 +237,18 @@ def split_large_code(spark, sf_dir):
     return _split(read_table(spark, sf_dir, "chunks").where("length(text) > 2000").select("chunk_id", "text").distinct(), "chunk_id", 2000, 0.15)
 
 
+@query(_split_sql("documents", "doc_id", 1500, 0.15, "length(text) > 1500", "ceil((length(text) - {size}) / {step})"))
+def split_whole_documents(spark, sf_dir):
+    """As split_by_size, with a last piece where the end of a text would be in none."""
+    return _split(read_table(spark, sf_dir, "documents").where("length(text) > 1500"), "doc_id", 1500, 0.15, whole=True)
+
+
+@query(_split_sql("(SELECT DISTINCT chunk_id, text FROM chunks)", "chunk_id", 2000, 0.15, "length(text) > 2000", "ceil((length(text) - {size}) / {step})"))
+def split_whole_code(spark, sf_dir):
+    """As split_large_code, with a last piece where the end of a text would be in none."""
+    return _split(read_table(spark, sf_dir, "chunks").where("length(text) > 2000").select("chunk_id", "text").distinct(), "chunk_id", 2000, 0.15, whole=True)
+
+
 @query("SELECT file_id, unnest(regexp_extract_all(text, '(?m)^import [^;\\n]*', 0)) AS import_text FROM source_files WHERE path NOT LIKE '%.py'")
 def collect_imports(spark, sf_dir):
     own = read_table(spark, sf_dir, "source_files").where("path not like '%.py'")

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 
-from corpusloom.llm.code_docs import documented_functions
+from corpusloom.llm.code_docs import documented_functions, prose
 
 SCHEMA = "chunk_id string, repo string, path string, language string, symbol_type string, symbol_name string, text string, comment string, f int"
 GOOD = "Returns the nearest bucket for a given key."
@@ -42,3 +42,17 @@ def test_name_words_do_not_count_and_odd_rows(spark):
     got = documented_functions(spark.createDataFrame(rows, SCHEMA)).collect()
     assert [(r["chunk_id"], r["description"]) for r in got] == [("b", "Sort the big ledger rows quickly.")]
     assert documented_functions(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_prose_that_ends_in_a_semicolon_is_kept():
+    lines = ["hands them to the owner in order. Callers must hold the branch open;", "don't call it before the frame is read;", "return the row that is nearest to the key;", "nearest bucket, see {@link Bucket}"]
+    for line in lines:
+        assert prose([line]) == line
+    for line in ("return artifact.frame;", "const a = g(parser, 44);", "if (!a) return null;", "let a, b, c, d, e;", "gather_channel_merger();", "import a from 'the other part';", "function f(a) {", "}", "buildPromptRecord(header, the, last, one);", "a.b = c and d or e;"):
+        assert prose([line]) == ""
+
+
+def test_function_documented_by_two_lines_the_first_ending_in_a_semicolon(spark):
+    text = "// Callers must hold the branch open;\n// flushes later.\nfunction f(a) {}"
+    got = documented_functions(spark.createDataFrame([("a", "r", "a.js", None, "function", "f", text, "", 1)], SCHEMA)).collect()
+    assert [r["description"] for r in got] == ["Callers must hold the branch open; flushes later."]

@@ -39,6 +39,14 @@ def test_fixed_split(spark, size, ratio, length, starts):
         T.split_positions(F.lit(10), 100, 0.3)
 
 
+@pytest.mark.parametrize("size,step", [(1500, 1275), (2000, 1700), (100, 85)])
+def test_whole_split_covers_the_text(spark, size, step):
+    rows = spark.range(0, 3 * size).select("id", T.split_positions(F.col("id"), size, 0.15).alias("a"), T.split_positions(F.col("id"), size, 0.15, whole=True).alias("b")).collect()
+    for length, a, b in rows:
+        assert b[: len(a)] == a and len(b) <= len(a) + 1 and b == list(range(0, b[-1] + 1, step)) and b[-1] + size >= length
+    assert any(a[-1] + size < length for length, a, _ in rows)
+
+
 def test_claims(spark):
     text = "Too short. This one is long enough! Is it? Yes it really is so."
     assert one(spark, T.sentences, text) == ["Too short.", "This one is long enough!", "Is it?", "Yes it really is so."]
@@ -112,6 +120,19 @@ def test_levels(spark):
     assert G.levels(nodes.limit(0), edges.limit(0)).count() == 0
 
 
+def test_bounded_walks_are_whole_or_an_error(spark):
+    edges = spark.createDataFrame([("b", "a"), ("c", "b"), ("d", "c")], "node string, needs string")
+    nodes, start = spark.createDataFrame([(n,) for n in "abcd"], "node string"), spark.createDataFrame([("d",)], "node string")
+    for most in (None, 4):
+        assert {tuple(r) for r in G.levels(nodes, edges, most=most).collect()} == {("a", 1), ("b", 2), ("c", 3), ("d", 4)}
+    for most in (None, 3):
+        assert {r["node"] for r in G.reachable(edges, start, most=most).collect()} == set("abc")
+    with pytest.raises(ValueError):
+        G.levels(nodes, edges, most=3)
+    with pytest.raises(ValueError):
+        G.reachable(edges, start, most=2)
+
+
 def test_evidence(spark):
     claims = spark.createDataFrame([(1, 0, "It is on."), (1, 1, "parser caches grammar files"), (1, 2, "unrelated words altogether")], "d int, pos int, claim string")
     proof = spark.createDataFrame([(1, 5, "grammar files are loaded", 1, 0.9), (1, 6, "grammar files again", 0, 0.1)], "d int, epos int, evidence string, sources int, confidence double")
