@@ -12,7 +12,7 @@ from corpusloom.llm.leakage import leaks
 from corpusloom.llm.mixing import mixture
 from corpusloom.llm.provenance import provenance
 from corpusloom.llm.shared_spans import shared_share, shared_spans
-from corpusloom.llm.similar_vectors import search_vectors, similar_pairs
+from corpusloom.llm.similar_vectors import search_vectors, similar_pairs, similar_vectors
 from corpusloom.llm.splitting import split_oversized
 from corpusloom.llm.syntax_check import checked_files, invalid_rates
 from corpusloom.session import read_table
@@ -24,6 +24,18 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_pairs(read_table(spark, sf_dir, "vectors"))
 
 
+def p1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest of every usable vector, without a threshold."""
+    return similar_vectors(read_table(spark, sf_dir, "vectors"))
+
+
+def p1_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the true 10 nearest (by a scan of all codes, for the query set of p1_search) p1_nearest finds: (asked, true, found)."""
+    truth = p1_search(spark, sf_dir).select("id", "neighbour").withColumn("wanted", F.lit(1))
+    both = truth.join(p1_nearest(spark, sf_dir).select("id", "neighbour", F.lit(1).alias("got")), ["id", "neighbour"], "left")
+    return both.agg(F.countDistinct("id").alias("asked"), F.count("wanted").alias("true"), F.count("got").alias("found"))
+
+
 def p1_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 nearest of about one in 85 vectors (a stated query set) among all of the model."""
     vectors = read_table(spark, sf_dir, "vectors")

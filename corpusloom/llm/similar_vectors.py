@@ -1,7 +1,9 @@
 """Most similar vectors for every vector.
 
 Method: randomly rotated one-bit codes. Vectors are spread over cells (spherical k-means fitted on a
-bounded sample; every vector goes to its `probes` nearest cells). Within a cell each vector is a code of one bit
+bounded sample; every vector lies in its `spill` nearest cells and is asked about in its `probes` nearest). Beyond MAX_CELLS
+a cell is a coarse centroid and one of several parts of what a vector has beyond it, so that cells keep their size as the
+collection grows. Within a cell each vector is a code of one bit
 per rotated dimension plus a correction scalar; inner products with 4-bit queries are estimated from
 popcounts, and only pairs whose estimate plus error bound can still matter are computed exactly.
 
@@ -24,7 +26,11 @@ CELL_ROWS = 256
 MAX_CELLS = 16_384
 SAMPLE_PER_CELL = 32
 MAX_SAMPLE = 262_144
+MAX_PARTS = 4096
 QUERY_ROWS = 256
+SLICE = 1 << 22
+BROADCAST_ROWS = 100_000
+HOT_CLASSES = 10_000
 
 
 def usable_vectors(vectors: DataFrame, model: str, dim: int) -> DataFrame:
@@ -130,60 +136,103 @@ def nearest_in_cell(unit: np.ndarray, names: np.ndarray, query: np.ndarray, data
     return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, int), np.empty(0, int), np.empty(0))
 
 
-def similar_vectors(vectors: DataFrame, k: int = 10, least: float = -1.0, model: str = "beacon-embed-96", dim: int = 96, probes: int = 3, epsilon: float = 3.0, max_cell: int = 4096) -> DataFrame:
+def fit_parts(sample: np.ndarray, coarse: np.ndarray, parts: int, rounds: int = 5, seed: int = 13) -> np.ndarray:
+    """Centroids of what the sample's unit vectors have beyond their nearest coarse centroid (plain k-means)."""
+    x = _unit(sample.astype(np.float64)).astype(np.float32)
+    near = np.concatenate([(x[a : a + 1024] @ coarse.T).argmax(axis=1) for a in range(0, len(x), 1024)])
+    x -= coarse[near]
+    r = x[np.random.default_rng(seed).choice(len(x), min(parts, len(x)), replace=False)].copy()
+    for _ in range(rounds):
+        half = (r * r).sum(axis=1) / 2
+        near = np.concatenate([(x[a : a + 1024] @ r.T - half).argmax(axis=1) for a in range(0, len(x), 1024)])
+        total, count = np.zeros_like(r), np.bincount(near, minlength=len(r))
+        np.add.at(total, near, x)
+        r[count > 0] = total[count > 0] / count[count > 0, None]
+    return r
+
+
+def nearest_cells(unit: np.ndarray, coarse: np.ndarray, parts: np.ndarray, top: int) -> np.ndarray:
+    """Each row's `top` nearest cells, nearest first. A cell is a coarse centroid and one of the parts: number coarse * len(parts) + part.
+
+    Rows are taken in slices, so that no array holds more than SLICE numbers.
+    """
+    out = []
+    wide = min(top, len(coarse))
+    top = min(top, len(coarse) * len(parts))
+    rows = max(1, SLICE // max(len(coarse), wide * len(parts)))
+    half = (parts * parts).sum(axis=1) / 2
+    for a in range(0, len(unit), rows):
+        x = unit[a : a + rows]
+        score = x @ coarse.T
+        near = np.argpartition(-score, wide - 1, axis=1)[:, :wide]
+        score = np.take_along_axis(score, near, axis=1)
+        if len(parts) == 1:
+            order = np.argsort(-score, axis=1)[:, :top]
+            out.append(np.take_along_axis(near, order, axis=1).astype(np.int64))
+            continue
+        # nearness to coarse + part: x c + x r - c r - r r / 2, up to a constant
+        fine = score[:, :, None] + (x @ parts.T)[:, None, :] - (coarse[near.ravel()] @ parts.T).reshape(len(x), wide, -1) - half
+        fine = fine.reshape(len(x), -1)
+        best = np.argpartition(-fine, top - 1, axis=1)[:, :top]
+        best = np.take_along_axis(best, np.argsort(-np.take_along_axis(fine, best, axis=1), axis=1), axis=1)
+        out.append(np.take_along_axis(near, best // len(parts), axis=1).astype(np.int64) * len(parts) + best % len(parts))
+    return np.concatenate(out) if out else np.empty((0, top), dtype=np.int64)
+
+
+def similar_vectors(
+    vectors: DataFrame, k: int = 10, least: float = -1.0, model: str = "beacon-embed-96", dim: int = 96, probes: int = 8, spill: int = 2, epsilon: float = 3.0,
+    max_cell: int = 4096, max_coarse: int = MAX_CELLS,
+) -> DataFrame:
     """(id, neighbour, cosine): for every usable vector its k most similar others, ties by smaller id.
 
     Cosines are in double precision, rounded to 6 decimals; neighbours below `least` are left out.
-    A pair is seen if the two share one of their `probes` cells; everything within a cell is exact up to
-    the error bound. Empty or unusable input gives no rows; extra columns of vectors are ignored.
+    A neighbour is seen if one of its `spill` nearest cells is among the vector's `probes` nearest; everything within a cell is
+    exact up to the error bound. Empty or unusable input gives no rows; extra columns of vectors are ignored.
     """
     spark = vectors.sparkSession
-    usable = usable_vectors(vectors, model, dim).withColumn("class", F.xxhash64("dense"))
-    usable = cut(usable.select("id", "class", "dense"), "vectors")
-    classes = usable.groupBy("class").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    multi = cut(classes.where("copies > 1"), "classes")
-    single = usable.join(multi, "class", "left_anti").select("id", "dense", F.lit(False).alias("many"))
-    first = usable.join(multi, "class").where("id = rep").select("id", "dense", F.lit(True).alias("many"))
-    reps = single.unionByName(first)
+    # Equal vectors: two independent 64-bit hashes.
+    same = F.concat(F.hex(F.xxhash64("dense")), F.lit("-"), F.hex(F.xxhash64(F.lit(3), "dense")))
+    usable = cut(usable_vectors(vectors, model, dim).select("id", same.alias("class"), "dense"), "vectors")
+    reps = usable.groupBy("class").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("dense").alias("dense"))
 
     n = usable.count()
-    cells = max(1, min(MAX_CELLS, n // CELL_ROWS))
-    rows = min(cells * SAMPLE_PER_CELL, MAX_SAMPLE)
+    cells = max(1, n // CELL_ROWS)
+    coarse_cells, part_cells = min(cells, max_coarse), min(MAX_PARTS, -(-cells // max_coarse))
+    rows = min(max(coarse_cells, part_cells) * SAMPLE_PER_CELL, MAX_SAMPLE)
     share = min(1.0, rows / max(1, n))
     sample = usable.where(F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("dense").limit(rows * 3 // 2)
     points = np.array(sample.toPandas()["dense"].tolist(), dtype=np.float32).reshape(-1, dim)
     if not len(points):
         points = np.eye(1, dim, dtype=np.float32)
-    centre = spark.sparkContext.broadcast(fit_cells(points, cells))  # at most MAX_CELLS vectors
+    coarse = fit_cells(points, coarse_cells)
+    parts = fit_parts(points, coarse, part_cells) if part_cells > 1 else np.zeros((1, dim), dtype=np.float32)
+    centre = spark.sparkContext.broadcast((coarse, parts))  # at most MAX_CELLS and MAX_PARTS vectors
     turn = spark.sparkContext.broadcast(rotation(dim))
 
-    def assign(blocks: np.ndarray):
-        """Rows to their nearest cells, with the number of blocks of each cell."""
-
-        def run(batches):
-            c = centre.value
-            top = min(probes, len(c))
-            for pdf in batches:
-                if len(pdf):
-                    near = _unit(_matrix(pdf["dense"])) @ c.T
-                    cell = np.argpartition(-near, top - 1, axis=1)[:, :top].ravel().astype(np.int32)
-                    yield pd.DataFrame({"cell": cell, "blocks": blocks[cell]}).assign(id=np.repeat(pdf["id"].to_numpy(), top), many=np.repeat(pdf["many"].to_numpy(), top), dense=np.repeat(pdf["dense"].to_numpy(), top))
-
-        return run
-
-    schema = "cell int, blocks int, id string, many boolean, dense array<float>"
-    blocks = np.ones(cells, dtype=np.int32)
-    sizes = reps.mapInPandas(assign(blocks), schema).groupBy("cell").count().where(F.col("count") > max_cell)
-    big = sizes.collect()  # at most MAX_CELLS rows
-    blocks = blocks.copy()
-    for r in big:
-        blocks[r["cell"]] = -(-r["count"] // max_cell)
-    placed = reps.mapInPandas(assign(blocks), schema).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    # A block of queries meets each block of data in a task of its own: (cell, query block, data block).
-    tasks = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    as_query = tasks.select("cell", F.col("own").alias("qb"), F.col("other").alias("db"), "id", "many", "dense", F.lit(True).alias("q"), (F.col("own") == F.col("other")).alias("d"))
-    as_data = tasks.where("own <> other").select("cell", F.col("other").alias("qb"), F.col("own").alias("db"), "id", "many", "dense", F.lit(False).alias("q"), F.lit(True).alias("d"))
-    work = as_query.unionByName(as_data) if big else as_query
+    def assign(batches):
+        for pdf in batches:
+            if len(pdf):
+                near = nearest_cells(_unit(_matrix(pdf["dense"])), *centre.value, max(probes, spill))
+                yield pdf.assign(cells=list(near))
+
+    # Placed once; a row knows its cells, nearest first.
+    placed = cut(reps.select("id", (F.col("copies") > 1).alias("many"), "dense").mapInPandas(assign, "id string, many boolean, dense array<float>, cells array<bigint>"), "placed")
+    sizes = placed.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("rows"))
+    big = cut(sizes.where(F.col("rows") > max_cell).select("cell", F.ceil(F.col("rows") / max_cell).cast("int").alias("blocks")), "big")
+    few = big.limit(BROADCAST_ROWS + 1).count()
+    spread = placed.select("id", "many", "dense", F.posexplode("cells").alias("place", "cell")).select(
+        "id", "many", "dense", "cell", (F.col("place") < probes).alias("q"), (F.col("place") < spill).alias("d")
+    )
+    if few:
+        blocks = F.coalesce("blocks", F.lit(1))
+        spread = spread.join(F.broadcast(big) if few <= BROADCAST_ROWS else big, "cell", "left").withColumn("blocks", blocks)
+        spread = spread.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        # A block of queries meets each block of data in a task of its own: (cell, query block, data block).
+        as_query = spread.where("q or own = other").select("cell", F.col("own").alias("qb"), F.col("other").alias("db"), "id", "many", "dense", "q", (F.col("d") & (F.col("own") == F.col("other"))).alias("d"))
+        as_data = spread.where("d and own <> other").select("cell", F.col("other").alias("qb"), F.col("own").alias("db"), "id", "many", "dense", F.lit(False).alias("q"), F.lit(True).alias("d"))
+        work, key = as_query.unionByName(as_data), ["cell", "qb", "db"]
+    else:
+        work, key = spread, ["cell"]
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         names, many = pdf["id"].to_numpy(), pdf["many"].to_numpy()
@@ -191,19 +240,28 @@ def similar_vectors(vectors: DataFrame, k: int = 10, least: float = -1.0, model:
         i, j, cos = nearest_in_cell(unit, names, np.flatnonzero(pdf["q"]), np.flatnonzero(pdf["d"]), turn.value, k + 1, least, epsilon)
         return pd.DataFrame({"a": names[i], "b": names[j], "cosine": cos, "a_many": many[i], "b_many": many[j]})
 
-    near = work.groupBy("cell", "qb", "db").applyInPandas(compare, "a string, b string, cosine double, a_many boolean, b_many boolean")
-    near = near.unionByName(first.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("cosine"), F.lit(True).alias("a_many"), F.lit(True).alias("b_many")))
-
-    # Classes back to members: only the k + 1 smallest ids of a class can be anybody's neighbour.
-    members = usable.join(multi, "class").select("rep", "id")
-    leaders = members.withColumn("n", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("n") <= k + 1)
-    wide = near.where("b_many").join(leaders, F.col("b") == F.col("rep")).select("a", F.col("id").alias("b"), "cosine", "a_many")
+    near = work.groupBy(*key).applyInPandas(compare, "a string, b string, cosine double, a_many boolean, b_many boolean")
+    multi = cut(reps.where("copies > 1").select("class", F.col("id").alias("rep"), "copies"), "classes")
+    near = near.unionByName(multi.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("cosine"), F.lit(True).alias("a_many"), F.lit(True).alias("b_many")))
+
+    # Classes back to members: only the k + 1 smallest ids of a class can be anybody's neighbour. Classes with more than a
+    # ten-thousandth of all rows are at most 10,000 and are broadcast, so none is gathered in one task.
+    hot = multi.where(F.col("copies") * HOT_CLASSES > n)
+    slim = usable.select("id", "class")
+    members = slim.join(F.broadcast(hot), "class").unionByName(slim.join(F.broadcast(hot.select("class")), "class", "left_anti").join(multi.where(F.col("copies") * HOT_CLASSES <= n), "class"))
+    members = members.select("rep", "id", (F.col("copies") * HOT_CLASSES > n).alias("hot"))
+    lots = members.withColumn("lot", F.pmod(F.xxhash64("id"), F.lit(64)))
+    short = lots.withColumn("n", F.row_number().over(Window.partitionBy("rep", "lot").orderBy("id"))).where(F.col("n") <= k + 1)
+    leaders = short.withColumn("n", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("n") <= k + 1)
+    wide = near.where("b_many").join(leaders.select("rep", "id"), F.col("b") == F.col("rep")).select("a", F.col("id").alias("b"), "cosine", "a_many")
     listed = near.where("not b_many").select("a", "b", "cosine", "a_many").unionByName(wide)
     by_rank = Window.partitionBy("a").orderBy(F.col("cosine").desc(), "b")
     # The same pair may come from two cells: equal rows stand side by side, so dense_rank counts them once.
     ranked = listed.withColumn("n", F.dense_rank().over(by_rank)).where(F.col("n") <= k + 1).distinct()
     plain = ranked.where(~F.col("a_many") & (F.col("n") <= k)).select(F.col("a").alias("id"), F.col("b").alias("neighbour"), "cosine")
-    own = ranked.where("a_many").join(members, F.col("a") == F.col("rep")).where("b <> id").select("id", F.col("b").alias("neighbour"), "cosine")
+    theirs = cut(ranked.where("a_many").select(F.col("a").alias("rep"), F.col("b").alias("neighbour"), "cosine"), "classes")
+    few_hot = theirs.join(F.broadcast(hot.select("rep")), "rep", "left_semi")  # at most HOT_CLASSES * (k + 1) rows
+    own = members.where("hot").join(F.broadcast(few_hot), "rep").unionByName(members.where("not hot").join(theirs, "rep")).where("neighbour <> id").select("id", "neighbour", "cosine")
     place = Window.partitionBy("id").orderBy(F.col("cosine").desc(), "neighbour")
     own = own.withColumn("n", F.row_number().over(place)).where(F.col("n") <= k).drop("n")
     return plain.unionByName(own)
@@ -211,7 +269,7 @@ def similar_vectors(vectors: DataFrame, k: int = 10, least: float = -1.0, model:
 
 def similar_pairs(vectors: DataFrame, k: int = 10, least: float = 0.8, **options) -> DataFrame:
     """(chunk_id_a, chunk_id_b), a < b, of which either is among the other's k nearest, with cosine of at least `least`."""
-    near = similar_vectors(vectors, k, least, **options)
+    near = similar_vectors(vectors, k, least, **{"probes": 3, "spill": 3} | options)
     return near.select(F.least("id", "neighbour").alias("chunk_id_a"), F.greatest("id", "neighbour").alias("chunk_id_b")).distinct()
 
 

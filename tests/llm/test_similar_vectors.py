@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from corpusloom.llm.similar_vectors import OneBitCodes, rotation, search_vectors, similar_pairs, similar_vectors
+from corpusloom.llm.similar_vectors import OneBitCodes, fit_cells, fit_parts, nearest_cells, rotation, search_vectors, similar_pairs, similar_vectors
 
 SCHEMA = "chunk_id string, model string, dense array<float>, embedded_at timestamp_ntz, id int"
 
@@ -10,10 +10,11 @@ SCHEMA = "chunk_id string, model string, dense array<float>, embedded_at timesta
 def brute(names, m, k, least):
     u = m.astype(np.float64) / np.linalg.norm(m.astype(np.float64), axis=1, keepdims=True)
     out = set()
+    alphabetical = np.argsort(np.array(names))
     for i in range(len(u)):
-        s = np.round(u @ u[i], 6)
-        order = [j for j in sorted(range(len(u)), key=lambda j: (-s[j], names[j])) if j != i][:k]
-        out |= {(names[i], names[j]) for j in order if s[j] >= least}
+        score = np.round(u @ u[i], 6)
+        order = [j for j in alphabetical[np.argsort(-score[alphabetical], kind="stable")][: k + 1] if j != i][:k]
+        out |= {(names[i], names[j]) for j in order if score[j] >= least}
     return out
 
 
@@ -47,6 +48,28 @@ def test_recall_over_many_cells(spark):
     assert len(got & want) >= 0.97 * len(want) and all(a != b for a, b in got)
 
 
+def test_recall_without_threshold_and_in_two_levels(spark):
+    m = clusters(4000)
+    names = [f"v{i:05d}" for i in range(len(m))]
+    df, want = table(spark, list(zip(names, m))), brute(names, m, 10, -1.0)
+    for coarse in (16_384, 4):
+        got = {(r["id"], r["neighbour"]) for r in similar_vectors(df, 10, -1.0, "m", 16, max_coarse=coarse, max_cell=300).collect()}
+        assert len(got) == len(want) and len(got & want) >= 0.95 * len(want)
+
+
+def test_cells_are_the_nearest_ones_in_small_slices(monkeypatch):
+    x = clusters(300)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    coarse = fit_cells(x, 6)
+    parts = fit_parts(x, coarse, 5)
+    monkeypatch.setattr("corpusloom.llm.similar_vectors.SLICE", 64)
+    near = nearest_cells(x, coarse, parts, 6)
+    all_cells = (coarse[:, None, :] + parts[None, :, :]).reshape(-1, x.shape[1])
+    distance = ((x[:, None, :] - all_cells[None, :, :]) ** 2).sum(axis=2)
+    assert near.shape == (300, 6) and (np.take_along_axis(distance, near, axis=1)[:, 0] <= distance.min(axis=1) + 1e-5).all()
+    assert nearest_cells(x, coarse, parts[:1] * 0, 9).shape == (300, 6)
+
+
 def test_unusable_rows_and_empty_table(spark):
     rows = [("a", None), ("b", [0.0] * 16), ("c", [1.0] * 5), ("d", []), ("e", [float("nan")] * 16), (None, [1.0] * 16), ("f", [1.0] * 16), ("g", [2.0] * 16)]
     import datetime
