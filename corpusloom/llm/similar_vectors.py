@@ -258,8 +258,9 @@ def similar_vectors(
     by_rank = Window.partitionBy("a").orderBy(F.col("cosine").desc(), "b")
     # The same pair may come from two cells: equal rows stand side by side, so dense_rank counts them once.
     ranked = listed.withColumn("n", F.dense_rank().over(by_rank)).where(F.col("n") <= k + 1).distinct()
+    ranked = cut(ranked, "ranked")
     plain = ranked.where(~F.col("a_many") & (F.col("n") <= k)).select(F.col("a").alias("id"), F.col("b").alias("neighbour"), "cosine")
-    theirs = cut(ranked.where("a_many").select(F.col("a").alias("rep"), F.col("b").alias("neighbour"), "cosine"), "classes")
+    theirs = ranked.where("a_many").select(F.col("a").alias("rep"), F.col("b").alias("neighbour"), "cosine")
     few_hot = theirs.join(F.broadcast(hot.select("rep")), "rep", "left_semi")  # at most HOT_CLASSES * (k + 1) rows
     own = members.where("hot").join(F.broadcast(few_hot), "rep").unionByName(members.where("not hot").join(theirs, "rep")).where("neighbour <> id").select("id", "neighbour", "cosine")
     place = Window.partitionBy("id").orderBy(F.col("cosine").desc(), "neighbour")
