@@ -11,7 +11,7 @@ from corpusloom.llm.code_docs import documented_functions
 from corpusloom.llm.leakage import leaks
 from corpusloom.llm.mixing import mixture
 from corpusloom.llm.provenance import provenance
-from corpusloom.llm.shared_spans import shared_share, shared_spans
+from corpusloom.llm.shared_spans import fuzzy_passages, shared_share, shared_spans
 from corpusloom.llm.similar_vectors import search_vectors, similar_pairs, similar_vectors
 from corpusloom.llm.splitting import split_oversized
 from corpusloom.llm.syntax_check import checked_files, invalid_rates
@@ -103,6 +103,10 @@ def p8_shared_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_share(read_table(spark, sf_dir, "documents"))
 
 
+def p8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_passages(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()}
 

@@ -36,8 +36,8 @@ def found(spark, docs: dict, least: int) -> set:
 
 
 def test_equals_brute_force(spark):
-    rng = random.Random(5)
-    for least in (8, 21):
+    for seed, least in ((5, 8), (6, 21), (7, 5), (8, 30), (9, 16)):
+        rng = random.Random(seed)
         parts = ["".join(rng.choice("ab c\n😀") for _ in range(rng.randint(1, 40))) for _ in range(12)]
         docs = {i: "".join(rng.choice(parts) for _ in range(rng.randint(0, 6))) for i in range(60)}
         docs |= {100: docs[3], 101: docs[3], 102: "", 103: "a" * 50, 104: "a" * 30}
@@ -88,4 +88,13 @@ def test_fuzzy_passages_bridge_a_difference(spark):
     a, b = ("".join(rng.choice("abcdefgh ") for _ in range(300)) for _ in range(2))
     df = spark.createDataFrame([(1, a + "X" + b, 1, ""), (2, a + "YY" + b, 1, "")], SCHEMA)
     rows = fuzzy_passages(df, min_len=60).collect()
-    assert len(rows) == 2 and all(r["p_end"] - r["p_start"] > 500 for r in rows)
+    assert len(rows) == 1 and rows[0]["p_end"] - rows[0]["p_start"] > 500 and 0.9 < rows[0]["identity"] < 1
+    assert (rows[0]["doc_id"], rows[0]["partner_id"]) in ((1, 2), (2, 1))
+
+
+def test_reference_that_repeats_the_seed(spark):
+    rng = random.Random(4)
+    part = "".join(rng.choice("abcdefgh ") for _ in range(90))
+    tails = ["".join(rng.choice("stuvwxyz ") for _ in range(60)) for _ in range(4)]
+    docs = {1: part + tails[0] + part + tails[1], 2: part + tails[1] + part + tails[2], 3: part + tails[0] + part + tails[3], 4: tails[3] + part + tails[2] + part}
+    assert found(spark, docs, 60) == brute(docs, 60)
