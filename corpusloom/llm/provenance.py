@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.paths import code_language
 from corpusloom.llm.rolling import window_hashes
-from corpusloom.llm.syntax_check import judge
+from corpusloom.llm.syntax_check import valid_for
 
 # Words that generation notices contain, each with what the comment line must look like.
 NOTICES = {
@@ -147,7 +147,7 @@ def _reasons(known: dict[str, np.ndarray]):
                             reason = "minified"
                         elif pkg := package(bare):
                             reason = "package"
-                    if reason is not None and judge(text, language)[0] is not True:
+                    if reason is not None and valid_for(text, language, path) is not True:
                         reason = "unparsed"
                 out.append((reason, pkg))
             yield pdf[["file_id", "repo", "path", "language"]].assign(reason=[r for r, _ in out], package=[p for _, p in out])

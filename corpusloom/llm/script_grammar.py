@@ -3,6 +3,10 @@
 A file becomes a line of token classes (every name is `i`, every string `s`). Innermost brackets are judged first
 and replaced by a symbol that says as what they could be read (arguments, parameters, a block, an object, ...), so
 each judgement sees a short line; equal lines are judged once and remembered, which is most of them in real code.
+
+One regular expression cuts most files into tokens. Where it can't (templates in templates in templates, regular
+expressions after a condition, HTML-like comments, elements of .jsx and .tsx files) a second, slower reader follows that keeps a
+stack. Rules about names (twice declared, unknown labels, octal numbers in strict code, super outside a method) aren't checked.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from functools import lru_cache
 
 # The words of the languages.
 _RESERVED = "break case catch class const continue debugger default delete do else enum export extends false finally for function if import in instanceof new null return super switch this throw true try typeof var void while with".split()
-_CONTEXTUAL = "abstract accessor as assert asserts async await constructor declare from get global infer is keyof let module namespace of out override private protected public readonly require satisfies set static type interface unique yield".split()
+_CONTEXTUAL = "abstract accessor as assert asserts async await constructor declare from get global infer is keyof let module namespace of out override private protected public readonly require satisfies set static type interface unique using yield".split()
 _WORDS = {*_RESERVED, *_CONTEXTUAL}
 _IDENTIFIER = {"i", *_CONTEXTUAL}
 _NAME = {"i", *_WORDS}
@@ -38,14 +42,14 @@ _TOKEN = re.compile(
     rf"|/\*|{_OPERATOR}|[\s\S]"
 )
 _HOLE = re.compile(rf"\\[\s\S]|\$\{{({_SIMPLE})\}}")
-_GROUP = re.compile(r"([({\[])([^(){}\[\]]*)([)}\]])")
+_BRACKET = re.compile(r"([(){}\[\]])")
 _CLOSE = {"(": ")", "[": "]", "{": "}"}
 _FIXED = {"=": "=", "=>": "=>", "...": "...", "?.": "?.", "++": "++", "--": "++", "+": "-", "-": "-", "~": "!", "!": "!", "*": "*", "/": "/", "<": "<", ">": ">", "|": "|", "&": "&", ".": ".", ":": ":", ";": ";", ",": ",", "?": "?", "@": "@", "(": "(", ")": ")", "[": "[", "]": "]", "{": "{", "}": "}"}
 _EMPTY, _BAD = "", "\0"
 
 ARGS, EXPR, PARAMS, FOR, BINDING, TYPE = 1, 2, 4, 8, 16, 32  # readings of ( )
 ARRAY, INDEX, PATTERN, TUPLE, TYPE_INDEX, SIGNATURE = 1, 2, 4, 8, 16, 32  # of [ ]
-BLOCK, OBJECT, FIELDS, CLASS, MEMBERS, SWITCH, NAMES, ENUM, RETURNS, AWAITS = 1, 2, 4, 8, 16, 32, 64, 128, 256, 512  # of { }
+BLOCK, OBJECT, FIELDS, CLASS, MEMBERS, SWITCH, NAMES, ENUM, RETURNS, AWAITS, BREAKS, CONTINUES = 1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048  # of { }
 
 
 class Bad(Exception):
@@ -113,24 +117,23 @@ def _is_expression(text: str, typed: bool) -> bool:
 
 
 def _reduce(line: str, typed: bool) -> str | None:
-    """All brackets replaced by their symbols, or None if they don't match."""
+    """All brackets replaced by their symbols, or None if they don't match. One pass with a stack."""
     if _BAD in line:
         return None
-    while True:
-        ok = True
-
-        def symbol(m: re.Match) -> str:
-            nonlocal ok
-            if _CLOSE[m[1]] != m[3]:
-                ok = False
-            return _symbol(m[1], m[2], typed)
-
-        shorter = _GROUP.sub(symbol, line)
-        if not ok:
+    opened: list[str] = []
+    parts: list[list[str]] = [[]]
+    for i, piece in enumerate(_BRACKET.split(line)):
+        if i % 2 == 0:
+            parts[-1].append(piece)
+        elif piece in _CLOSE:
+            opened.append(piece)
+            parts.append([])
+        elif not opened or _CLOSE[opened[-1]] != piece:
             return None
-        if shorter == line:
-            return None if re.search(r"[(){}\[\]]", line) else line
-        line = shorter
+        else:
+            content = "".join(parts.pop())
+            parts[-1].append(_symbol(opened.pop(), content, typed))
+    return None if opened else "".join(parts[0])
 
 
 @lru_cache(100_000)
@@ -141,30 +144,34 @@ def _symbol(opening: str, content: str, typed: bool) -> str:
     if opening == "{":
         block = statements(content, typed, False)
         if block is not None:
-            bits |= BLOCK | RETURNS * block[0] | AWAITS * block[1]
+            bits |= BLOCK | _flags(block)
         bits |= CLASS * bool(_reads(content, typed, "class_body")) | MEMBERS * (typed and bool(_reads(content, typed, "members")))
         cases = _reads(content, typed, "switch_body")
         if cases:
-            bits |= SWITCH | RETURNS * cases[0] | AWAITS * cases[1]
+            bits |= SWITCH | _flags(cases)
     return f"{'PQR'['([{'.index(opening)]}{bits}"
 
 
-def _reads(content: str, typed: bool, rule: str) -> tuple[bool, bool] | None:
-    """Whether the whole content can be read by the rule: (has a return, has an await) or None."""
+def _flags(found: tuple[bool, bool, bool, bool]) -> int:
+    return sum(bit for bit, has in zip((RETURNS, AWAITS, BREAKS, CONTINUES), found) if has)
+
+
+def _reads(content: str, typed: bool, rule: str) -> tuple[bool, bool, bool, bool] | None:
+    """Whether the whole content can be read by the rule: (has a return, an await, a break and a continue of its own) or None."""
     p = _Parser(content, typed)
     try:
         getattr(p, rule)()
-    except (Bad, RecursionError):
+    except Bad:
         return None
-    return (p.returns, p.awaits) if p.at == len(p.t) - 1 else None
+    return (p.returns, p.awaits, p.breaks, p.continues) if p.at == len(p.t) - 1 else None
 
 
 _CONTINUES = {"else", "catch", "finally", "while", "instanceof", "in", "as", "satisfies", "of", "from", "extends"}
 
 
-def statements(content: str, typed: bool, top: bool) -> tuple[bool, bool] | None:
+def statements(content: str, typed: bool, top: bool) -> tuple[bool, bool, bool, bool] | None:
     """A list of statements, judged piece by piece: a piece ends with a line that surely ends a statement."""
-    returns = awaits = False
+    flags = (False,) * 4
     piece: list[str] = []
     lines = [x for x in content.split("\n") if x and not x.isspace()]
     for k, line in enumerate(lines):
@@ -177,26 +184,162 @@ def statements(content: str, typed: bool, top: bool) -> tuple[bool, bool] | None
                 if k + 1 == len(lines):
                     return None
                 continue  # perhaps it goes on
-            returns, awaits = returns or found[0], awaits or found[1]
+            flags = tuple(a or b for a, b in zip(flags, found))
             piece = []
-    return returns, awaits
+    return flags
 
 
 @lru_cache(100_000)
-def _piece(content: str, typed: bool, top: bool) -> tuple[bool, bool] | None:
+def _piece(content: str, typed: bool, top: bool) -> tuple[bool, bool, bool, bool] | None:
     return _reads(content, typed, "module" if top else "block")
 
 
-def parses(text: str, typed: bool) -> bool:
-    """Whether the text is a JavaScript (or, if typed, TypeScript) script or module."""
+# -- the slower reader
+_DELICATE = re.compile(r"`|[)}]\s*/(?![/*])|<!--|^\s*-->", re.M)
+_PLAIN = re.compile(
+    r"[ \t\f\v\u00a0\ufeff]+|//[^\n]*|/\*(?:.|\n)*?\*/|<!--[^\n]*"
+    r"|\s*\n\s*"
+    r"|(?:[^\W\d]|[$\\])(?:[\w$]|\\u)*|\#(?:[^\W\d]|\$)[\w$]*"
+    r"|(?:0[xX][\da-fA-F_]+n?|0[bB][01_]+n?|0[oO][0-7_]+n?|(?:\d[\d_]*(?:\.[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?\d+)?n?)(?![\w$])"
+    r"|'(?:\\(?:\r\n|[\s\S])|[^'\\\n])*'|\"(?:\\(?:\r\n|[\s\S])|[^\"\\\n])*\""
+    rf"|/\*|{_OPERATOR}|[\s\S]"
+)
+_PATTERN = re.compile(_REGEX)
+_TEMPLATE_TEXT = re.compile(r"(?:\\[\s\S]|[^`\\$]|\$(?!\{))*")
+_ELEMENT = re.compile(r"<(?:>|([A-Za-z_$][\w$.:-]*)(?=[\s/>])(?!\s+extends\b))")
+_END_OF_ELEMENT = re.compile(r"</\s*([\w$.:-]*)\s*>")
+_ATTRIBUTE = re.compile(r"\s+|[A-Za-z_$][\w$:.-]*|=|\"[^\"]*\"|'[^']*'")
+_VALUE_FOLLOWS = {"return", "typeof", "case", "in", "of", "instanceof", "new", "delete", "void", "throw", "do", "else", "await", "yield"}
+
+
+class _Frame:
+    """What the reader is in: code (of the file or of a hole), a template, a tag or the children of an element."""
+
+    def __init__(self, kind: str, name: str = ""):
+        self.kind, self.name = kind, name
+        self.out: list[str] = []
+        self.opened: list[bool] = []  # per open bracket: may a regular expression follow its end
+        self.ready = True  # a value may begin here
+        self.last = ""
+
+
+def _careful_line(text: str, typed: bool, markup: bool) -> str:
+    """Like _line, for any nesting of templates and elements."""
+    get, frames, pos = _classes[typed].__getitem__, [_Frame("code")], 0
+
+    def value(symbol: str) -> None:
+        f = frames[-1]
+        if f.kind == "code":
+            f.out.append(symbol)
+            f.ready, f.last = False, symbol
+
+    while pos < len(text):
+        f = frames[-1]
+        c = text[pos]
+        if f.kind == "template":
+            pos = _TEMPLATE_TEXT.match(text, pos).end()
+            if text.startswith("`", pos):
+                frames.pop()
+                value("t")
+                pos += 1
+            elif text.startswith("${", pos):
+                frames.append(_Frame("code", "template"))
+                pos += 2
+            else:
+                return _BAD
+        elif f.kind == "tag" and text.startswith("/>", pos):
+            frames.pop()
+            value("r")
+            pos += 2
+        elif f.kind == "tag" and c == ">":
+            f.kind = "children"
+            pos += 1
+        elif f.kind in ("tag", "children") and c == "{":
+            frames.append(_Frame("code", "element"))
+            pos += 1
+        elif f.kind == "children" and (m := _END_OF_ELEMENT.match(text, pos)):
+            if m[1] != f.name:
+                return _BAD
+            frames.pop()
+            value("r")
+            pos = m.end()
+        elif c == "<" and (f.kind != "code" or markup and f.ready) and (m := _ELEMENT.match(text, pos)):
+            frames.append(_Frame("tag" if m[1] else "children", m[1] or ""))
+            pos = m.end()
+        elif f.kind == "tag":
+            m = _ATTRIBUTE.match(text, pos)
+            if not m:
+                return _BAD
+            pos = m.end()
+        elif f.kind == "children":
+            if c in "<>}":
+                return _BAD
+            pos += 1
+        elif c == "`":
+            frames.append(_Frame("template"))
+            pos += 1
+        elif c == "/" and f.ready and text[pos + 1 : pos + 2] not in ("/", "*"):
+            m = _PATTERN.match(text, pos)
+            if not m:
+                return _BAD
+            value("r")
+            pos = m.end()
+        elif text.startswith("-->", pos) and (not f.last or f.out[-1] == "\n"):
+            pos = (text.find("\n", pos) + 1 or len(text) + 1) - 1
+        elif c == "}" and not f.opened and len(frames) > 1:  # the end of a hole
+            line = " ".join([x for x in f.out if x])
+            if f.name == "element":
+                line = line.removeprefix("...")
+            top = _reduce(line, typed)
+            if top is None or not (_reads(top.replace("\n", ""), typed, "expr") or f.name == "element" and not top.strip()):
+                return _BAD
+            frames.pop()
+            pos += 1
+        else:
+            token = _PLAIN.match(text, pos)[0]
+            pos += len(token)
+            symbol = _EMPTY if token.startswith("<!--") else get(token)
+            f.out.append(symbol)
+            if c in "([{":
+                head = f.last in ("if", "while", "for", "with") if c == "(" else c == "{" and (not f.ready or f.last in ("", ";", "{", "}", "else", "do", "=>"))
+                f.opened.append(head)
+                f.ready = True
+            elif c in ")]}":
+                if not f.opened:
+                    return _BAD
+                f.ready = f.opened.pop()
+            elif symbol in ("++", "\n", _EMPTY) or token == "--":
+                if symbol != "++":
+                    continue
+            elif symbol in _NAME or symbol in _LITERAL or symbol == "h":
+                f.ready = symbol in _VALUE_FOLLOWS and f.last not in (".", "?.")
+            else:
+                f.ready = True
+            f.last = symbol
+    return " ".join([x for x in frames[0].out if x]) if len(frames) == 1 else _BAD
+
+
+def _accepts(line: str, typed: bool) -> bool:
+    top = _reduce(line, typed)
+    found = None if top is None else statements(top, typed, True)
+    return found is not None and not (found[0] or found[2] or found[3])
+
+
+def parses(text: str, typed: bool, markup: bool = False) -> bool | None:
+    """Whether the text is a JavaScript (or, if typed, TypeScript) script or module; None if it is nested too deeply to say.
+
+    markup: elements may stand where a value may (files named .jsx or .tsx).
+    """
     text = text.removeprefix("\ufeff")
     if text.startswith("#!"):
         text = "//" + text[2:]
-    line = _reduce(_line(text.replace("\r\n", "\n").replace("\r", "\n").replace("\u2028", "\n").replace("\u2029", "\n"), typed), typed)
-    if line is None:
-        return False
-    found = statements(line, typed, True)
-    return found is not None and not found[0]
+    text = text.replace("\r\n", "\n").replace("\r", "\n").replace("\u2028", "\n").replace("\u2029", "\n")
+    try:
+        if _accepts(_line(text, typed), typed):
+            return True
+        return (markup or bool(_DELICATE.search(text))) and _accepts(_careful_line(text, typed, markup), typed)
+    except (RecursionError, MemoryError):
+        return None
 
 
 class _Parser:
@@ -214,7 +357,8 @@ class _Parser:
         self.t.append("")
         self.at = 0
         self.typed = typed
-        self.returns = self.awaits = False
+        self.returns = self.awaits = self.breaks = self.continues = False
+        self.unconditional = False  # in what a conditional type extends
 
     # -- small steps
     @property
@@ -258,12 +402,12 @@ class _Parser:
         return bits
 
     def attempt(self, step) -> bool:
-        back = self.at, self.returns, self.awaits
+        back = self.at, self.returns, self.awaits, self.breaks, self.continues, self.unconditional
         try:
             step()
             return True
         except Bad:
-            self.at, self.returns, self.awaits = back
+            self.at, self.returns, self.awaits, self.breaks, self.continues, self.unconditional = back
             return False
 
     def end(self) -> bool:
@@ -289,26 +433,27 @@ class _Parser:
             self.assign()
 
     def assign(self) -> None:
-        t = self.now
-        if t == "yield" and self.peek() not in ("=", ".", "A", "=>", "?.", ")", ";"):
-            self.at += 1
-            self.take("*")
-            if not (self.end() or self.now in (",", ":", ";")) and self.at not in self.fresh:
+        while True:  # what follows `=`, `:` or `yield` is read by the next round
+            t = self.now
+            if t == "yield" and self.peek() not in ("=", ".", "A", "=>", "?.", ")", ";"):
+                self.at += 1
+                self.take("*")
+                if self.end() or self.now in (",", ":", ";") or self.at in self.fresh:
+                    return
+                continue
+            if (t in ("async", "<") or t in _IDENTIFIER or t[:1] == "P") and self.attempt(self.arrow):
+                return
+            target = self.binary()
+            if self.now == "?":
+                self.at += 1
                 self.assign()
-            return
-        if (t in ("async", "<") or t in _IDENTIFIER or t[:1] == "P") and self.attempt(self.arrow):
-            return
-        target = self.binary()
-        if self.now == "?":
-            self.at += 1
-            self.assign()
-            self.need(":")
-            self.assign()
-        elif self.now in ("=", "A"):
-            if not (target == 1 or (target == 2 and self.now == "=")):
-                raise Bad
-            self.at += 1
-            self.assign()
+                self.need(":")
+            elif self.now in ("=", "A"):
+                if not (target == 1 or (target == 2 and self.now == "=")):
+                    raise Bad
+                self.at += 1
+            else:
+                return
 
     def arrow(self) -> None:
         is_async = self.now == "async" and self.peek() != "=>" and self.take("async")
@@ -323,7 +468,7 @@ class _Parser:
         self.need("=>")
         if self.now[:1] == "R":
             bits = self.take_group("R", BLOCK)
-            if bits & AWAITS and not is_async:
+            if bits & AWAITS and not is_async or bits & (BREAKS | CONTINUES):
                 raise Bad
         else:
             before = self.awaits
@@ -500,7 +645,7 @@ class _Parser:
             self.type(True)
         bits = self.may_group("R", BLOCK)
         if bits:
-            if bits & AWAITS and not is_async:
+            if bits & AWAITS and not is_async or bits & (BREAKS | CONTINUES):
                 raise Bad
         elif bodiless and self.typed:
             self.semicolon()
@@ -670,8 +815,8 @@ class _Parser:
                 self.expr()
 
     def for_each(self) -> None:
-        if self.now in ("var", "const", "let") and self.peek() not in ("in", "of"):
-            self.at += 1
+        if self.now in ("var", "const", "let", "using") and self.peek() not in ("in", "of") or self.now == "await" and self.peek() == "using":
+            self.at += 2 if self.now == "await" else 1
             self.declared()
         else:
             self.target()
@@ -706,7 +851,9 @@ class _Parser:
         if self.take(";"):
             return
         self.decorators()
-        if self.now == "static" and self.group("R", BLOCK, self.at + 1):
+        if self.now == "static" and (bits := self.group("R", BLOCK, self.at + 1)):
+            if bits & (RETURNS | BREAKS | CONTINUES):
+                raise Bad
             self.at += 2
             return
         modifiers = {"static", "async", "get", "set", "*", "accessor"} | ({"public", "private", "protected", "readonly", "abstract", "override", "declare"} if self.typed else set())
@@ -750,12 +897,14 @@ class _Parser:
         self.type_part()
         while self.take("|", "&"):
             self.type_part()
-        if self.now == "extends" and self.at not in self.fresh and self.attempt(self.condition):
+        if self.now == "extends" and self.at not in self.fresh and not self.unconditional and self.attempt(self.condition):
             return
 
     def condition(self) -> None:
         self.need("extends")
+        self.unconditional = True
         self.type()
+        self.unconditional = False
         self.need("?")
         self.type()
         self.need(":")
@@ -764,6 +913,8 @@ class _Parser:
     def type_part(self) -> None:
         while self.now in ("keyof", "readonly", "unique", "infer") and (self.peek() in _NAME or self.peek()[:1] in ("P", "Q", "R")):
             self.at += 1
+            if self.t[self.at - 1] == "infer" and self.now in _IDENTIFIER and self.peek() == "extends" and self.attempt(self.inferred):
+                return
         t = self.now
         if t == "<":
             self.type_params()
@@ -808,6 +959,15 @@ class _Parser:
         while self.at not in self.fresh and self.may_group("Q", TYPE_INDEX):
             pass
 
+    def inferred(self) -> None:
+        """A name with a constraint; before a question mark only where no condition can stand."""
+        self.at += 2
+        held, self.unconditional = self.unconditional, True
+        self.type()
+        self.unconditional = held
+        if self.now == "?" and not held:
+            raise Bad
+
     def type_params(self) -> None:
         self.need("<")
         while self.now != ">":
@@ -965,6 +1125,14 @@ class _Parser:
         bits = self.take_group("R", BLOCK)
         self.returns |= bool(bits & RETURNS)
         self.awaits |= bool(bits & AWAITS)
+        self.breaks |= bool(bits & BREAKS)
+        self.continues |= bool(bits & CONTINUES)
+
+    def body(self) -> None:
+        """A statement in a loop."""
+        held = self.breaks, self.continues
+        self.statement()
+        self.breaks, self.continues = held
 
     def typed_statement(self) -> bool:
         """Declarations that only TypeScript has."""
@@ -1029,24 +1197,38 @@ class _Parser:
             self.at += 1
             self.declarations(t == "const")
             self.semicolon()
-        elif t == "if":
+        elif t == "using" and n in _IDENTIFIER and self.at + 1 not in self.fresh and n not in ("in", "of"):
             self.at += 1
-            self.take_group("P", EXPR)
-            self.statement()
-            if self.take("else"):
+            self.declarations(True)
+            self.semicolon()
+        elif t == "await" and n == "using" and self.peek(2) in _IDENTIFIER and self.at + 2 not in self.fresh:
+            self.at += 2
+            self.awaits = True
+            self.declarations(True)
+            self.semicolon()
+        elif t == "if":
+            while self.take("if"):
+                self.take_group("P", EXPR)
                 self.statement()
+                if not self.take("else"):
+                    return
+            self.statement()
         elif t == "for":
             self.at += 1
             self.awaits |= self.take("await")
             self.take_group("P", FOR)
-            self.statement()
-        elif t in ("while", "with"):
+            self.body()
+        elif t == "while":
+            self.at += 1
+            self.take_group("P", EXPR)
+            self.body()
+        elif t == "with":
             self.at += 1
             self.take_group("P", EXPR)
             self.statement()
         elif t == "do":
             self.at += 1
-            self.statement()
+            self.body()
             self.need("while")
             self.take_group("P", EXPR)
             self.take(";")
@@ -1060,6 +1242,10 @@ class _Parser:
             self.at += 1
             if self.now in _IDENTIFIER and self.at not in self.fresh:
                 self.at += 1
+            elif t == "break":
+                self.breaks = True
+            else:
+                self.continues = True
             self.semicolon()
         elif t == "throw":
             self.at += 1
@@ -1084,6 +1270,7 @@ class _Parser:
             bits = self.take_group("R", SWITCH)
             self.returns |= bool(bits & RETURNS)
             self.awaits |= bool(bits & AWAITS)
+            self.continues |= bool(bits & CONTINUES)
         elif t == "debugger":
             self.at += 1
             self.semicolon()

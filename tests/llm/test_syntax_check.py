@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import time
+
 import pytest
 
 from corpusloom.llm.script_grammar import parses
@@ -60,14 +62,51 @@ def test_errors(bad):
 
 
 def test_judgement():
-    assert judge("def f(:\n", "python") == (False, None)
-    assert judge("def f():\n    return 1\n", "typescript") == (False, "python")
-    assert judge("", "python") == (True, None)
+    assert judge("def f(:\n", "python") == (False, [])
+    assert judge("def f():\n    return 1\n", "typescript") == (False, ["python"])
+    assert judge("", "python") == (True, ["python"])
+    assert set(judge("[1, 2]", "javascript")[1]) == {"javascript", "typescript", "python", "json"}
     assert judge("", "json")[0] is False and judge("{\"a\": NaN}", "json")[0] is False and judge('{"a": [1]}', "json")[0] is True
-    assert judge("# ] (", "markdown") == (True, None) and judge("x", None) == (None, None)
+    assert judge("# ] (", "markdown") == (True, []) and judge("x", None) == (None, [])
     assert judge("[" * 100_000, "json")[0] is False and judge("(" * 5000 + ")" * 5000, "javascript")[0] is False
 
 
+@pytest.mark.parametrize("good", [
+    "if (x) /foo'/.test(y)", "while (a) /[`]/.exec(b)", "x = a\n<!-- old comment's\nb()", "f()\n--> it's one", "using x = f(); { await0() }", "for (using x of y) x.z()",
+    "`a${`b${`c${`d${`e${`f${1}`}`}`}`}`}`", "x = `${ { a: `}` }.a }`", "a = b ? c : d ? e : f", "let using = 1; using = 2", "a = b / c / d; `x`", "for (;;) { switch (a) { case 1: continue; default: break } }",
+])
+def test_delicate_scripts(good):
+    assert parses(good, False) and parses(good, True)
+
+
+def test_types_that_infer_with_a_constraint():
+    assert parses("type A<T> = T extends infer U extends string ? U : never", True)
+    assert parses("type B<T> = T extends [infer U extends string, ...infer V] ? U : V", True)
+    assert parses("type C<T> = T extends (infer U extends number ? 1 : 2) ? U : 0", True)
+    assert not parses("type A<T> = T extends infer U extends string", True)
+
+
+@pytest.mark.parametrize("element", ["const a = <b c='d' e={f} {...g}>text {h ? <i/> : null} it's {/* no */}</b>", "f(<></>)", "x => <A.B c:d={`e${1}`}>{y.map(z => <li key={z}>{z}</li>)}</A.B>"])
+def test_elements_in_files_named_so(element):
+    assert parses(element, False, True) and parses(element, True, True) and not parses(element, False)
+    assert not parses(element + "</b>", False, True) and not parses("const a = <b></c>", False, True) and parses("const f = <T,>(x: T) => x < 3", True, True)
+
+
+@pytest.mark.parametrize("bad", ["break", "continue;", "if (a) { break }", "while (a) { function f() { break } }", "x => { continue }", "switch (a) { case 1: continue }", "`a${`b${`c${`d${`e${`f${}`}`}`}`}`}`", "class A { static { return } }"])
+def test_more_errors(bad):
+    assert parses(bad, False) is False and parses(bad, True) is False
+
+
+def test_depth():
+    assert judge("[" * 20_000 + "1" + "]" * 20_000, "json")[0] is True and judge("[" * 20_000 + "1" + "]" * 19_999, "json")[0] is False
+    assert judge('{"a":' * 9_000 + "[{}, [], -1.5e3, null]" + "}" * 9_000, "json")[0] is True and judge('{"a":' * 9_000 + "[,]" + "}" * 9_000, "json")[0] is False
+    assert parses("x = " + "a ? b : " * 3_000 + "c", False) is True
+    assert parses("if (a) b; else " * 3_000 + "c", True) is True
+    assert parses("!" * 100_000 + "a", False) is None and judge("x = " + "-" * 200_000 + "1", "python")[0] is None
+    began = time.time()
+    assert parses("(" * 20_000 + "1" + ")" * 20_000, False) is True and time.time() - began < 5
+
+
 def test_rows(spark):
     schema = "file_id bigint, repo string, path string, language string, text string, valid string"
     rows = [(1, None, "a.ts", None, "let a: number = 1", ""), (2, "r", "a.js", "JavaScript", "let a: number = 1", ""), (3, "r", "a.py", None, None, ""), (4, "r", None, None, "x", ""), (4, "r", "a.md", None, "#", ""), (4, "r", "a.md", None, "#", "")]
