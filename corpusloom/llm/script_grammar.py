@@ -103,9 +103,15 @@ class _Classes(dict):
 _classes = {False: _Classes(False), True: _Classes(True)}
 
 
+@lru_cache(2)
+def _tokens(text: str) -> list[str]:
+    """A file is read twice in a row, with types and without."""
+    return _TOKEN.findall(text)
+
+
 def _line(text: str, typed: bool) -> str:
     """Token classes with a space between; an odd character or an open text is \\0."""
-    tokens = _TOKEN.findall(text)
+    tokens = _tokens(text)
     get = _classes[typed]
     return " ".join([c for c in map(get.__getitem__, tokens) if c])
 
@@ -132,7 +138,10 @@ def _reduce(line: str, typed: bool) -> str | None:
             return None
         else:
             content = "".join(parts.pop())
-            parts[-1].append(_symbol(opened.pop(), content, typed))
+            symbol = _symbol(opened.pop(), content, typed)
+            if not typed and symbol[1:] == "0":  # what can't be read in any way can stand nowhere; types may be more than is read here
+                return None
+            parts[-1].append(symbol)
     return None if opened else "".join(parts[0])
 
 
@@ -195,7 +204,7 @@ def _piece(content: str, typed: bool, top: bool) -> tuple[bool, bool, bool, bool
 
 
 # -- the slower reader
-_DELICATE = re.compile(r"`|[)}]\s*/(?![/*])|<!--|^\s*-->", re.M)
+_DELICATE = re.compile(r"\b(?:if|while|for|with)\s*\([^\n]*\)\s*/(?![/*])|\}\s*/(?![/*])|<!--|^\s*-->", re.M)
 _PLAIN = re.compile(
     r"[ \t\f\v\u00a0\ufeff]+|//[^\n]*|/\*(?:.|\n)*?\*/|<!--[^\n]*"
     r"|\s*\n\s*"
@@ -335,9 +344,11 @@ def parses(text: str, typed: bool, markup: bool = False) -> bool | None:
         text = "//" + text[2:]
     text = text.replace("\r\n", "\n").replace("\r", "\n").replace("\u2028", "\n").replace("\u2029", "\n")
     try:
-        if _accepts(_line(text, typed), typed):
+        line = _line(text, typed)
+        if _accepts(line, typed):
             return True
-        return (markup or bool(_DELICATE.search(text))) and _accepts(_careful_line(text, typed, markup), typed)
+        delicate = markup or _BAD in line and "`" in text or _DELICATE.search(text)
+        return bool(delicate) and _accepts(_careful_line(text, typed, markup), typed)
     except (RecursionError, MemoryError):
         return None
 

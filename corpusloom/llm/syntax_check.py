@@ -12,6 +12,7 @@ import ast
 import json
 import re
 import warnings
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -23,11 +24,18 @@ from corpusloom.llm.script_grammar import parses as script_parses
 
 #: Tokens that tell a language.
 TELLING = {
-    "python": re.compile(r"(?m)^\s*(?:def|elif|except|class \w+(?:\(.*\))?:|from \w+ import|with .*:$|import \w+$)|\bself\b|\bNone\b"),
-    "typescript": re.compile(r"\binterface\b|:\s*(?:string|number|boolean|any|unknown|void)\b|\b(?:private|public|protected|readonly)\b|\bas \w+"),
-    "javascript": re.compile(r"\b(?:const|let|var|function|require|module\.exports)\b|=>|==="),
-    "json": re.compile(r'^\s*[\[{]|"\s*:\s|\b(?:null|true|false)\b'),
+    "python": "def elif except self None True False pass lambda".split(),
+    "typescript": "interface string number boolean any unknown readonly private public protected as".split(),
+    "javascript": "const let var function require module exports => ===".split(),
+    "json": '": true false null'.split(),
 }
+_TELLING_TOKEN = re.compile(r'[A-Za-z_]+|=>|===|":')
+
+
+def ranking(text: str) -> list[str]:
+    """The languages by how many of their telling tokens stand in the text."""
+    counts = Counter(_TELLING_TOKEN.findall(text))
+    return sorted(TELLING, key=lambda name: -sum(counts[t] for t in TELLING[name]))
 
 
 _JSON = re.compile(r'[ \t\n\r]+|(?P<s>"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")|(?P<v>-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null)|(?P<p>[\[\]{},:])')
@@ -115,7 +123,7 @@ def judge(text: str, language: str | None, path: str | None = None) -> tuple[boo
         return None, []
     if language != "json" and not text.strip("\ufeff \t\r\n"):
         return True, [language]
-    rank = sorted(GRAMMARS, key=lambda name: -len(TELLING[name].findall(text)))
+    rank = ranking(text)
     markup = (path or "").lower().endswith((".jsx", ".tsx"))
     verdicts = {name: GRAMMARS[name](text, markup) for name in rank}
     return verdicts[language], [name for name in rank if verdicts[name]]
