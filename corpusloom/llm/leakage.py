@@ -3,7 +3,10 @@
 Method: greedy string tiling. Shared seeds of `least` words are found by rolling hashes (Karp-Rabin) and
 joined; per (document, item) pair the longest match whose words are all unmarked is marked as a tile, again and
 again, until no match of `least` words is left. Tiles of reordered passages count alike, so the share of the
-item that its tiles cover shows how much of it leaked.
+item that its tiles cover shows how much of it leaked; a threshold on it keeps the items that leaked for the most part.
+
+Equal documents and equal items are folded into classes (by a 64-bit hash of the text): seeds, tiles and coverage are
+those of classes, and ids come back at the end.
 """
 
 from __future__ import annotations
@@ -20,9 +23,11 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.batches import slices, whole_groups
 from corpusloom.llm.rolling import window_hashes
+from corpusloom.llm.skew import by_group
+from corpusloom.session import cut
 
-WORD = re.compile(r"[a-z0-9_]+")
-SEED_SCHEMA = "h bigint, id bigint, pos int, n_words int"
+WORDS = r"[a-z0-9_]+"
+SEED_SCHEMA = "h bigint, id bigint, pos int, n_words int, size int"
 TILE_SCHEMA = "doc bigint, item bigint, doc_start int, item_start int, length int, item_words int"
 
 
@@ -36,32 +41,37 @@ class _WordIds(dict):
         return i
 
 
-def _seeds(least: int, wanted: np.ndarray | None):
-    """All windows of `least` words, or only those whose hash is in the sorted array `wanted`."""
-    maybe = None
-    if wanted is not None:
-        maybe = np.zeros(1 << 22, dtype=bool)
-        maybe[wanted & np.uint64((1 << 22) - 1)] = True
+def _seeds(sizes: list[int], words: str, wanted=None, short_only: bool = False):
+    """All windows of so many words, or only those whose hash is in the broadcast sorted array; short_only: only whole texts of fewer words than sizes[0]."""
+    bits = np.uint64((1 << 22) - 1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = _WordIds()
+        ids, word = _WordIds(), re.compile(words)
+        maybe = None
+        if wanted is not None:
+            maybe = np.zeros(1 << 22, dtype=bool)
+            maybe[wanted.value & bits] = True
         for batch in batches:
             for pdf in slices(batch, "text", 200_000):
-                lists = [WORD.findall(t.lower()) for t in pdf["text"]]
-                sizes = np.array([len(x) for x in lists], dtype=np.int64)
-                codes = np.fromiter((ids[w] for x in lists for w in x), dtype=np.uint64, count=int(sizes.sum()))
-                h = window_hashes(codes, least)
-                ends = np.repeat(np.cumsum(sizes), sizes)[: len(h)]
-                keep = np.arange(len(h)) + least <= ends
-                if maybe is not None:
-                    keep &= maybe[h & np.uint64((1 << 22) - 1)]
-                    at = np.flatnonzero(keep)
-                    at = at[np.isin(h[at], wanted)] if len(at) else at
-                else:
+                lists = [word.findall(t.lower()) for t in pdf["text"]]
+                if short_only:
+                    lists = [x if len(x) < sizes[0] else [] for x in lists]
+                counts = np.array([len(x) for x in lists], dtype=np.int64)
+                codes = np.fromiter((ids[w] for x in lists for w in x), dtype=np.uint64, count=int(counts.sum()))
+                starts = np.cumsum(counts) - counts
+                for size in range(1, sizes[0]) if short_only else sizes:
+                    h = window_hashes(codes, size)
+                    ends = np.repeat(starts + counts, counts)[: len(h)]
+                    keep = np.arange(len(h)) + size <= ends
+                    if short_only:
+                        keep &= np.repeat(counts, counts)[: len(h)] == size
+                    if maybe is not None:
+                        keep &= maybe[h & bits]
                     at = np.flatnonzero(keep)
-                starts = np.cumsum(sizes) - sizes
-                which = np.searchsorted(starts, at, side="right") - 1
-                yield pd.DataFrame({"h": h[at].view(np.int64), "id": pdf["id"].to_numpy()[which], "pos": (at - starts[which]).astype(np.int32), "n_words": sizes[which].astype(np.int32)})
+                    if maybe is not None and len(at):
+                        at = at[np.isin(h[at], wanted.value)]
+                    which = np.searchsorted(starts, at, side="right") - 1
+                    yield pd.DataFrame({"h": h[at].view(np.int64), "id": pdf["t"].to_numpy()[which], "pos": (at - starts[which]).astype(np.int32), "n_words": counts[which].astype(np.int32), "size": np.full(len(at), size, dtype=np.int32)})
 
     return run
 
@@ -88,42 +98,81 @@ def tile(pos: np.ndarray, other: np.ndarray, least: int) -> list[tuple[int, int,
     return sorted(tiles)
 
 
-def _tiles(least: int):
+def _tiles():
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for ready in whole_groups(batches, ["doc", "item"]):
             out = []
             doc, item = ready["doc"].to_numpy(), ready["item"].to_numpy()
-            pos, other, words = (ready[c].to_numpy() for c in ("pos", "other", "item_words"))
+            pos, other, words, size = (ready[c].to_numpy() for c in ("pos", "other", "item_words", "size"))
             cut = np.flatnonzero((np.diff(doc) != 0) | (np.diff(item) != 0)) + 1
             for a, b in zip([0, *cut], [*cut, len(doc)]):
-                out += [(doc[a], item[a], p, q, n, words[a]) for p, q, n in tile(pos[a:b].astype(np.int64), other[a:b].astype(np.int64), least)]
+                out += [(doc[a], item[a], p, q, n, words[a]) for p, q, n in tile(pos[a:b].astype(np.int64), other[a:b].astype(np.int64), int(size[a]))]
             yield pd.DataFrame(out, columns=["doc", "item", "doc_start", "item_start", "length", "item_words"])
 
     return run
 
 
-def leaked_tiles(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", least: int = 12, most_broadcast: int = 2_000_000) -> DataFrame:
+def _classes(rows: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Texts with their class, and (id, t) of all rows."""
+    own = rows.where(F.col(text).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
+    return own.select("t", "text"), cut(own.select("id", "t"), "members")
+
+
+def _with_ids(found: DataFrame, members: DataFrame, t: str, name: str) -> DataFrame:
+    """found with the ids of all members of its classes t. A class's rows of found go along as a list: what one text holds."""
+    own = found.groupBy(F.col(t).alias("t")).agg(F.collect_list(F.struct(*[c for c in found.columns if c != t])).alias("found"))
+    sizes = members.groupBy("t").agg(F.count("*").alias("n"))
+    return by_group(members, cut(own.join(sizes, "t"), "classes"), "t").select(F.col("id").alias(name), F.explode("found").alias("f")).select(name, "f.*")
+
+
+def _class_tiles(texts: DataFrame, own: DataFrame, least: int, words: str, short: bool, most_broadcast: int) -> DataFrame:
+    spark = texts.sparkSession
+    item_seeds = own.mapInPandas(_seeds([least], words), SEED_SCHEMA)
+    sizes = [least]
+    if short:
+        item_seeds = item_seeds.unionByName(own.mapInPandas(_seeds([least], words, short_only=True), SEED_SCHEMA))
+    item_seeds = cut(item_seeds.distinct(), "items")  # equal items give equal rows
+    if short:
+        sizes = sorted(r[0] for r in item_seeds.select("size").distinct().collect())  # at most `least` rows
+    wanted = None
+    few = item_seeds.limit(most_broadcast + 1).count() <= most_broadcast
+    if few:
+        known = np.array([r[0] for r in item_seeds.select("h").distinct().toLocalIterator()], dtype=np.int64)
+        wanted = spark.sparkContext.broadcast(np.sort(known.view(np.uint64)))
+    doc_seeds = cut(texts.mapInPandas(_seeds(sizes, words, wanted), SEED_SCHEMA).select("h", "id", "pos", "size").distinct(), "seeds")
+    right = item_seeds.select("h", "size", F.col("id").alias("item"), F.col("pos").alias("other"), F.col("n_words").alias("item_words"))
+    # Beyond the bound both sides are read from tables and joined by shuffle, where adaptive execution splits hot hashes.
+    matches = doc_seeds.join(F.broadcast(right) if few else right, ["h", "size"]).select(F.col("id").alias("doc"), "item", "pos", "other", "item_words", "size")
+    return matches.repartition("doc", "item").sortWithinPartitions("doc", "item", "pos", "other").mapInPandas(_tiles(), TILE_SCHEMA)
+
+
+def leaked_tiles(
+    docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", least: int = 12, words: str = WORDS, short: bool = False,
+    most_broadcast: int = 2_000_000,
+) -> DataFrame:
     """(doc, item, doc_start, item_start, length, item_words): the tiles of every document and item that share `least` words in a row.
 
-    Words are the maximal runs of [a-z0-9_] in the lower-cased text. If the items have at most
-    `most_broadcast` seeds, their hashes filter the documents' seeds inside the tasks; beyond that all seeds
-    are joined by shuffle. Rows with a null id or text and short texts give no row; equal documents each give their own rows.
+    Words are the maximal runs of the pattern `words` in the lower-cased text. An item of fewer than `least` words counts, if `short`,
+    where all its words stand in a row, and otherwise has no tiles. Up to `most_broadcast` rows of item seeds are broadcast and filter the
+    documents' seeds inside the tasks; beyond that all seeds are joined by shuffle. Rows with a null id or text give no
+    row; equal documents, and equal items, each give their own rows.
     """
-    item_seeds = items.where(F.col(text).isNotNull() & F.col(item_id).isNotNull()).select(F.col(item_id).cast("bigint").alias("id"), F.col(text).alias("text")).mapInPandas(_seeds(least, None), SEED_SCHEMA)
-    few = [r[0] for r in item_seeds.select("h").distinct().limit(most_broadcast + 1).toLocalIterator()]
-    wanted = np.sort(np.array(few, dtype=np.int64).view(np.uint64)) if len(few) <= most_broadcast else None
-    doc_seeds = docs.where(F.col(text).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text")).mapInPandas(_seeds(least, wanted), SEED_SCHEMA)
-    right = item_seeds.select("h", F.col("id").alias("item"), F.col("pos").alias("other"), F.col("n_words").alias("item_words"))
-    if wanted is not None:
-        right = F.broadcast(right)
-    order = ["doc", "item", "pos", "other"]
-    matches = doc_seeds.join(right, "h").select(F.col("id").alias("doc"), "item", "pos", "other", "item_words")
-    return matches.repartition("doc", "item").sortWithinPartitions(*order).mapInPandas(_tiles(least), TILE_SCHEMA)
-
-
-def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", least: int = 12, threshold: float = 0.0) -> DataFrame:
+    texts, members = _classes(docs, doc_id, text)
+    own, item_members = _classes(items, item_id, text)
+    tiles = cut(_class_tiles(texts, own, least, words, short, most_broadcast), "tiles")
+    return _with_ids(_with_ids(tiles, members, "doc", "doc_"), item_members, "item", "item_").withColumnsRenamed({"doc_": "doc", "item_": "item"}).select("doc", "item", "doc_start", "item_start", "length", "item_words")
+
+
+def leaks(
+    docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", least: int = 12, threshold: float = 0.0, words: str = WORDS,
+    short: bool = False, most_broadcast: int = 2_000_000,
+) -> DataFrame:
     """(doc_id, item_id, tiles, covered_words, item_words, coverage) of the pairs whose tiles cover at least `threshold` of the item."""
-    found = leaked_tiles(docs, items, doc_id, item_id, text, least).groupBy("doc", "item").agg(
+    texts, members = _classes(docs, doc_id, text)
+    own, item_members = _classes(items, item_id, text)
+    found = _class_tiles(texts, own, least, words, short, most_broadcast).groupBy("doc", "item").agg(
         F.count("*").alias("tiles"), F.sum("length").alias("covered_words"), F.max("item_words").cast("bigint").alias("item_words")
     )
-    return found.withColumn("coverage", F.col("covered_words") / F.col("item_words")).where(F.col("coverage") >= threshold).withColumnsRenamed({"doc": doc_id, "item": item_id})
+    found = cut(found.withColumn("coverage", F.col("covered_words") / F.col("item_words")).where(F.col("coverage") >= threshold), "leaks")
+    named = _with_ids(_with_ids(found, members, "doc", "doc_"), item_members, "item", "item_")
+    return named.select(F.col("doc_").alias(doc_id), F.col("item_").alias(item_id), "tiles", "covered_words", "item_words", "coverage")

@@ -87,6 +87,11 @@ def p6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
 
 
+def p6_leaked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and items of which at least half is covered by tiles, in whatever order."""
+    return leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"), threshold=0.5)
+
+
 def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets"))[0]
 

@@ -23,12 +23,12 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.batches import slices, whole_groups
 from corpusloom.llm.rolling import codes_of, sampled_windows, window_hashes
+from corpusloom.llm.skew import by_group
 from corpusloom.session import cut
 
 SEED_SCHEMA = "h bigint, t bigint, pos int, again boolean"
 WINDOW_SCHEMA = "h bigint, t bigint, pos int"
 RUN_SCHEMA = "t bigint, partner bigint, chain int, p_start int, p_end int, q_start int, q_end int, score double"
-HOT_GROUPS = 10_000
 CHARS_AT_ONCE = 48_000  # the arrays of so many characters stay in a core's cache
 
 
@@ -136,17 +136,6 @@ def text_classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def _by_group(rows: DataFrame, groups: DataFrame, how: str = "inner") -> DataFrame:
-    """rows joined with groups (h, n, ...) by h, n being the group's number of rows.
-
-    Groups with more than a ten-thousandth of all rows (at most HOT_GROUPS) are broadcast, so that no hot group is gathered in one task.
-    """
-    total = groups.agg(F.sum("n")).first()[0] or 0
-    hot = F.broadcast(groups.where(F.col("n") * HOT_GROUPS > total))
-    rest = groups.where(F.col("n") * HOT_GROUPS <= total)
-    return rows.join(hot, "h", how).unionByName(rows.join(rest, "h", how))
-
-
 def _links(docs: DataFrame, min_len: int) -> tuple[DataFrame, int]:
     """(t, pos, partner, partner_pos, again): every shared seed with its group's reference; again: the reference repeats the seed."""
     k = max(1, 5 * min_len // 8)
@@ -154,7 +143,7 @@ def _links(docs: DataFrame, min_len: int) -> tuple[DataFrame, int]:
     seeds = cut(long.mapInPandas(_seeds(k, max(1, min(k, min_len - k))), SEED_SCHEMA), "seeds")
     groups = seeds.groupBy("h").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.min(F.struct("again", "t", "pos")).alias("ref"), F.count("*").alias("n"))
     groups = cut(groups.where("lo <> hi").select("h", "n", F.col("ref.t").alias("partner"), F.col("ref.pos").alias("partner_pos"), F.col("ref.again").alias("full")), "groups")
-    links = _by_group(seeds.drop("again"), groups).where("full or t <> partner").select("t", "pos", "partner", "partner_pos", "full")
+    links = by_group(seeds.drop("again"), groups).where("full or t <> partner").select("t", "pos", "partner", "partner_pos", "full")
     return links.distinct(), k  # copies of a text give equal rows
 
 
@@ -206,7 +195,7 @@ def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     chosen = ranges.join(classes, "t").select(F.col("rep").alias("id"), "ranges")
     windows = cut(base.select("id", "t", "text").join(chosen, "id").select("text", "t", "ranges").mapInPandas(_windows(min_len), WINDOW_SCHEMA), "windows")
     common = cut(windows.groupBy("h").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("h", "n"), "common")
-    hit = _by_group(windows, common, "left_semi").select("t", F.col("pos").alias("a"), (F.col("pos") + min_len).alias("b"))
+    hit = by_group(windows, common, "left_semi").select("t", F.col("pos").alias("a"), (F.col("pos") + min_len).alias("b"))
     found = hit.unionByName(both.where(whole))
     before = Window.partitionBy("t").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)  # one text
     islands = found.withColumn("new", F.coalesce(F.col("a") > F.max("b").over(before), F.lit(True)).cast("int"))
@@ -214,7 +203,7 @@ def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     merged = islands.groupBy("t", "island").agg(F.min("a").cast("bigint").alias("span_start"), F.max("b").cast("bigint").alias("span_end"))
     partly = classes.where("copies = 1").join(merged, "t").select(F.col("rep").alias(id_col), "span_start", "span_end")
     # Classes with more than a ten-thousandth of all rows are broadcast.
-    copied = _by_group(slim.select("id", F.col("t").alias("h"), F.col("n").alias("length")), classes.where("copies > 1").select(F.col("t").alias("h"), F.col("copies").alias("n")))
+    copied = by_group(slim.select("id", F.col("t").alias("h"), F.col("n").alias("length")), classes.where("copies > 1").select(F.col("t").alias("h"), F.col("copies").alias("n")))
     copied = copied.select(F.col("id").alias(id_col), F.lit(0).cast("bigint").alias("span_start"), F.col("length").cast("bigint").alias("span_end"))
     return partly.unionByName(copied)
 

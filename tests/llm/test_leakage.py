@@ -29,6 +29,8 @@ def test_equals_brute_force_by_either_way(spark):
             own = items[d % 12][1].split()
             parts.append(",\n".join(own[rng.randint(0, 4) :]).upper())
         docs.append((d, " . ".join(parts)))
+    docs += [(200 + i, docs[i][1]) for i in range(20)] + [(300 + i, docs[3][1]) for i in range(40)]
+    items += [(20, items[3][1]), (21, items[3][1])]
     a = spark.createDataFrame([(d, x, 1, "x") for d, x in docs], DOCS)
     b = spark.createDataFrame([(i, "s", x) for i, x in items], ITEMS)
     for most in (10_000, 1):
@@ -46,6 +48,16 @@ def test_reordered_passages_are_covered(spark):
     assert leaks(a.limit(0), b).count() == 0 and leaks(a, b.limit(0)).count() == 0
 
 
+def test_other_scripts_and_short_items(spark):
+    text = "и вот тринадцать слов подряд которые стоят и в тексте и в проверке"
+    a = spark.createDataFrame([(1, "Вначале. " + text.upper() + "! Конец", 1, "x"), (2, "nur drei Wörter hier", 1, "x")], DOCS)
+    b = spark.createDataFrame([(1, "s", text), (2, "s", "drei Wörter hier"), (3, "s", "hier drei Wörter"), (4, "s", "")], ITEMS)
+    for most in (10_000, 1):
+        both = {(r["doc_id"], r["item_id"], r["coverage"]) for r in leaks(a, b, words=r"\w+", short=True, most_broadcast=most).collect()}
+        assert both == {(1, 1, 1.0), (2, 2, 1.0)}
+    assert leaks(a, b).count() == 0 and {r["item_id"] for r in leaks(a, b, words=r"\w+").collect()} == {1}
+
+
 def test_tiles_do_not_overlap():
     # words 0-9 of the document equal words 0-9 of the item; words 5-12 equal words 20-27
     pos = np.array([0, 1, 2, 3, 4, 5, 5, 6, 7])
