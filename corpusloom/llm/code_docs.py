@@ -53,7 +53,12 @@ _TAG = re.compile(r"@\w|:(?:param|parameter|arg|argument|key|keyword|type|return
 _BLOCK = re.compile(r"(?:Args|Arguments|Parameters|Params|Keyword Args|Keyword Arguments|Other Parameters|Returns?|Raises|Yields?|Attributes)\s*:?\s*$")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _NAME_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[^\W\d_]+")
-SPANS = "struct<comments:array<struct<start:int,end:int,text:string>>,functions:array<struct<start:int,end:int,docstring:string>>,others:array<struct<start:int,end:int>>>"
+SPANS = "struct<comments:array<struct<start:int,end:int,text:string>>,functions:array<struct<start:int,end:int,name:string,docstring:string,own:boolean>>,others:array<struct<start:int,end:int>>>"
+_CONTROL = {"if", "for", "while", "switch", "catch", "return", "function", "await", "typeof", "super"}
+_PATTERN = re.compile(r"((?:[(,=:\[!&|?{};+\n]|\breturn)\s*)/(?![/*\s])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*")
+_PYTHON_HEAD = re.compile(r"\((?:[^()\"'#]|\((?:[^()]|\([^()]*\))*\)|'[^'\n]*'|\"[^\"\n]*\"|#[^\n]*)*\)[^:\n]*:")
+_BODY = re.compile(r"\s*(?::[^{};=]*(?:\{[^{}]*\}[^{};=]*)*?)?\s*(?:=>\s*)?\{")
+_EXPRESSION_BODY = re.compile(r"\s*(?::[^{};=]*)?\s*=>")
 
 
 def _content(comment: str) -> list[str]:
@@ -64,57 +69,129 @@ def _content(comment: str) -> list[str]:
     return [re.sub(r"^\s*(?://+|#+)[!:]?", "", line).strip() for line in comment.replace("\r", "").split("\n")]
 
 
-def spans(text: str, name: str | None, python: bool) -> tuple[list, list, list]:
-    """Comments, functions and other text up to the function called name (or the first one)."""
-    tokens = list(_TOKEN[python].finditer(text))
-    covered = [(m.start(), m.end()) for m in tokens]
-    inside = iter([*covered, (len(text) + 1, len(text) + 1)])
-    lo, hi = next(inside)
-    first = chosen = None
-    for m in (_PYTHON_FUNCTION if python else _SCRIPT_FUNCTION).finditer(text):
-        at = m.end() - 1
-        while hi <= at:
-            lo, hi = next(inside)
-        if lo <= at < hi:
-            continue
-        own = m.group(m.lastgroup)
-        if own in ("if", "for", "while", "switch", "catch", "return", "function", "await", "typeof", "super"):
+def _comments(text: str, tokens: list[re.Match]) -> list[tuple[int, int, str]]:
+    """(start, end, text) of all comments; line comments on successive lines are one, lint directives of one line none."""
+    found: list[list] = []
+    for t in tokens:
+        if not t.lastgroup:
             continue
-        first = first or m
-        if name and own == name:
-            chosen = m
-            break
-    m = chosen or first
-    if m is None:
-        return [], [], []
-    start = m.start() + len(m[0]) - len(m[0].lstrip())
-    docstring = None
-    if python:
-        body = re.compile(r"\((?:[^()\"'#]|\((?:[^()]|\([^()]*\))*\)|'[^'\n]*'|\"[^\"\n]*\"|#[^\n]*)*\)[^:\n]*:").match(text, m.end())
-        if body and (d := _DOCSTRING.match(text, body.end())):
-            docstring = d[2]
-    comments: list[list] = []
-    others: list[tuple[int, int]] = []
-    at = 0
-    for t in [*(t for t in tokens if t.lastgroup and t.end() <= start), None]:
-        gap = text[at : t.start() if t else start]
-        rest = _DECORATOR.sub("", gap)
-        if rest.strip(" \t\r\n﻿") or re.search(r"\n[ \t\r]*\n", gap if at else gap.lstrip()):
-            others.append((at, t.start() if t else start))
-        if t is None:
-            break
         c = t["c"]
-        if c.startswith("/*") or not comments or not comments[-1][3] or text[comments[-1][1] : t.start()].strip() or text[comments[-1][1] : t.start()].count("\n") != 1:
-            comments.append([t.start(), t.end(), c, not c.startswith("/*")])
+        block = c.startswith("/*")
+        between = text[found[-1][1] : t.start()] if found else ""
+        if block or not found or not found[-1][3] or between.strip() or between.count("\n") != 1:
+            found.append([t.start(), t.end(), c, not block])
         else:  # the next line of a run of line comments
-            comments[-1][1], comments[-1][2] = t.end(), comments[-1][2] + "\n" + c
-        at = t.end()
+            found[-1][1], found[-1][2] = t.end(), found[-1][2] + "\n" + c
     kept = []
-    for a, b, c, _ in comments:
+    for a, b, c, _ in found:
         lines = [x for x in _content(c) if x]
         if not lines or not all(_DIRECTIVE.match(x) for x in lines) or c.startswith("/*"):
             kept.append((a, b, c))
-    return kept, [(start, m.end(), docstring)], others
+    return kept
+
+
+def _heads(text: str, tokens: list[re.Match], python: bool) -> list[re.Match]:
+    """Where a function may begin: outside of comments and strings."""
+    inside = iter([*((m.start(), m.end()) for m in tokens), (len(text) + 1, len(text) + 1)])
+    lo, hi = next(inside)
+    found = []
+    for m in (_PYTHON_FUNCTION if python else _SCRIPT_FUNCTION).finditer(text):
+        at = m.end() - 1
+        while hi <= at:
+            lo, hi = next(inside)
+        if not lo <= at < hi and m.group(m.lastgroup) not in _CONTROL:
+            found.append(m)
+    return found
+
+
+def _closing(bare: str, at: int) -> int:
+    """Just behind the bracket that closes the one at `at`; -1 if there is none. bare has no brackets in comments and strings."""
+    depth = 0
+    for m in re.compile(r"[(\[{]|[)\]}]").finditer(bare, at):
+        depth += 1 if m[0] in "([{" else -1
+        if depth == 0:
+            return m.end()
+    return -1
+
+
+def _end(bare: str, head: re.Match, python: bool) -> int:
+    """The end of the function with this head, or -1 if no body follows."""
+    if python:
+        indent = len(head[0]) - len(head[0].lstrip())
+        opened = bare.find("(", head.end())
+        at = bare.find("\n", _closing(bare, opened) if opened >= 0 else head.end())
+        end = len(bare) if at < 0 else at
+        for m in re.compile(r"\n([ \t]*)([^\s][^\n]*)").finditer(bare, max(at, 0) if at >= 0 else len(bare)):
+            if len(m[1]) <= indent:
+                break
+            end = m.end()
+        return end
+    opened = bare.find("(", head.start(head.lastgroup))
+    if head.lastgroup == "v" and (arrow := re.compile(r"[^\n(]*=>").match(bare, head.end(head.lastgroup))):
+        closed = arrow.end()
+        at = re.compile(r"\s*\{").match(bare, closed)
+    else:
+        closed = _closing(bare, opened) if opened >= 0 else -1
+        if closed < 0:
+            return -1
+        at = _BODY.match(bare, closed)
+        if not at and (arrow := _EXPRESSION_BODY.match(bare, closed)):
+            closed = arrow.end()
+        elif not at:
+            return -1
+    if at:
+        end = _closing(bare, at.end() - 1)
+        return end + (head.lastgroup == "v" and bare.startswith(";", end))
+    depth = 0
+    for m in re.compile(r"[(\[{]|[)\]}]|;|\n(?!\s*[.?:&|+])").finditer(bare, closed):
+        depth += (m[0] in "([{") - (m[0] in ")]}")
+        if depth < 0 or depth == 0 and m[0] in ";\n" and bare[closed : m.start()].strip():
+            return m.end() if m[0] == ";" else m.start()
+    return len(bare)
+
+
+def spans(text: str, name: str | None, python: bool) -> tuple[list, list, list]:
+    """All comments, all functions and all stretches of other text between them, found independently of one another.
+
+    Functions are (start, end, name, docstring, own); own is the one called name or, if there is none, the first. A head without a
+    body counts only as the own one.
+    """
+    tokens = list(_TOKEN[python].finditer(text))
+    heads = _heads(text, tokens, python)
+    if not heads:
+        return [], [], []
+    own = next((m for m in heads if name and m.group(m.lastgroup) == name), heads[0])
+    blank = [(m.start(), m.end()) for m in tokens]
+    bare, at = [], 0
+    for a, b in blank:
+        bare += [text[at:a], re.sub(r"[^\n]", " ", text[a:b]) if text[a] in "#/" else "_" * (b - a)]
+        at = b
+    code = "".join([*bare, text[at:]])
+    if not python:
+        code = _PATTERN.sub(lambda m: m[1] + "_" * (len(m[0]) - len(m[1])), code)
+    functions = []
+    for m in heads:
+        end = _end(code, m, python)
+        if end < 0 and m is not own:
+            continue
+        docstring = None
+        if python:
+            body = _PYTHON_HEAD.match(text, m.end())
+            if body and (d := _DOCSTRING.match(text, body.end())):
+                docstring = d[2]
+        start = m.start() + len(m[0]) - len(m[0].lstrip())
+        functions.append((start, end if end >= 0 else len(text), m.group(m.lastgroup), docstring, m is own))
+    comments = _comments(text, tokens)
+    # What stands between one comment or function head and the next.
+    bounds = sorted([(t.start(), t.end()) for t in tokens if t.lastgroup] + [(f[0], f[0]) for f in functions])
+    others, at = [], 0
+    for a, b in [*bounds, (len(text), len(text))]:
+        gap = text[at:a]
+        rest = _DECORATOR.sub("", gap)
+        if rest.strip(" \t\r\n\ufeff") or re.search(r"\n[ \t\r]*\n", gap if at else gap.lstrip()):
+            others.append((at, a))
+        at = b
+    return comments, functions, others
 
 
 def prose(lines: list[str], code: bool = True) -> str:
@@ -146,7 +223,7 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for text, name, python in zip(pdf["text"], pdf["name"], pdf["python"]):
             c, f, o = spans(text, name, bool(python))
-            rows.append({"comments": [dict(zip(("start", "end", "text"), x)) for x in c], "functions": [dict(zip(("start", "end", "docstring"), x)) for x in f], "others": [dict(zip(("start", "end"), x)) for x in o]})
+            rows.append({"comments": [dict(zip(("start", "end", "text"), x)) for x in c], "functions": [dict(zip(("start", "end", "name", "docstring", "own"), x)) for x in f], "others": [dict(zip(("start", "end"), x)) for x in o]})
         yield pdf.assign(spans=rows)
 
 
@@ -159,7 +236,7 @@ def _describe(least: int):
                 parts += [prose(docstring.replace("\r", "").split("\n"))] if docstring else []
                 parts = [p for p in parts if describes(p, name, least)]
                 kept.append("\n".join(parts) or None)
-            yield pdf[["chunk_id", "repo", "path", "language", "name", "text"]].assign(description=kept)
+            yield pdf[["chunk_id", "repo", "path", "language", "name", "code"]].assign(description=kept)
 
     return run
 
@@ -172,10 +249,11 @@ def asof(comments: Column, at: Column, others: Column) -> Column:
     return F.when(~F.coalesce(blocked, F.lit(True)), last["text"])
 
 
-def documented_functions(chunks: DataFrame, least_words: int = 4) -> DataFrame:
+def documented_functions(chunks: DataFrame, least_words: int = 4, nested: bool = False) -> DataFrame:
     """(chunk_id, repo, path, language, symbol_name, code, description) of the function and method rows that are documented.
 
-    Rows of other or no symbol_type, without text, or whose documentation is missing or trivial are dropped;
+    code is the function from its head to its end. With nested, the documented functions inside a row come out too, each
+    under its own name. Rows of other or no symbol_type, without text, or whose documentation is missing or trivial are dropped;
     repeated rows come out once. Other columns are ignored; null names count as names without words.
     """
     language = code_language(F.col("language"), F.col("path"))
@@ -186,11 +264,11 @@ def documented_functions(chunks: DataFrame, least_words: int = 4) -> DataFrame:
     schema = f"chunk_id string, repo string, path string, language string, name string, text string, python boolean, spans {SPANS}"
     extracted = own.mapInPandas(_extract, schema)
     # The nearest comment of each function, within the row: no shuffle.
-    functions = extracted.withColumn("f", F.explode("spans.functions"))
+    functions = extracted.withColumn("f", F.explode(F.col("spans.functions") if nested else F.filter("spans.functions", lambda f: f["own"])))
     joined = functions.select(
-        "chunk_id", "repo", "path", "language", "name", "text",
+        "chunk_id", "repo", "path", "language", F.when(F.col("f.own"), F.col("name")).otherwise(F.col("f.name")).alias("name"),
+        F.substring("text", F.col("f.start") + 1, F.col("f.end") - F.col("f.start")).alias("code"),
         asof(F.col("spans.comments"), F.col("f.start"), F.col("spans.others")).alias("comment"), F.col("f.docstring").alias("docstring"),
     ).where("comment is not null or docstring is not null")
-    described = joined.mapInPandas(_describe(least_words), "chunk_id string, repo string, path string, language string, name string, text string, description string")
-    found = described.where("description is not null").withColumnsRenamed({"name": "symbol_name", "text": "code"})
-    return found.dropDuplicates(["chunk_id", "repo", "path", "code"])
+    described = joined.mapInPandas(_describe(least_words), "chunk_id string, repo string, path string, language string, name string, code string, description string")
+    return described.where("description is not null").withColumnRenamed("name", "symbol_name").dropDuplicates(["chunk_id", "repo", "path", "symbol_name", "code"])

@@ -56,3 +56,25 @@ def test_function_documented_by_two_lines_the_first_ending_in_a_semicolon(spark)
     text = "// Callers must hold the branch open;\n// flushes later.\nfunction f(a) {}"
     got = documented_functions(spark.createDataFrame([("a", "r", "a.js", None, "function", "f", text, "", 1)], SCHEMA)).collect()
     assert [r["description"] for r in got] == ["Callers must hold the branch open; flushes later."]
+
+
+def pairs(spark, text, path, name, **options):
+    df = spark.createDataFrame([("a", "r", path, None, "function", name, text, "", 1)], SCHEMA)
+    return {(r["symbol_name"], r["code"], r["description"]) for r in documented_functions(df, **options).collect()}
+
+
+def test_every_function_of_a_text_meets_its_nearest_comment(spark):
+    inner = "function inner(b) {\n    return /[)}]/.test(b) ? '}' : \"{\";\n  }"
+    arrow = "const last = async (a: number): Promise<void> => a + 1;"
+    outer = f"function outer(a) {{\n  // Checks whether the text has closing brackets.\n  {inner}\n  return inner(a);\n}}"
+    text = f"/** {GOOD} */\n{outer}\nlet x = 1;\n// Adds one to the given number.\n{arrow}\n// This comment belongs to the statement below.\nlet y = 2;\nfunction bare() {{}}\n"
+    assert pairs(spark, text, "a.ts", "outer") == {("outer", outer, GOOD)}
+    assert pairs(spark, text, "a.ts", "outer", nested=True) == {("outer", outer, GOOD), ("inner", inner, "Checks whether the text has closing brackets."), ("last", arrow, "Adds one to the given number.")}
+    assert pairs(spark, text, "a.ts", "bare") == set()
+
+
+def test_python_functions_end_with_their_indentation(spark):
+    inner = f'def inner(c):\n        """{GOOD}"""\n        return c'
+    outer = f"def outer(a,\n          b=(1, 2)):\n    # Counts all rows of the table twice.\n    {inner}\n\n    return 3"
+    text = f"# Joins both sides of the given pair.\n{outer}\n\nx = 1\n"
+    assert pairs(spark, text, "a.py", "outer", nested=True) == {("outer", outer, "Joins both sides of the given pair."), ("inner", inner, f"Counts all rows of the table twice.\n{GOOD}")}
