@@ -109,6 +109,14 @@ def _tokens(text: str) -> list[str]:
     return _TOKEN.findall(text)
 
 
+_DIFFERENT = re.compile(r"`|(?<![\w.])0\d")
+
+
+@lru_cache(2)
+def _plain_line(text: str) -> str:
+    return _line(text, False)
+
+
 def _line(text: str, typed: bool) -> str:
     """Token classes with a space between; an odd character or an open text is \\0."""
     tokens = _tokens(text)
@@ -145,17 +153,25 @@ def _reduce(line: str, typed: bool) -> str | None:
     return None if opened else "".join(parts[0])
 
 
+_READINGS = {
+    "(": (("args", ARGS), ("expr", EXPR), ("params", PARAMS), ("for_head", FOR), ("catch", BINDING), ("type_all", TYPE)),
+    "[": (("array", ARRAY), ("expr", INDEX), ("pattern_list", PATTERN), ("tuple_type", TUPLE), ("type_index", TYPE_INDEX), ("signature", SIGNATURE)),
+    "{": (("object", OBJECT), ("fields", FIELDS), ("names", NAMES), ("enum", ENUM)),
+}
+_TYPED_READINGS = {"type_all", "tuple_type", "type_index", "signature", "enum"}
+
+
 @lru_cache(100_000)
 def _symbol(opening: str, content: str, typed: bool) -> str:
-    flat = content.replace("\n", "")
-    readings = {"(": (("args", ARGS), ("expr", EXPR), ("params", PARAMS), ("for_head", FOR), ("catch", BINDING), ("type_all", TYPE)), "[": (("array", ARRAY), ("expr", INDEX), ("pattern_list", PATTERN), ("tuple_type", TUPLE), ("type_index", TYPE_INDEX), ("signature", SIGNATURE)), "{": (("object", OBJECT), ("fields", FIELDS), ("names", NAMES), ("enum", ENUM))}[opening]
-    bits = sum(bit for name, bit in readings if (typed or name not in ("type_all", "tuple_type", "type_index", "signature", "enum")) and _reads(flat, typed, name))
+    flat = _Parser(content.replace("\n", ""), typed)
+    bits = sum(bit for name, bit in _READINGS[opening] if (typed or name not in _TYPED_READINGS) and flat.reads(name))
     if opening == "{":
         block = statements(content, typed, False)
         if block is not None:
             bits |= BLOCK | _flags(block)
-        bits |= CLASS * bool(_reads(content, typed, "class_body")) | MEMBERS * (typed and bool(_reads(content, typed, "members")))
-        cases = _reads(content, typed, "switch_body")
+        lines = _Parser(content, typed) if "\n" in content else flat
+        bits |= CLASS * bool(lines.reads("class_body")) | MEMBERS * (typed and bool(lines.reads("members")))
+        cases = lines.reads("switch_body") if lines.t[0] in ("case", "default", "") else None
         if cases:
             bits |= SWITCH | _flags(cases)
     return f"{'PQR'['([{'.index(opening)]}{bits}"
@@ -167,12 +183,7 @@ def _flags(found: tuple[bool, bool, bool, bool]) -> int:
 
 def _reads(content: str, typed: bool, rule: str) -> tuple[bool, bool, bool, bool] | None:
     """Whether the whole content can be read by the rule: (has a return, an await, a break and a continue of its own) or None."""
-    p = _Parser(content, typed)
-    try:
-        getattr(p, rule)()
-    except Bad:
-        return None
-    return (p.returns, p.awaits, p.breaks, p.continues) if p.at == len(p.t) - 1 else None
+    return _Parser(content, typed).reads(rule)
 
 
 _CONTINUES = {"else", "catch", "finally", "while", "instanceof", "in", "as", "satisfies", "of", "from", "extends"}
@@ -344,7 +355,7 @@ def parses(text: str, typed: bool, markup: bool = False) -> bool | None:
         text = "//" + text[2:]
     text = text.replace("\r\n", "\n").replace("\r", "\n").replace("\u2028", "\n").replace("\u2029", "\n")
     try:
-        line = _line(text, typed)
+        line = _line(text, typed) if _DIFFERENT.search(text) else _plain_line(text)
         if _accepts(line, typed):
             return True
         delicate = markup or _BAD in line and "`" in text or _DELICATE.search(text)
@@ -366,10 +377,18 @@ class _Parser:
             self.t += words
         self.fresh.add(len(self.t))
         self.t.append("")
-        self.at = 0
         self.typed = typed
+
+    def reads(self, rule: str) -> tuple[bool, bool, bool, bool] | None:
+        """Whether the whole line can be read by the rule: (has a return, an await, a break and a continue of its own) or None."""
+        self.at = 0
         self.returns = self.awaits = self.breaks = self.continues = False
         self.unconditional = False  # in what a conditional type extends
+        try:
+            getattr(self, rule)()
+        except Bad:
+            return None
+        return (self.returns, self.awaits, self.breaks, self.continues) if self.at == len(self.t) - 1 else None
 
     # -- small steps
     @property
