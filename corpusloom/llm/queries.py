@@ -55,6 +55,11 @@ def p2_invalid_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return invalid_rates(read_table(spark, sf_dir, "source_files"))
 
 
+def p2_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those of p2_found that are JSON files; SQL can state this part."""
+    return checked_files(read_table(spark, sf_dir, "source_files")).where("language = 'json' and not valid").select("file_id")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_provenance(spark, sf_dir).where("not by_hand").select("file_id")
 
@@ -71,6 +76,22 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_oversized(read_table(spark, sf_dir, "chunks"))
 
 
+def p4_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every split text put together again from its pieces, as a hash, with the pieces' greatest length and smallest overlap of neighbours."""
+    pieces = p4_pieces(spark, sf_dir).select("chunk_id", F.struct("piece", "char_start", "char_end", "text").alias("p")).distinct()
+    listed = pieces.groupBy("chunk_id").agg(F.array_sort(F.collect_list("p")).alias("p"))  # one text's pieces
+    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("until"), F.lit(300).alias("overlap"))
+    joined = F.aggregate(
+        "p", start,
+        lambda state, p: F.struct(
+            F.concat(state["text"], F.substring(p["text"], state["until"] - p["char_start"] + 1, F.length(p["text"]))).alias("text"),
+            p["char_end"].alias("until"), F.when(p["piece"] == 0, state["overlap"]).otherwise(F.least(state["overlap"], state["until"] - p["char_start"])).alias("overlap"),
+        ),
+    )
+    longest = F.array_max(F.transform("p", lambda p: F.length(p["text"])))
+    return listed.select("chunk_id", F.md5(joined["text"]).alias("whole"), (longest <= 2000).alias("fits"), (joined["overlap"] == 300).alias("overlaps"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_pairs(spark, sf_dir).select("chunk_id").distinct()
 
@@ -100,6 +121,14 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets"))[1]
 
 
+def p7_within_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source of the targets, whether no record was used more often than allowed and the sizes add up."""
+    picked, report = mixture(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets"))
+    used = picked.groupBy("source").agg(F.max("copies").alias("most"), F.count("*").alias("rows"), F.countDistinct("doc_id").alias("docs"))
+    kept = (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")) & (F.coalesce("rows", F.lit(0)) == F.coalesce("docs", F.lit(0)))
+    return report.join(used, "source", "left").select("source", "max_repeats", kept.alias("kept"), (F.col("mixed_tokens") <= F.col("available_tokens") * F.col("max_repeats")).alias("covered"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans(read_table(spark, sf_dir, "documents"))
 
@@ -140,6 +169,9 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _P1,
         "p1_search": _SEARCH,
+        "p2_json": "SELECT file_id FROM source_files WHERE text IS NOT NULL AND coalesce(nullif(lower(trim(language)), ''), CASE WHEN lower(path) LIKE '%.json' THEN 'json' END) = 'json' AND NOT json_valid(text)",
+        "p4_rebuilt": "SELECT DISTINCT chunk_id, md5(text) AS whole, true AS fits, true AS overlaps FROM chunks WHERE length(text) > 2000",
+        "p7_within_limits": "SELECT source, max(coalesce(max_repeats, 0)) AS max_repeats, true AS kept, true AS covered FROM mix_targets WHERE source IS NOT NULL GROUP BY source",
         "p4_found": "SELECT DISTINCT chunk_id FROM chunks WHERE length(text) > 2000",
         "p6_found": _P6,
         "p8_found": _P8,

@@ -195,7 +195,7 @@ def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     chosen = ranges.join(classes, "t").select(F.col("rep").alias("id"), "ranges")
     windows = cut(base.select("id", "t", "text").join(chosen, "id").select("text", "t", "ranges").mapInPandas(_windows(min_len), WINDOW_SCHEMA), "windows")
     common = cut(windows.groupBy("h").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("h", "n"), "common")
-    hit = by_group(windows, common, "left_semi").select("t", F.col("pos").alias("a"), (F.col("pos") + min_len).alias("b"))
+    hit = by_group(windows, common, how="left_semi").select("t", F.col("pos").alias("a"), (F.col("pos") + min_len).alias("b"))
     found = hit.unionByName(both.where(whole))
     before = Window.partitionBy("t").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)  # one text
     islands = found.withColumn("new", F.coalesce(F.col("a") > F.max("b").over(before), F.lit(True)).cast("int"))
