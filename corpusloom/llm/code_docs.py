@@ -41,11 +41,11 @@ _PENDING = re.compile(
     r"(?:@?todo|fixme|xxx|tbd|hack|wip|placeholder)\b|.*\b(?:to be (?:written|documented|described|done|added)|(?:write|add|missing|needs?|no|lacks?|awaiting|pending|improve|fill in)\s+(?:the\s+|some\s+|proper\s+|a\s+|more\s+|any\s+|real\s+|better\s+)*(?:docs?|documentation|docstrings?|descriptions?|comments?|jsdoc)\b|document(?:ation)?\s+(?:this|me|later|pending|missing|to follow|follows|tbd)|undocumented|not (?:yet )?documented|(?:please\s+)?(?:describe|explain|document)\s+(?:this|me|here)\b|docs? (?:later|pending|missing|to follow|coming))",
     re.I,
 )
-#: A line of at least four plain words that ends in a semicolon, without a mark or a first word of code.
-_SENTENCE = r"(?!(?:const|let|var|import|export|throw)\b|(?:else )?(?:if|for|while|switch|catch)\s*\()(?!.*(?:[=\[\]{}<>`$]|\w\(|![\w(]|&&|\|\|))(?:.*?(?<![\w$.])[^\W\d_]+(?:['’-][^\W\d_]+)*(?![\w$(]|\.\w)){4}.*;\s*$"
+_CODE_START = re.compile(r"(?:const|let|var|import|export|throw)\b|(?:else )?(?:if|for|while|switch|catch)\s*\(")
+_CODE_MARK = re.compile(r"[=\[\]{}<>`$]|\w\(|![\w(]|&&|\|\|")
+_PLAIN_WORD = re.compile(r"(?<![\w$.])[^\W\d_]+(?:['’-][^\W\d_]+)*(?![\w$(]|\.\w)")
 _INLINE_TAG = re.compile(r"\{@\w+[^{}]*\}")
 _CODE = re.compile(
-    rf"(?!{_SENTENCE})"
     r".*[;{}]\s*$|(?:const|let|var|return|import|export|def|class|function|await|throw|elif|else:|try:|raise|yield|del)\b.*[=(){}\[\]:]|(?:if|for|while|with|switch|catch|except)\b\s*\(?.*[:{)]\s*$|[\w$.\[\]]+\s*[-+*/|&]?=(?!=)\s*\S+.*|[\w$.]+\([^)]*\)\s*$|[\w$]+(?:\.[\w$]+)+\(.*|@\w+\("
 )
 _PROSE_TAG = re.compile(r"[@\\](?:description|summary)\b:?\s*(.*)$", re.I)
@@ -194,6 +194,13 @@ def spans(text: str, name: str | None, python: bool) -> tuple[list, list, list]:
     return comments, functions, others
 
 
+def _is_code(line: str) -> bool:
+    """Whether a comment line is disabled code; a line of at least four plain words that ends in a semicolon, without a mark or a first word of code, is not."""
+    if not _CODE.match(line):
+        return False
+    return not (line.endswith(";") and not _CODE_START.match(line) and not _CODE_MARK.search(line) and len(_PLAIN_WORD.findall(line)) >= 4)
+
+
 def prose(lines: list[str], code: bool = True) -> str:
     """What of a comment's lines is prose, joined by spaces."""
     out: list[str] = []
@@ -207,7 +214,7 @@ def prose(lines: list[str], code: bool = True) -> str:
             out.append(m[1])
         elif _TAG.match(line) or _BLOCK.match(line):
             skipping = True
-        elif not (skipping or _DIRECTIVE.match(line) or _RULER.match(line) or _PENDING.match(line) or (code and _CODE.match(_INLINE_TAG.sub("", line)))):
+        elif not (skipping or _DIRECTIVE.match(line) or _RULER.match(line) or _PENDING.match(line) or (code and _is_code(_INLINE_TAG.sub("", line).strip()))):
             out.append(line)
     return " ".join(x for x in out if x)
 
