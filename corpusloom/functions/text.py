@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TOKEN = "[a-z0-9_]+"
 BUCKETS = 30_000
-#: White space that is trimmed, and words without meaning of their own.
-BLANK = r"[\s\x{00a0}\x{feff}]+"
-STOP_WORDS = """a an the and or but if then else of to in on at by for with from as is are was were be been being it its this that these those
-has have had do does did will would can could should may might must not no nor so than too very we you he she they them their our your
-which who whom what when where why how all any each few more most other some such only own same into over under again once here there""".split()
-OPINION = r"(?i)i think|i believe|in my opinion|probably|perhaps|maybe|might|could be|seems|should"
-META = r"(?i)^(?:let me|i will|i'll|here is|here are|as mentioned|note that|in summary)"
+#: White space that is trimmed, words without meaning of their own, marks of opinions and of remarks about an answer.
+BLANK = " \t\n\x0b\f\r\u00a0\ufeff"
+STOP_WORDS = """the a an is are was were be been being have has had do does did will would could should may might must shall can
+to of in for on with at by from as into through during before after above below between under again further then once here there
+when where why how all each few more most other some such no nor not only own same so than too very just and but if or because
+until while this that these those it its""".split()
+OPINION = r"(?i)(think|believe|feel|suggest|recommend)|(might|could|should|probably|perhaps|maybe)|(in my opinion|i would say|it seems)"
+META = r"(?i)^(in summary|to summarize|as mentioned|to clarify|note that)|^(as i said|as noted|as shown|as we can see)|^(let me|i will|i can|i should)"
 
 
 def trim_blank(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{BLANK}|{BLANK}$", "")
+    return F.btrim(text, F.lit(BLANK))
 
 
 def tokens(text: Column) -> Column:
@@ -41,6 +44,20 @@ def bucket(term: Column) -> Column:
     return F.abs(term_hash(term)) % BUCKETS
 
 
+def hashed_embedding(text: Column, size: int = 64) -> Column:
+    """The default embedder: counts of the terms' buckets, scaled to length 1 (all zero without terms)."""
+
+    def scaled(counts: Column) -> Column:
+        norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
+        return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+
+    def counted(dims: Column) -> Column:
+        sums = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda d: F.size(F.filter(dims, lambda x: x == d)).cast("double"))
+        return bound(sums, scaled)
+
+    return bound(F.transform(tokens(text), lambda t: F.abs(term_hash(t)) % size), counted)
+
+
 def slugify(text: Column) -> Column:
     dashed = F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-")
     return F.substring(F.regexp_replace(F.regexp_replace(dashed, "^-", ""), "-$", ""), 1, 30)
@@ -61,11 +78,59 @@ def truncate_lines(text: Column, most: int) -> Column:
     return F.when(rest > 0, F.concat(F.array_join(F.slice(rows, 1, most), "\n"), F.lit("\n... (truncated, "), rest.cast("string"), F.lit(" more lines)"))).otherwise(text)
 
 
+def place(path: Column, start: Column, end: Column) -> Column:
+    return F.concat(path, F.lit(":"), start.cast("string"), F.lit("-"), end.cast("string"))
+
+
+def percent(score: Column) -> Column:
+    return F.concat(F.floor(score * 100 + 0.5).cast("int").cast("string"), F.lit("%"))
+
+
+def format_chunk(path: Column, start: Column, end: Column, language: Column, text: Column, score: Column, most_lines: int = 50, markdown: bool = True) -> Column:
+    """A chunk with its place, its first lines and, unless score is null, its relevance, as Markdown or plain text."""
+    body = truncate_lines(text, most_lines)
+    if markdown:
+        parts = [F.concat(F.lit("### "), place(path, start, end)), F.concat(F.lit("```"), F.coalesce(language, F.lit("")), F.lit("\n"), body, F.lit("\n```")), F.concat(F.lit("*Relevance: "), percent(score), F.lit("*"))]
+    else:
+        parts = [F.concat(F.lit("--- "), place(path, start, end), F.lit(" ---")), body, F.concat(F.lit("[Relevance: "), percent(score), F.lit("]"))]
+    return F.concat_ws("\n", *parts)
+
+
 def sentences(text: Column) -> Column:
     """The text split after . ! or ? before white space."""
     return F.split(text, r"(?<=[.!?])\s+")
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value evaluated once however often body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def pieces_at(text: Column, start: str) -> Column:
+    """The text cut before every line that begins like the pattern: array of (k, piece, start_line, end_line), lines 0-based.
+
+    The pattern must not cross a line's end. The line end before a cut is left out. In the row: nothing is shuffled.
+    """
+
+    def placed(pieces: Column, starts: Column) -> Column:
+        def one(k: Column) -> Column:
+            piece, last = F.get(pieces, k), k == F.size(pieces) - 1
+            end = F.get(starts, k + 1)
+            return F.struct(
+                k.alias("k"), F.when(last, piece).otherwise(F.substring(piece, F.lit(1), F.length(piece) - 1)).alias("piece"),
+                F.get(starts, k).alias("start_line"), F.when(last, end).otherwise(end - 1).alias("end_line"),
+            )
+
+        return F.transform(F.sequence(F.lit(0), F.size(pieces) - 1), one)
+
+    def with_starts(pieces: Column) -> Column:
+        ends = F.transform(pieces, lambda p: F.length(p) - F.length(F.replace(p, F.lit("\n"), F.lit(""))))
+        starts = F.aggregate(ends, F.array(F.lit(0)), lambda done, n: F.concat(done, F.array(F.element_at(done, -1) + n)))
+        return bound(starts, lambda x: placed(pieces, x))
+
+    return bound(F.split(text, rf"(?<![^\n])(?={start})", -1), with_starts)
+
+
 def is_verifiable(claim: Column) -> Column:
     """Neither a question nor an opinion nor a remark about the answer itself."""
     return ~(trim_blank(claim).endswith("?") | claim.rlike(OPINION) | claim.rlike(META))
@@ -73,7 +138,7 @@ def is_verifiable(claim: Column) -> Column:
 
 def keywords(text: Column) -> Column:
     """Words of more than two characters outside the stop list; marks inside words are dropped."""
-    words = F.transform(F.split(F.lower(text), r"\s+"), lambda w: F.regexp_replace(w, "[^a-z0-9]", ""))
+    words = F.split(F.regexp_replace(F.lower(text), r"[^a-z0-9\s]", ""), r"\s+")
     return F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(STOP_WORDS))
 
 

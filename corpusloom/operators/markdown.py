@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import trim_blank
+from corpusloom.functions.text import pieces_at, trim_blank
 
-HEADER = r"^(#{1,6})\s+([^\n\r\x{2028}\x{2029}]+)\z"
+HEADER = r"(#{1,6})[^\S\n]+([^\n\r\x{2028}\x{2029}]+)(?:\n|\z)"
 
 
 def sections(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
@@ -16,17 +16,12 @@ def sections(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     Text before the first header is titled `(document start)`, level 0; sections without content are
     dropped. Lines are 0-based; a header that ends in a carriage return isn't one. Null texts give no rows.
     """
-    rows = docs.where(F.col(text_col).isNotNull()).select(id_col, F.posexplode(F.split(text_col, "\n", -1)).alias("line", "content"))
-    w = Window.partitionBy(id_col).orderBy("line")
-    flagged = rows.withColumn("head", F.col("content").rlike(HEADER)).withColumn("section", F.sum(F.col("head").cast("int")).over(w))
-    grouped = flagged.groupBy(id_col, "section").agg(
-        F.max(F.when(F.col("head"), F.regexp_extract("content", HEADER, 2))).alias("title"),
-        F.max(F.when(F.col("head"), F.length(F.regexp_extract("content", HEADER, 1)))).alias("level"),
-        F.min("line").alias("start_line"), F.max("line").alias("end_line"),
-        F.sort_array(F.collect_list(F.when(~F.col("head"), F.struct("line", "content")))).alias("body"),
-    )
-    content = trim_blank(F.array_join(F.transform("body", lambda x: x["content"]), "\n"))
-    out = grouped.select(id_col, F.col("section").cast("int"), F.coalesce(trim_blank(F.col("title")), F.lit("(document start)")).alias("title"), F.coalesce("level", F.lit(0)).alias("level"), "start_line", "end_line", content.alias("content"))
+    rows = docs.where(F.col(text_col).isNotNull()).select(id_col, F.col(text_col).rlike(rf"\A{HEADER}").cast("int").alias("led"), F.explode(pieces_at(F.col(text_col), HEADER)).alias("p"))
+    marks = F.regexp_extract("p.piece", rf"\A{HEADER}", 1)
+    headed = rows.select(id_col, "led", "p", marks.alias("marks"))
+    title = F.when(F.col("marks") == "", F.lit("(document start)")).otherwise(trim_blank(F.regexp_extract("p.piece", rf"\A{HEADER}", 2)))
+    content = trim_blank(F.when(F.col("marks") == "", F.col("p.piece")).otherwise(F.regexp_replace("p.piece", rf"\A{HEADER}", "")))
+    out = headed.select(id_col, (F.col("p.k") + F.col("led")).alias("section"), title.alias("title"), F.length("marks").alias("level"), F.col("p.start_line").alias("start_line"), F.col("p.end_line").alias("end_line"), content.alias("content"))
     return out.where(F.length("content") > 0)
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators.sequences import previous
@@ -51,6 +53,20 @@ def quantize_int8(vectors: DataFrame, id_col: str, vector_col: str, quantile: fl
     return vectors.join(F.broadcast(bound), F.lit(True)).select(id_col, "bound", F.transform(vector_col, lambda x: scaled(x).cast("tinyint")).alias("codes"))
 
 
+def embed_batch(rows: DataFrame, cache: DataFrame, id_col: str, text_col: str, embedder: Callable[[Column], Column]) -> DataFrame:
+    """(id_col, text_col, hash, origin, source, vector) of every row with a text.
+
+    cache: (id_col, vector), vectors of rows whose texts are among those of rows. Texts are known by the hash of their content; of several
+    cached vectors of one text that of the smallest id counts (source). Each text that the cache lacks is embedded once, however many rows hold it, and
+    the vectors are joined back. embedder: an expression from texts to array<double>, built-in or a pandas UDF around a model.
+    """
+    own = rows.where(F.col(text_col).isNotNull()).select(id_col, text_col, F.substring(F.sha2(text_col, 256), 1, 16).alias("hash"))
+    found = own.select(id_col, "hash").distinct().join(cache.where("vector is not null"), id_col).groupBy("hash").agg(F.min(id_col).alias("source"), F.min_by("vector", id_col).alias("vector"))
+    missing = own.groupBy("hash").agg(F.min(text_col).alias("text")).join(found.select("hash"), "hash", "left_anti")
+    vectors = found.withColumn("origin", F.lit("cached")).unionByName(missing.select("hash", embedder(F.col("text")).alias("vector"), F.lit(None).cast(own.schema[id_col].dataType).alias("source"), F.lit("embedded").alias("origin")))
+    return own.join(vectors, "hash").select(id_col, text_col, "hash", "origin", "source", "vector")
+
+
 def cache_hits(log: DataFrame, key: str, at: str, ttl: str = "INTERVAL 24 HOURS") -> DataFrame:
     """The access log with `hit`: the key was used before, within the time to live (each use renews it).
 

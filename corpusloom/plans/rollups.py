@@ -6,7 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.operators import code as C
 from corpusloom.operators import graph as G
+from corpusloom.operators import store as S
 from corpusloom.plans.scalars import _CLAIMS, _HASHED, _KEYS, _WORDS, _claims
 from corpusloom.plans.scans import _EXPORT, _IMPORT
 from corpusloom.session import read_table
@@ -24,28 +26,26 @@ def query(sql: str | None = None):
     return keep
 
 
-@query("SELECT repo, path, count(*) || ' chunk(s)' || chr(10) || string_agg(CASE WHEN n <= 5 THEN '- ' || chunk_id END, chr(10) ORDER BY n) || CASE WHEN count(*) > 5 THEN chr(10) || '... and ' || (count(*) - 5) || ' more' ELSE '' END AS summary FROM (SELECT *, row_number() OVER (PARTITION BY repo, path ORDER BY chunk_id) AS n FROM (SELECT DISTINCT repo, path, chunk_id FROM chunks)) GROUP BY repo, path")
-def summarize_chunks(spark, sf_dir):
-    """How many chunks a file has and the ids of the first five."""
-    own = read_table(spark, sf_dir, "chunks").select("repo", "path", "chunk_id").distinct().withColumn("n", F.row_number().over(Window.partitionBy("repo", "path").orderBy("chunk_id")))
-    first = F.array_sort(F.collect_list(F.when(F.col("n") <= 5, F.struct("n", F.concat(F.lit("- "), "chunk_id").alias("line")))))
-    grouped = own.groupBy("repo", "path").agg(F.count("*").alias("c"), F.array_join(F.transform(first, lambda x: x["line"]), "\n").alias("listed"))
-    more = F.when(F.col("c") > 5, F.concat(F.lit("\n... and "), F.col("c") - 5, F.lit(" more"))).otherwise(F.lit(""))
-    return grouped.select("repo", "path", F.concat(F.col("c").cast("string"), F.lit(" chunk(s)\n"), "listed", more).alias("summary"))
+@query("SELECT v.chunk_id, c.path, c.text FROM (SELECT DISTINCT chunk_id FROM vectors WHERE model = 'beacon-embed-48') v LEFT JOIN (SELECT chunk_id, path, text FROM chunks QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY indexed_at DESC NULLS LAST, path DESC NULLS LAST, text DESC NULLS LAST) = 1) c USING (chunk_id)")
+def get_chunk(spark, sf_dir):
+    """Chunks looked up by id (those with a vector of the second model): path and text of the newest row, null where the store has none."""
+    asked = read_table(spark, sf_dir, "vectors").where("model = 'beacon-embed-48'").select("chunk_id").distinct()
+    store = read_table(spark, sf_dir, "chunks").select("chunk_id", "path", "text", "indexed_at").join(asked, "chunk_id", "left_semi")
+    return asked.join(S.latest(store, ["chunk_id"], "indexed_at", "path", "text"), "chunk_id", "left").select("chunk_id", "path", "text")
 
 
-@query("SELECT repo, min(chunk_id) AS chunk_id, min_by(text, chunk_id) AS text FROM (SELECT DISTINCT repo, chunk_id, text FROM chunks WHERE text IS NOT NULL) GROUP BY repo")
-def get_chunk(spark, sf_dir):
-    """The text of each repository's first chunk id."""
-    own = read_table(spark, sf_dir, "chunks").where("text is not null").select("repo", "chunk_id", "text").distinct()
-    return own.groupBy("repo").agg(F.min("chunk_id").alias("chunk_id"), F.min_by("text", "chunk_id").alias("text"))
+_NODE = """CASE WHEN regexp_matches(line, '^export\\b') THEN 'export_statement' WHEN regexp_matches(line, '^(?:async\\s+)?function\\b') THEN 'function_declaration' WHEN regexp_matches(line, '^class\\b') THEN 'class_declaration' WHEN regexp_matches(line, '^(?:const|let)\\b') THEN 'lexical_declaration' WHEN regexp_matches(line, '^var\\b') THEN 'variable_declaration' WHEN symbol_type = 'method' THEN 'method_definition' ELSE 'expression_statement' END"""
 
 
-@query("SELECT DISTINCT chunk_id, CASE WHEN contains(k, 'function') THEN 'function' WHEN contains(k, 'class') THEN 'class' WHEN contains(k, 'method') THEN 'method' WHEN contains(k, 'module') OR contains(k, 'program') THEN 'module' ELSE 'other' END AS mapped FROM (SELECT chunk_id, lower(coalesce(symbol_type, '')) AS k FROM chunks)")
+@query(f"SELECT DISTINCT chunk_id, node, CASE WHEN contains(node, 'function') THEN 'function' WHEN contains(node, 'class') THEN 'class' WHEN node = 'method_definition' THEN 'method' WHEN contains(node, 'declaration') THEN 'module' ELSE 'other' END AS mapped FROM (SELECT chunk_id, {_NODE} AS node FROM (SELECT chunk_id, symbol_type, trim(regexp_extract(text, '(?m)^\\s*(?:export|async|function|class|const|let|var)\\b.*$', 0), ' ' || chr(9) || chr(10) || chr(13)) AS line FROM chunks WHERE text IS NOT NULL))")
 def symbol_type_map(spark, sf_dir):
-    kind = F.lower(F.coalesce("symbol_type", F.lit("")))
-    mapped = F.when(kind.contains("function"), "function").when(kind.contains("class"), "class").when(kind.contains("method"), "method").when(kind.contains("module") | kind.contains("program"), "module").otherwise("other")
-    return read_table(spark, sf_dir, "chunks").select("chunk_id", mapped.alias("mapped")).distinct()
+    """The syntax node that a chunk's first declaration begins, and its symbol type."""
+    line = F.btrim(F.regexp_extract("text", r"(?m)^\s*(?:export|async|function|class|const|let|var)\b[^\n]*", 0), F.lit(" \t\n\r"))
+    own = read_table(spark, sf_dir, "chunks").where("text is not null").select("chunk_id", "symbol_type", line.alias("line"))
+    begins = lambda pattern: F.col("line").rlike(pattern)
+    node = F.when(begins(r"^export\b"), "export_statement").when(begins(r"^(?:async\s+)?function\b"), "function_declaration").when(begins(r"^class\b"), "class_declaration")
+    node = node.when(begins(r"^(?:const|let)\b"), "lexical_declaration").when(begins(r"^var\b"), "variable_declaration").when(F.col("symbol_type") == "method", "method_definition").otherwise("expression_statement")
+    return own.select("chunk_id", node.alias("node")).distinct().withColumn("mapped", C.node_symbol_type(F.col("node")))
 
 
 @query("SELECT c.chunk_id, c.path, v.model, max(len(v.dense)) AS dim FROM (SELECT DISTINCT chunk_id, path FROM chunks) c JOIN vectors v USING (chunk_id) WHERE v.dense IS NOT NULL GROUP BY ALL")
@@ -108,10 +108,16 @@ def embed_text(spark, sf_dir):
 
 @query("WITH l AS (SELECT file_id, unnest(range(0, len(string_split(text, chr(10))))) AS line, unnest(string_split(text, chr(10))) AS content FROM source_files WHERE text IS NOT NULL), w AS (SELECT *, max(regexp_matches(content, 'await |console\\.')::INT) OVER (PARTITION BY file_id ORDER BY line ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS near FROM l) SELECT file_id, count(*) AS returns, count(*) FILTER (near = 1) AS wired, CASE WHEN count(*) FILTER (near = 1) = count(*) THEN 'WIRED' WHEN count(*) FILTER (near = 1) > 0 THEN 'PARTIAL' ELSE 'NOT_WIRED' END AS status FROM w WHERE regexp_matches(content, '\\breturn ') GROUP BY file_id")
 def link_wiring(spark, sf_dir):
-    """Whether each return has a call of interest within the five lines before it."""
-    rows = read_table(spark, sf_dir, "source_files").where("text is not null").select("file_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "content"))
-    near = F.max(F.col("content").rlike(r"await |console\.").cast("int")).over(Window.partitionBy("file_id").orderBy("line").rowsBetween(-5, 0))
-    by = rows.withColumn("near", near).where(F.col("content").rlike(r"\breturn ")).groupBy("file_id").agg(F.count("*").alias("returns"), F.count_if(F.col("near") == 1).alias("wired"))
+    """Whether each return has a call of interest within the five lines before it: a fold over a file's lines."""
+    start = F.struct(F.lit(99).alias("since"), F.lit(0).alias("returns"), F.lit(0).alias("wired"))
+
+    def step(s, line):
+        since = F.when(line.rlike(r"await |console\."), 0).otherwise(s["since"] + 1)
+        returns = line.rlike(r"\breturn ")
+        return F.struct(since.alias("since"), (s["returns"] + returns.cast("int")).alias("returns"), (s["wired"] + (returns & (since <= 5)).cast("int")).alias("wired"))
+
+    own = read_table(spark, sf_dir, "source_files").where("text is not null").select("file_id", F.aggregate(F.split("text", "\n", -1), start, step).alias("s"))
+    by = own.select("file_id", F.col("s.returns").cast("bigint").alias("returns"), F.col("s.wired").cast("bigint").alias("wired")).where("returns > 0")
     return by.withColumn("status", F.when(F.col("wired") == F.col("returns"), "WIRED").when(F.col("wired") > 0, "PARTIAL").otherwise("NOT_WIRED"))
 
 

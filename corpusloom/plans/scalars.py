@@ -105,30 +105,80 @@ def truncate_lines(spark, sf_dir):
     return read_table(spark, sf_dir, "documents").select("doc_id", T.truncate_lines(F.col("text"), 5).alias("head"))
 
 
-_CHUNK = "SELECT DISTINCT chunk_id, repo, path, language, symbol_name, start_line, text FROM chunks WHERE text IS NOT NULL AND path IS NOT NULL"
-_TEXT = f"'**' || path || '**' || coalesce(' - ' || nullif(symbol_name, ''), '') || chr(10) || '```' || coalesce(language, '') || chr(10) || {_CUT.format(n=50)} || chr(10) || '```'"
+_CHUNK = "SELECT DISTINCT chunk_id, repo, path, language, symbol_name, start_line, coalesce(end_line, start_line) AS end_line, text FROM chunks WHERE text IS NOT NULL AND path IS NOT NULL"
+_SCORE = "(length(text) % 101) / 100.0::DOUBLE"
+_PLACE = "path || ':' || start_line || '-' || end_line"
+_TEXT = f"'### ' || {_PLACE} || chr(10) || '```' || coalesce(language, '') || chr(10) || {_CUT.format(n=50)} || chr(10) || '```' || chr(10) || '*Relevance: ' || floor({_SCORE} * 100 + 0.5)::INTEGER || '%*'"
+_PLAIN = f"'--- ' || {_PLACE} || ' ---' || chr(10) || {_CUT.format(n=50)} || chr(10) || '[Relevance: ' || floor({_SCORE} * 100 + 0.5)::INTEGER || '%]'"
 
 
-def _formatted(text=50):
-    name = F.coalesce(F.concat(F.lit(" - "), F.nullif(F.col("symbol_name"), F.lit(""))), F.lit(""))
-    return F.concat(F.lit("**"), F.col("path"), F.lit("**"), name, F.lit("\n```"), F.coalesce("language", F.lit("")), F.lit("\n"), T.truncate_lines(F.col("text"), text), F.lit("\n```"))
+def _scored_chunks(spark, sf_dir):
+    """Distinct chunks with a relevance made from the length of their text."""
+    end = F.coalesce("end_line", "start_line").alias("end_line")
+    own = read_table(spark, sf_dir, "chunks").where("text is not null and path is not null").select("chunk_id", "repo", "path", "language", "symbol_name", "start_line", end, "text").distinct()
+    return own.withColumn("score", (F.length("text") % 101 / 100.0).cast("double"))
 
 
-def _plain_chunks(spark, sf_dir):
-    return read_table(spark, sf_dir, "chunks").where("text is not null and path is not null").select("chunk_id", "repo", "path", "language", "symbol_name", "start_line", "text").distinct()
-
-
-@query(f"SELECT chunk_id, repo, path, start_line, {_TEXT} AS formatted FROM ({_CHUNK})")
+@query(f"SELECT DISTINCT chunk_id, repo, path, start_line, {_TEXT} AS formatted, {_PLAIN} AS plain FROM ({_CHUNK})")
 def format_chunk(spark, sf_dir):
-    return _plain_chunks(spark, sf_dir).select("chunk_id", "repo", "path", "start_line", _formatted().alias("formatted"))
+    """A chunk under a header with its place, as Markdown and as plain text, with its relevance."""
+    formats = [T.format_chunk(*[F.col(c) for c in ("path", "start_line", "end_line", "language", "text", "score")], markdown=m) for m in (True, False)]
+    return _scored_chunks(spark, sf_dir).select("chunk_id", "repo", "path", "start_line", formats[0].alias("formatted"), formats[1].alias("plain")).distinct()
 
 
-@query(f"SELECT repo, path, string_agg(formatted, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY n) AS context FROM (SELECT repo, path, {_TEXT} AS formatted, row_number() OVER (PARTITION BY repo, path ORDER BY start_line, chunk_id, text, language, symbol_name) AS n FROM ({_CHUNK}) QUALIFY n <= 5) GROUP BY repo, path")
+@query(f"SELECT repo, path, string_agg(formatted, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY n) AS context FROM (SELECT repo, path, {_TEXT} AS formatted, row_number() OVER (PARTITION BY repo, path ORDER BY start_line, chunk_id, text, language, symbol_name, end_line) AS n FROM ({_CHUNK}) QUALIFY n <= 5) GROUP BY repo, path")
 def format_context(spark, sf_dir):
     """The first five chunks of each file as one context."""
-    order = Window.partitionBy("repo", "path").orderBy("start_line", "chunk_id", "text", F.col("language").asc_nulls_last(), F.col("symbol_name").asc_nulls_last())
-    some = _plain_chunks(spark, sf_dir).withColumn("n", F.row_number().over(order)).where("n <= 5")
-    return some.groupBy("repo", "path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", _formatted().alias("f")))), lambda x: x["f"]), "\n\n---\n\n").alias("context"))
+    order = Window.partitionBy("repo", "path").orderBy("start_line", "chunk_id", "text", F.col("language").asc_nulls_last(), F.col("symbol_name").asc_nulls_last(), "end_line")
+    some = _scored_chunks(spark, sf_dir).withColumn("n", F.row_number().over(order)).where("n <= 5")
+    one = T.format_chunk(*[F.col(c) for c in ("path", "start_line", "end_line", "language", "text", "score")])
+    return some.groupBy("repo", "path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", one.alias("f")))), lambda x: x["f"]), "\n\n---\n\n").alias("context"))
+
+
+_TOP = f"SELECT *, {_SCORE} AS score, row_number() OVER (PARTITION BY repo, path ORDER BY {_SCORE} DESC, chunk_id, text, language, symbol_name, end_line) AS n, count(*) OVER (PARTITION BY repo, path) AS c, sum(len(string_split(text, chr(10)))) OVER (PARTITION BY repo, path) AS total FROM ({_CHUNK})"
+
+
+def _top_chunks(spark, sf_dir, most):
+    """The most relevant chunks of each file, with the number of all and of their lines."""
+    order = Window.partitionBy("repo", "path").orderBy(F.col("score").desc(), "chunk_id", "text", F.col("language").asc_nulls_last(), F.col("symbol_name").asc_nulls_last(), "end_line")
+    own = _scored_chunks(spark, sf_dir)
+    totals = own.groupBy(F.col("repo").alias("r"), F.col("path").alias("p")).agg(F.count("*").alias("c"), F.sum(F.size(T.lines(F.col("text")))).alias("total"))
+    best = own.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)
+    return best.join(totals, F.col("repo").eqNullSafe(F.col("r")) & (F.col("path") == F.col("p"))).drop("r", "p")
+
+
+def _listed(line):
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", line.alias("line")))), lambda x: x["line"]), "\n")
+
+
+@query(f"SELECT repo, path, any_value(c) || ' chunk(s):' || chr(10) || string_agg('  ' || n || '. ' || {_PLACE} || coalesce(' - ' || nullif(symbol_name, ''), '') || ' (' || floor(score * 100 + 0.5)::INTEGER || '%)', chr(10) ORDER BY n) || CASE WHEN any_value(c) > 5 THEN chr(10) || '  ... and ' || (any_value(c) - 5) || ' more' ELSE '' END AS summary FROM ({_TOP}) WHERE n <= 5 GROUP BY repo, path")
+def summarize_chunks(spark, sf_dir):
+    """How many chunks a file has, and the five most relevant ones with place, symbol and relevance."""
+    symbol = F.coalesce(F.concat(F.lit(" - "), F.nullif(F.col("symbol_name"), F.lit(""))), F.lit(""))
+    line = F.concat(F.lit("  "), F.col("n").cast("string"), F.lit(". "), T.place(F.col("path"), F.col("start_line"), F.col("end_line")), symbol, F.lit(" ("), T.percent(F.col("score")), F.lit(")"))
+    by = _top_chunks(spark, sf_dir, 5).groupBy("repo", "path").agg(F.max("c").alias("c"), _listed(line).alias("listed"))
+    more = F.when(F.col("c") > 5, F.concat(F.lit("\n  ... and "), (F.col("c") - 5).cast("string"), F.lit(" more"))).otherwise(F.lit(""))
+    return by.select("repo", "path", F.concat(F.col("c").cast("string"), F.lit(" chunk(s):\n"), "listed", more).alias("summary"))
+
+
+@query(f"SELECT repo, path, 'Context: ' || any_value(c) || ' chunks retrieved' || chr(10) || 'Total lines: ' || any_value(total) || chr(10) || chr(10) || 'Available chunks:' || chr(10) || string_agg('  [' || chunk_id || '] ' || {_PLACE} || ' (' || coalesce(symbol_name, '') || ', score: ' || printf('%.2f', score) || ')', chr(10) ORDER BY n) AS summary FROM ({_TOP}) WHERE n <= 20 GROUP BY repo, path")
+def context_summary(spark, sf_dir):
+    """What a context holds, without its text: totals, and a line for each of the 20 most relevant chunks of a file."""
+    line = F.concat(F.lit("  ["), "chunk_id", F.lit("] "), T.place(F.col("path"), F.col("start_line"), F.col("end_line")), F.lit(" ("), F.coalesce("symbol_name", F.lit("")), F.lit(", score: "), F.format_string("%.2f", "score"), F.lit(")"))
+    by = _top_chunks(spark, sf_dir, 20).groupBy("repo", "path").agg(F.max("c").alias("c"), F.max("total").alias("total"), _listed(line).alias("listed"))
+    return by.select("repo", "path", F.concat(F.lit("Context: "), F.col("c").cast("string"), F.lit(" chunks retrieved\nTotal lines: "), F.col("total").cast("string"), F.lit("\n\nAvailable chunks:\n"), "listed").alias("summary"))
+
+
+_FULL = f"SELECT repo, path, string_agg('--- ' || chunk_id || ' (' || path || ') ---' || chr(10) || text, chr(10) || chr(10) ORDER BY n) AS whole FROM ({_TOP}) WHERE n <= 5 GROUP BY repo, path"
+
+
+@query(f"SELECT repo, path, md5(whole) AS whole, array_to_string(string_split(whole, chr(10))[3:7], chr(10)) AS peek FROM ({_FULL})")
+def full_context(spark, sf_dir):
+    """The whole text of a context (as a hash), and its lines 2 to 6."""
+    one = F.concat(F.lit("--- "), "chunk_id", F.lit(" ("), "path", F.lit(") ---\n"), "text")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", one.alias("t")))), lambda x: x["t"]), "\n\n")
+    by = _top_chunks(spark, sf_dir, 5).groupBy("repo", "path").agg(joined.alias("t"))
+    return by.select("repo", "path", F.md5("t").alias("whole"), F.array_join(F.slice(T.lines(F.col("t")), 3, 5), "\n").alias("peek"))
 
 
 @query("SELECT doc_id, line, string_split(text, chr(10))[line + 1] AS content FROM (SELECT doc_id, text, unnest(range(0, len(string_split(text, chr(10))))) AS line FROM documents) WHERE regexp_matches(content, '(?i)fallback|falls back') QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY line) <= 20")
@@ -187,18 +237,24 @@ def _claims(spark, sf_dir):
     return own.select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("raw", "claim")).withColumn("claim", T.trim_blank(F.col("claim")))
 
 
+def _trimmed(text):
+    return F.transform(T.sentences(text), T.trim_blank)
+
+
 @query(f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY raw) - 1 AS pos, claim FROM ({_CLAIMS}) WHERE length(claim) > 10")
 def extract_claims(spark, sf_dir):
-    pos = F.row_number().over(Window.partitionBy("doc_id").orderBy("raw")).cast("bigint") - 1
-    return _claims(spark, sf_dir).where(F.length("claim") > 10).select("doc_id", pos.alias("pos"), "claim")
+    """Sentences of more than 10 characters, numbered in the row."""
+    long = F.filter(_trimmed(F.col("text")), lambda c: F.length(c) > 10)
+    own = read_table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.posexplode(long).alias("pos", "claim"))
+    return own.select("doc_id", F.col("pos").cast("bigint").alias("pos"), "claim")
 
 
 @query(f"SELECT doc_id, raw AS pos, claim, trim(concat_ws(' ', before, after)) AS context FROM (SELECT *, lag(claim) OVER w AS before, lead(claim) OVER w AS after FROM ({_CLAIMS}) WINDOW w AS (PARTITION BY doc_id ORDER BY raw)) WHERE length(claim) >= 10")
 def atomic_claims(spark, sf_dir):
     """Sentences of at least 10 characters with their neighbours as context; positions are those of the sentences."""
-    w = Window.partitionBy("doc_id").orderBy("raw")
-    with_context = _claims(spark, sf_dir).withColumn("context", F.trim(F.concat_ws(" ", F.lag("claim").over(w), F.lead("claim").over(w))))
-    return with_context.where(F.length("claim") >= 10).select("doc_id", F.col("raw").cast("bigint").alias("pos"), "claim", "context")
+    near = lambda x: F.transform(x, lambda c, i: F.struct(i.cast("bigint").alias("pos"), c.alias("claim"), F.trim(F.concat_ws(" ", F.get(x, i - 1), F.get(x, i + 1))).alias("context")))
+    claims = F.filter(T.bound(_trimmed(F.col("text")), near), lambda c: F.length(c["claim"]) >= 10)
+    return read_table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.inline(claims))
 
 
 @query(f"SELECT doc_id, raw AS pos, claim FROM ({_CLAIMS}) WHERE length(claim) >= 10 AND NOT (claim LIKE '%?' OR regexp_matches(claim, '{T.OPINION}') OR regexp_matches(claim, '{T.META.replace(chr(39), chr(39) * 2)}'))")

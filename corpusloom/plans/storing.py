@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusloom.functions import text as T
 from corpusloom.operators import code as C
 from corpusloom.operators import markdown as M
 from corpusloom.operators import store as S
@@ -76,12 +77,22 @@ def collection_info(spark, sf_dir):
     return read_table(spark, sf_dir, "vectors").groupBy("model").agg(F.count("*").alias("points"), F.count("dense").alias("with_vector"), F.countDistinct("chunk_id").alias("chunks"))
 
 
-@query("SELECT DISTINCT chunk_id, substr(sha256(text), 1, 16) AS hash FROM chunks WHERE text IS NOT NULL AND chunk_id NOT IN (SELECT chunk_id FROM vectors WHERE model = 'beacon-embed-96' AND dense IS NOT NULL)")
+_CACHED = "SELECT substr(sha256(c.text), 1, 16) AS hash, min(v.chunk_id) AS source FROM vectors v JOIN chunks c ON c.chunk_id = v.chunk_id WHERE v.model = 'beacon-embed-96' AND v.dense IS NOT NULL AND c.text IS NOT NULL GROUP BY ALL"
+
+
+@query(f"""WITH cached AS ({_CACHED}), own AS (SELECT DISTINCT chunk_id, text, substr(sha256(text), 1, 16) AS hash FROM chunks WHERE text IS NOT NULL),
+todo AS (SELECT hash, min(text) AS text FROM own WHERE hash NOT IN (SELECT hash FROM cached) GROUP BY hash),
+words AS (SELECT hash, len(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS n FROM todo)
+SELECT chunk_id, hash, CASE WHEN cached.hash IS NOT NULL THEN 'cached' ELSE 'embedded' END AS origin, cached.source AS source, coalesce(words.n, 0) AS n_words FROM own LEFT JOIN cached USING (hash) LEFT JOIN words USING (hash)""")
 def embed_batch(spark, sf_dir):
-    """Chunks whose vector the store lacks: what a batch has still to embed, once per text."""
-    have = read_table(spark, sf_dir, "vectors").where("model = 'beacon-embed-96' and dense is not null").select("chunk_id")
-    own = read_table(spark, sf_dir, "chunks").where("text is not null").join(have, "chunk_id", "left_anti")
-    return own.select("chunk_id", F.substring(F.sha2("text", 256), 1, 16).alias("hash")).distinct()
+    """Every chunk with its vector's origin: the cache (under the hash of the text), or the embedder, which sees each missing text once.
+
+    The vectors stay behind; n_words tells how many words the embedded text has."""
+    chunks = read_table(spark, sf_dir, "chunks").select("chunk_id", "text")
+    kept = read_table(spark, sf_dir, "vectors").where("model = 'beacon-embed-96' and dense is not null").select("chunk_id", F.col("dense").cast("array<double>").alias("vector"))
+    done = S.embed_batch(chunks, kept, "chunk_id", "text", T.hashed_embedding)
+    words = F.when(F.col("origin") == "embedded", F.size(T.tokens(F.col("text")))).otherwise(0).cast("bigint")
+    return done.select("chunk_id", "hash", "origin", "source", words.alias("n_words")).distinct()
 
 
 _HITS = "SELECT user_id, event_type, coalesce(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 24 HOURS >= ts, false) AS hit FROM events"
@@ -139,7 +150,7 @@ def chunk_markdown(spark, sf_dir):
 _PARTS = f"""SELECT file_id, hash || '-' || start_line || '-' || symbol_name AS chunk_id, symbol_type, symbol_name, start_line, end_line, chunk FROM (SELECT file_id, hash, min(line)::INTEGER AS start_line, max(line)::INTEGER AS end_line, string_agg(content, chr(10) ORDER BY line) AS chunk, max(CASE WHEN head THEN content END) AS f,
 CASE WHEN f IS NULL THEN '<module>' ELSE coalesce(nullif(regexp_extract(f, '{C.NAME}', 1), ''), '<anonymous>') END AS symbol_name,
 CASE WHEN f IS NULL THEN 'module' WHEN regexp_matches(f, '\\b(?:function|def)\\b|=\\s*(?:async\\s*)?\\(') THEN 'function' WHEN regexp_matches(f, '\\bclass\\b') THEN 'class' WHEN regexp_matches(f, '\\b(?:interface|enum|type)\\b') THEN 'other' ELSE 'module' END AS symbol_type
-FROM (SELECT *, sum(head::INT) OVER (PARTITION BY file_id ORDER BY line) AS part FROM (SELECT file_id, hash, line, content, regexp_matches(content, '{C.BOUNDARY}') AS head FROM (SELECT file_id, substr(sha256(text), 1, 16) AS hash, unnest(range(0, len(string_split(text, chr(10))))) AS line, unnest(string_split(text, chr(10))) AS content FROM source_files WHERE text IS NOT NULL AND NOT ends_with(path, '.md') AND NOT ends_with(path, '.json')))) GROUP BY file_id, hash, part) WHERE regexp_matches(chunk, '\\S')"""
+FROM (SELECT *, sum(head::INT) OVER (PARTITION BY file_id ORDER BY line) AS part FROM (SELECT file_id, hash, line, content, regexp_matches(content, '^{C.BOUNDARY}') AS head FROM (SELECT file_id, substr(sha256(text), 1, 16) AS hash, unnest(range(0, len(string_split(text, chr(10))))) AS line, unnest(string_split(text, chr(10))) AS content FROM source_files WHERE text IS NOT NULL AND NOT ends_with(path, '.md') AND NOT ends_with(path, '.json')))) GROUP BY file_id, hash, part) WHERE regexp_matches(chunk, '\\S')"""
 
 
 def _code(spark, sf_dir):

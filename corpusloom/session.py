@@ -8,9 +8,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+TEXTS = ("documents", "source_files", "chunks")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One Parquet table of the data directory."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One Parquet table of the data directory.
+
+    A table of texts that comes in so few splits that more than half of the cores would stand idle (a small file) is spread over all of them.
+    """
+    table, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    if name in TEXTS and table.rdd.getNumPartitions() * 2 <= cores:
+        return table.repartition(cores)
+    return table
 
 
 def shared_dir(spark: SparkSession) -> str:
