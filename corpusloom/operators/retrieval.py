@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import tokens
+from corpusloom.functions.text import TOKEN, tokens
 
 QUERY_TERMS = 20_000
 
@@ -50,6 +53,85 @@ def overlap_scores(docs: DataFrame, queries: DataFrame, id_col: str, query_id: s
     return held.join(wanted, "term").groupBy(query_id, id_col).agg(F.count("*").cast("double").alias("score"))
 
 
+def lexical_topk(docs: DataFrame, queries: DataFrame, id_col: str, query_id: str, k: int, text_col: str = "text", legs: tuple[str, ...] = ("sparse",), most_terms: int = QUERY_TERMS) -> DataFrame:
+    """(leg, query_id, id_col, score, rank): the k best rows per query and leg, ties by smaller id.
+
+    Legs: sparse (scores of sparse_scores) and overlap (of overlap_scores). Up to `most_terms` terms of all queries (they are counted
+    first) go to every task with their weights: a first pass counts in how many rows each of them stands, a second one scores
+    every row where it is and keeps k rows per query and task, so that only these are shuffled. With more terms, rows and terms are joined.
+    """
+    wanted = term_table(queries, query_id, text_col).withColumnRenamed("tf", "qf")
+    if wanted.limit(most_terms + 1).count() > most_terms:
+        scores = {"sparse": sparse_scores, "overlap": overlap_scores}
+        ranked = [top(scores[leg](docs, queries, id_col, query_id, text_col), query_id, id_col, k).withColumn("leg", F.lit(leg)) for leg in legs]
+        found = ranked[0]
+        for other in ranked[1:]:
+            found = found.unionByName(other)
+        return found.select("leg", query_id, id_col, "score", "rank")
+    vocabulary = F.broadcast(wanted.select("term").distinct())
+    held = docs.select(F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("term")).join(vocabulary, "term", "left_semi")
+    df = held.groupBy("term").agg(F.count("*").alias("df"))
+    n = docs.agg(F.count("*").alias("n"))
+    idf = df.join(F.broadcast(n), F.lit(True)).select("term", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
+    pairs = wanted.join(F.broadcast(idf), "term").toPandas()  # at most most_terms rows
+    names = sorted(pairs[query_id].unique())
+    terms = {t: i for i, t in enumerate(sorted(pairs["term"].unique()))}
+    place = {q: i for i, q in enumerate(names)}
+    shared = docs.sparkSession.sparkContext.broadcast((terms, pairs["term"].map(terms).to_numpy(int), pairs[query_id].map(place).to_numpy(int), (pairs["qf"] * pairs["idf"]).to_numpy(float), names))
+    qtype, dtype = queries.schema[query_id].dataType.simpleString(), docs.schema[id_col].dataType.simpleString()
+
+    def local(batches):
+        terms, row, column, weight, names = shared.value
+        word = re.compile(TOKEN)
+        block = max(1, (1 << 22) // max(1, len(terms)))  # queries whose weights are laid out at once
+        for pdf in batches:
+            counts = []
+            for i, text in enumerate(pdf["text"]):
+                for t, c in Counter(w for w in word.findall(text.lower()) if w in terms).items():
+                    counts.append((i, terms[t], c))
+            if not counts:
+                continue
+            doc, term, tf = (np.array(x) for x in zip(*counts))
+            cuts = np.flatnonzero(np.diff(doc)) + 1
+            ids, own = pdf["id"].to_numpy(), doc[[0, *cuts]]
+            for a in range(0, len(names), block):
+                some = (column >= a) & (column < a + block)
+                for leg in legs:
+                    q = np.zeros((len(terms), min(block, len(names) - a)))
+                    q[row[some], column[some] - a] = weight[some] if leg == "sparse" else 1.0
+                    score = np.array([(tf[b:c] if leg == "sparse" else np.ones(c - b)) @ q[term[b:c]] for b, c in zip([0, *cuts], [*cuts, len(doc)])])
+                    score = np.round(score, 6)
+                    for j in range(score.shape[1]):
+                        s = score[:, j]
+                        near = np.flatnonzero((s >= np.partition(s, -k)[-k] if len(s) > k else True) & (s > 0))
+                        best = near[np.lexsort((ids[own[near]], -s[near]))[:k]]
+                        if len(best):
+                            yield pd.DataFrame({"leg": leg, "q": names[a + j], "id": ids[own[best]], "score": s[best]})
+
+    rows = docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    found = rows.mapInPandas(_together(local), f"leg string, q {qtype}, id {dtype}, score double")
+    order = Window.partitionBy("leg", "q").orderBy(F.col("score").desc(), "id")
+    ranked = found.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k)
+    return ranked.withColumnsRenamed({"q": query_id, "id": id_col})
+
+
+def _together(run, rows: int = 4096):
+    """run, with its small frames put together."""
+
+    def wrapped(batches):
+        held, size = [], 0
+        for pdf in run(batches):
+            held.append(pdf)
+            size += len(pdf)
+            if size >= rows:
+                yield pd.concat(held)
+                held, size = [], 0
+        if held:
+            yield pd.concat(held)
+
+    return wrapped
+
+
 def dense_topk(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int = 10, block: int = 2048) -> DataFrame:
     """(query_id, id_col, score, rank): the k nearest by cosine (double precision, 6 decimals) of each query row among all rows.
 
@@ -103,8 +185,9 @@ def hybrid(docs: DataFrame, queries: DataFrame, id_col: str, query_id: str, k: i
     For rows without vectors: both legs are lexical (weighted terms, and different terms in common). `hybrid_dense` has a dense leg.
     """
     pool = docs if where is None else docs.where(where)
-    legs = (top(f(pool, queries, id_col, query_id), query_id, id_col, 2 * k) for f in (sparse_scores, overlap_scores))
-    return top(rrf(*legs, query_id, id_col), query_id, id_col, k).where(F.coalesce("score", F.lit(0.0)) >= threshold)
+    both = lexical_topk(pool, queries, id_col, query_id, 2 * k, legs=("sparse", "overlap"))
+    fused = both.groupBy(query_id, id_col).agg(F.round(F.sum(1.0 / (1 + F.col("rank"))), 6).alias("score"))
+    return top(fused, query_id, id_col, k).where(F.coalesce("score", F.lit(0.0)) >= threshold)
 
 
 def hybrid_dense(docs: DataFrame, vectors: DataFrame, queries: DataFrame, id_col: str, query_id: str, text_col: str = "text", vector_col: str = "dense", k: int = 10, threshold: float = 0.0) -> DataFrame:
@@ -114,7 +197,7 @@ def hybrid_dense(docs: DataFrame, vectors: DataFrame, queries: DataFrame, id_col
     queries holds (query_id, text_col, vector_col); it is read several times, and a null text or vector leaves that
     leg empty. Filter docs and vectors alike before the call.
     """
-    sparse = top(sparse_scores(docs, queries, id_col, query_id, text_col, QUERY_TERMS), query_id, id_col, 2 * k)
+    sparse = lexical_topk(docs, queries, id_col, query_id, 2 * k, text_col)
     asked = queries.select(F.col(query_id).alias(id_col), vector_col)
     dense = dense_topk(vectors, asked, id_col, vector_col, 2 * k).withColumnRenamed("query_id", query_id)
     return top(rrf(sparse, dense, query_id, id_col), query_id, id_col, k).where(F.coalesce("score", F.lit(0.0)) >= threshold)

@@ -14,7 +14,7 @@ from corpusloom.operators import evidence as E
 from corpusloom.plans.evidence import _COVER, _MATCH, _matched, _sides
 from corpusloom.plans.scalars import _CLAIMS, _KEYS
 from corpusloom.plans.search import SQL as SEARCH_SQL
-from corpusloom.plans.search import quick_retrieve
+from corpusloom.plans.search import hybrid_dense
 from corpusloom.session import read_table
 
 QUERIES, SQL = {}, {}
@@ -145,8 +145,8 @@ def budget_guard(spark, sf_dir):
     return own.select("file_hash", "chunk_id", "tokens", used.alias("used"), (used < 1000).alias("fits"))
 
 
-@query(f"SELECT item_id, string_agg(doc_id::VARCHAR, ',' ORDER BY rank) AS evidence, max(score) AS confidence FROM ({SEARCH_SQL['quick_retrieve']}) WHERE rank <= 3 GROUP BY item_id")
+@query(f"SELECT query_id, string_agg(chunk_id, ',' ORDER BY rank) AS evidence, round(max(score), 6) AS confidence FROM ({SEARCH_SQL['hybrid_dense']}) WHERE rank <= 3 GROUP BY query_id")
 def answer_extractive(spark, sf_dir):
-    """An answer without a model: the ids of the three best documents of each query as its evidence."""
-    best = quick_retrieve(spark, sf_dir).where("rank <= 3").groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("rank", "doc_id"))).alias("r"), F.max("score").alias("confidence"))
-    return best.select("item_id", F.array_join(F.transform("r", lambda x: x["doc_id"].cast("string")), ",").alias("evidence"), "confidence")
+    """An answer without a model: the ids of the three best chunks of each query as its evidence."""
+    best = hybrid_dense(spark, sf_dir).where("rank <= 3").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "chunk_id"))).alias("r"), F.max("score").alias("confidence"))
+    return best.select("query_id", F.array_join(F.transform("r", lambda x: x["chunk_id"]), ",").alias("evidence"), F.round("confidence", 6).alias("confidence"))
