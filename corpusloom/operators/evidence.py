@@ -7,21 +7,51 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import keywords, tokens
 from corpusloom.operators.sequences import previous
+from corpusloom.session import cut
+
+
+BLOCK = 512
+
+
+def _blocks(claims: DataFrame, evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with g (group) and block, such that all evidence of a group meets each block of up to BLOCK of its claims: (group, block) is never large.
+
+    Most groups have one block and cost nothing extra; evidence is repeated only for groups with more claims than that.
+    """
+    own = claims.withColumn("block", F.floor(F.col("pos") / BLOCK).cast("int"))
+    wide = own.where("block > 0").groupBy("g").agg(F.max("block").alias("blocks"))
+    spread = evidence.join(wide, "g", "left").withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(0))))).drop("blocks")
+    return own.repartition("g", "block"), spread.repartition("g", "block")
 
 
 def match_evidence(claims: DataFrame, evidence: DataFrame, group: str) -> DataFrame:
     """Every claim with its first matching evidence of the same group, or nulls.
 
-    claims: (group, pos, claim); evidence: (group, epos, evidence, sources, confidence). Evidence matches if one text holds
-    the other, or if at least half of the claim's keywords (rounded up) occur among its own. Joined within the
-    group only; the first match is a min aggregate, so pairs aren't sorted or collected.
+    claims: (group, pos, claim), pos a number; evidence: (group, epos, evidence, sources, confidence). Evidence matches if one text holds
+    the other, or if at least half of the claim's keywords (rounded up) occur among its own.
+
+    Joined by keyword and counted: sentences without a common keyword meet only if one of them has too few. A text that another one holds
+    shares all its keywords with it but perhaps the first and the last, so only claims of up to three and evidence of up to
+    two keywords are compared with all of their group. Null groups match nothing; the first match is a min aggregate.
     """
-    c = claims.select(group, "pos", "claim", F.lower("claim").alias("low"), keywords(F.col("claim")).alias("words"))
-    e = evidence.select(group, "epos", "evidence", "sources", "confidence", F.lower("evidence").alias("elow"), keywords(F.col("evidence")).alias("ewords"))
+    c = cut(claims.select(F.col(group).alias("g"), "pos", "claim", F.transform(keywords(F.col("claim")), lambda w: F.xxhash64(w)).alias("words")), "claims")
+    e = cut(evidence.select(F.col(group).alias("g"), "epos", "evidence", "sources", "confidence", F.transform(keywords(F.col("evidence")), lambda w: F.xxhash64(w)).alias("ewords")), "evidence")
+    own, theirs = _blocks(c.select("g", "pos", "claim", "words"), e.select("g", "epos", "evidence", F.array_distinct("ewords").alias("ewords")))
+    n, m = F.size("words").alias("n"), F.size("ewords").alias("m")
+    left, right = own.select("g", "block", "pos", n, F.explode("words").alias("w")), theirs.select("g", "block", "epos", m, F.explode("ewords").alias("w"))
+    shared = left.join(right, ["g", "block", "w"]).groupBy("g", "block", "pos", "epos", "n", "m").agg(F.count("*").alias("shared"))
+    shared = cut(shared.select("g", "pos", "epos", (F.col("shared") * 2 >= F.col("n")).alias("hit"), ((F.col("m") > 2) & (F.col("shared") >= F.col("m") - 2)).alias("near")).where("hit or near"), "shared")
+    hit = shared.where("hit").groupBy("g", "pos").agg(F.min("epos").alias("epos"))
+    holds = F.contains(F.lower("claim"), F.lower("evidence"))
+    held = shared.where("not hit").select("g", "pos", "epos").join(c.select("g", "pos", "claim"), ["g", "pos"]).join(e.select("g", "epos", "evidence"), ["g", "epos"]).where(holds).select("g", "pos", "epos")
     overlap = F.size(F.filter("words", lambda w: F.array_contains("ewords", w)))
-    matches = F.contains("low", "elow") | F.contains("elow", "low") | (overlap >= F.ceil(F.size("words") / 2.0))
-    first = c.join(e, group).where(matches).groupBy(group, "pos").agg(F.min(F.struct("epos", "evidence", "sources", "confidence")).alias("m"))
-    return claims.join(first, [group, "pos"], "left").select(group, "pos", "claim", F.col("m.epos").alias("epos"), F.col("m.sources").alias("sources"), F.col("m.confidence").alias("confidence"))
+    either = holds | F.contains(F.lower("evidence"), F.lower("claim")) | (overlap * 2 >= F.size("words"))
+    short = own.where(F.size("words") <= 3).join(theirs, ["g", "block"]).where(either).select("g", "pos", "epos")
+    small = own.where(F.size("words") > 3).join(theirs.where(F.size("ewords") <= 2), ["g", "block"]).where(either).select("g", "pos", "epos")
+    first = hit.unionByName(held).unionByName(short).unionByName(small).groupBy("g", "pos").agg(F.min("epos").alias("epos"))
+    best = e.groupBy("g", "epos").agg(F.min(F.struct("evidence", "sources", "confidence")).alias("m"))
+    found = first.join(best, ["g", "epos"]).select("g", "pos", "epos", "m.sources", "m.confidence")
+    return c.select("g", "pos", "claim").join(found, ["g", "pos"], "left").select(F.col("g").alias(group), "pos", "claim", "epos", "sources", "confidence")
 
 
 def gap_reason(epos: Column, sources: Column, confidence: Column, least: float = 0.3) -> Column:
@@ -72,13 +102,15 @@ def claim_links(claims: DataFrame, evidence: DataFrame, group: str) -> DataFrame
     claims: (group, pos, claim); evidence: (group, epos, evidence). A claim's terms are its different keywords, or its words of
     more than four letters where it has fewer than two keywords. Joined by term and counted: texts without a common term never meet.
     """
+    hashed = lambda a: F.transform(a, lambda w: F.xxhash64(w))
     long = lambda c: F.filter(tokens(F.col(c)), lambda w: F.length(w) > 4)
-    own = claims.select(group, "pos", F.array_distinct(keywords(F.col("claim"))).alias("k"), F.array_distinct(long("claim")).alias("g"))
-    own = own.select(group, "pos", F.when(F.size("k") >= 2, F.col("k")).otherwise(F.col("g")).alias("terms"))
-    theirs = evidence.select(group, "epos", F.explode(F.array_distinct(F.concat(keywords(F.col("evidence")), long("evidence")))).alias("term"))
-    exploded = own.select(group, "pos", F.size("terms").alias("n"), F.explode("terms").alias("term"))
-    shared = exploded.join(theirs, [group, "term"]).groupBy(group, "pos", "epos", "n").agg(F.count("*").alias("shared"))
-    return shared.where("shared >= 2 or shared * 2 >= n").select(group, "pos", "epos", "shared")
+    c = claims.select(F.col(group).alias("g"), "pos", hashed(F.array_distinct(keywords(F.col("claim")))).alias("k"), hashed(F.array_distinct(long("claim"))).alias("l"))
+    c = c.select("g", "pos", F.when(F.size("k") >= 2, F.col("k")).otherwise(F.col("l")).alias("terms"))
+    e = evidence.select(F.col(group).alias("g"), "epos", hashed(F.array_distinct(F.concat(keywords(F.col("evidence")), long("evidence")))).alias("terms"))
+    own, theirs = _blocks(cut(c, "claims"), cut(e, "evidence"))
+    left, right = own.select("g", "block", "pos", F.size("terms").alias("n"), F.explode("terms").alias("term")), theirs.select("g", "block", "epos", F.explode("terms").alias("term"))
+    shared = left.join(right, ["g", "block", "term"]).groupBy("g", "block", "pos", "epos", "n").agg(F.count("*").alias("shared"))
+    return shared.where("shared >= 2 or shared * 2 >= n").select(F.col("g").alias(group), "pos", "epos", "shared")
 
 
 def confidence_warnings(retrieval: Column, covered: Column, chunks: Column, consistent: Column) -> Column:

@@ -37,6 +37,29 @@ def levels(nodes: DataFrame, edges: DataFrame, node: str = "node", needs: str =
     return done
 
 
+def on_cycles(nodes: DataFrame, edges: DataFrame, node: str = "node", needs: str = "needs") -> DataFrame:
+    """(node): the nodes that lead back to themselves; a node that needs itself is one.
+
+    Nodes without a dependency on others that may lie on a cycle, and nodes that none of those need, are taken away round by round. What
+    stays lies on a cycle or between two; reach sets are kept for these nodes only. Unknown dependencies and null ends count as none.
+    """
+    kind = nodes.schema[node].dataType
+    left = cut(edges.select(F.col(node).cast(kind).alias("a"), F.col(needs).cast(kind).alias("b")).dropna().distinct(), "edges")
+    size = left.count()
+    while size:
+        kept = left.join(left.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(left.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b")
+        kept = cut(kept, "edges")
+        if (now := kept.count()) == size:
+            break
+        left, size = kept, now
+    reach = fresh = left
+    while size and not fresh.isEmpty():
+        step = fresh.select("a", F.col("b").alias("m")).join(left.select(F.col("a").alias("m"), "b"), "m").select("a", "b").distinct()
+        fresh = cut(step.join(reach, ["a", "b"], "left_anti"), "reach")
+        reach = cut(reach.unionByName(fresh), "reach")
+    return reach.where("a = b").select(F.col("a").alias(node)).distinct()
+
+
 def missing_references(nodes: DataFrame, edges: DataFrame, node: str = "node", needs: str = "needs") -> DataFrame:
     """Edges that point to no node."""
     return edges.where(F.col(needs).isNotNull()).join(nodes.select(F.col(node).alias(needs)).distinct(), needs, "left_anti").select(node, needs).distinct()

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.operators import graph as G
-from corpusloom.plans.scans import _EXPORT, _PATTERNS, _graph, antipattern_scan
+from corpusloom.plans.scans import _EXPORT, _PATTERNS, _STEM, _STEM_SQL, antipattern_scan
 from corpusloom.session import read_table
 
 QUERIES, SQL = {}, {}
@@ -57,25 +56,6 @@ def plan_dependencies(spark, sf_dir):
     return wanted.join(exported, "needs", "left").select("doc_id", "needs", F.coalesce("known", F.lit(False)).alias("known"))
 
 
-_WALK = """WITH RECURSIVE e AS (SELECT p_partkey AS node, p_partkey // 2 AS needs FROM part WHERE p_partkey > 1 UNION ALL SELECT p_partkey, p_partkey // 3 FROM part WHERE p_partkey > 2 AND p_partkey % 3 = 0),"""
-
-
-@query(_WALK + """ walk AS (SELECT p_partkey AS node, 1 AS level FROM part WHERE p_partkey NOT IN (SELECT node FROM e) UNION SELECT e.node, walk.level + 1 FROM walk JOIN e ON e.needs = walk.node)
-SELECT node, max(level)::INTEGER AS level, any_value(p_size)::INTEGER AS stated FROM walk JOIN part ON p_partkey = node GROUP BY node HAVING max(level) <> any_value(p_size)""")
-def dag_wave_mismatch(spark, sf_dir):
-    """Parts whose stated level (size) isn't the one that follows from their dependencies."""
-    stated = read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.col("p_size").cast("int").alias("stated"))
-    return G.levels(*_graph(spark, sf_dir)).join(stated, "node").where("level <> stated")
-
-
-@query(_WALK + """ walk AS (SELECT needs AS node FROM e WHERE node IN (SELECT p_partkey FROM part WHERE p_size = 7) UNION SELECT e.needs FROM walk JOIN e ON e.node = walk.node)
-SELECT DISTINCT node FROM walk""")
-def relevant_phases(spark, sf_dir):
-    """Everything that the parts of size 7 depend on, directly or through others."""
-    start = read_table(spark, sf_dir, "part").where("p_size = 7").select(F.col("p_partkey").alias("node"))
-    return G.reachable(_graph(spark, sf_dir)[1], start)
-
-
 _REQUIREMENT = r"\b(RQ-\d+)\b"
 _NAMED = f"SELECT DISTINCT doc_id, lower(trim(source)) AS source, unnest(regexp_extract_all(text, '{_REQUIREMENT}', 1)) AS requirement FROM documents"
 
@@ -98,21 +78,19 @@ def duplicate_requirements(spark, sf_dir):
     return named.agg(F.count("*").alias("plans"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("plans > 1")
 
 
-_IMPORTS = r"(?m)^import \{ ?([^}\n]*?) ?\} from"
-_EDGES = f"""x AS (SELECT DISTINCT repo, path, unnest(regexp_extract_all(text, '{_EXPORT}', 1)) AS symbol FROM source_files WHERE repo IS NOT NULL), i AS (SELECT DISTINCT repo, path, trim(unnest(string_split(list, ','))) AS symbol FROM (SELECT repo, path, unnest(regexp_extract_all(text, '{_IMPORTS}', 1)) AS list FROM source_files WHERE repo IS NOT NULL)),
-s AS (SELECT repo, symbol, min(path) AS lo, max(path) AS hi FROM x GROUP BY ALL), hit AS (SELECT i.repo, i.symbol, i.path FROM i JOIN s ON s.repo = i.repo AND s.symbol = i.symbol WHERE NOT (lo = hi AND lo = i.path))"""
+_EDGES = f"""x AS (SELECT DISTINCT repo, path, unnest(regexp_extract_all(text, '{_EXPORT}', 1)) AS symbol FROM source_files WHERE path IS NOT NULL), i AS (SELECT DISTINCT repo, path, unnest(regexp_extract_all(text, '[A-Za-z_]\\w+', 0)) AS symbol FROM source_files WHERE path IS NOT NULL),
+s AS (SELECT symbol, min(path) AS lo, max(path) AS hi FROM x GROUP BY ALL), hit AS (SELECT i.repo, i.symbol, i.path FROM i JOIN s ON s.symbol = i.symbol WHERE NOT (lo = hi AND lo = i.path))"""
 
 
 def _impacted(spark, sf_dir):
-    """(repo, symbol, path): files that import a symbol which another path of the repository exports.
+    """(repo, symbol, path): files that name a symbol which another path exports.
 
     Exporters are folded to their smallest and largest path, so no pair of files is ever built.
     """
-    files = read_table(spark, sf_dir, "source_files").where("repo is not null").select("repo", "path", "text")
-    exports = files.select("repo", "path", F.explode(F.regexp_extract_all("text", F.lit(_EXPORT), 1)).alias("symbol")).groupBy("repo", "symbol").agg(F.min("path").alias("lo"), F.max("path").alias("hi"))
-    lists = files.select("repo", "path", F.explode(F.regexp_extract_all("text", F.lit(_IMPORTS), 1)).alias("list"))
-    imports = lists.select("repo", "path", F.explode(F.split("list", ",")).alias("symbol")).select("repo", "path", F.trim("symbol").alias("symbol")).distinct()
-    return imports.join(exports, ["repo", "symbol"]).where("not (lo = hi and lo = path)").select("repo", "symbol", "path")
+    files = read_table(spark, sf_dir, "source_files").where("path is not null").select("repo", "path", "text")
+    exports = files.select("path", F.explode(F.regexp_extract_all("text", F.lit(_EXPORT), 1)).alias("symbol")).groupBy("symbol").agg(F.min("path").alias("lo"), F.max("path").alias("hi"))
+    named = files.select("repo", "path", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Za-z_]\w+"), 0))).alias("symbol")).distinct()
+    return named.join(exports, "symbol").where("not (lo = hi and lo = path)").select("repo", "symbol", "path")
 
 
 @query(f"WITH {_EDGES} SELECT repo, symbol, count(*) AS files FROM hit GROUP BY ALL")
@@ -130,8 +108,6 @@ def affected_tests(spark, sf_dir):
     return _impacted(spark, sf_dir).where(F.col("path").rlike(_TEST)).select("repo", "path").distinct()
 
 
-_STEM = r"from ['\"][^'\"\n]*?([\w-]+)(?:\.[cm]?[jt]s)?['\"]"
-_STEM_SQL = _STEM.replace("'", "''")
 _CITED_PATH = r"`([\w./-]+\.[a-z]+)`"
 
 

@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators import code as C
-from corpusloom.operators import graph as G
 from corpusloom.operators import store as S
 from corpusloom.plans.scalars import _CLAIMS, _HASHED, _KEYS, _WORDS, _claims
-from corpusloom.plans.scans import _EXPORT, _IMPORT
+from corpusloom.plans.scans import _EXPORT
 from corpusloom.session import read_table
 
 QUERIES, SQL = {}, {}
@@ -56,11 +55,12 @@ def zip_scores(spark, sf_dir):
     return c.join(v, "chunk_id").groupBy("chunk_id", "path", "model").agg(F.max("d").cast("bigint").alias("dim"))
 
 
-@query("SELECT DISTINCT d.doc_id, f.file_id FROM (SELECT doc_id, repo, unnest(regexp_extract_all(text, '`([\\w./-]+\\.[a-z]+)`', 1)) AS path FROM documents) d JOIN source_files f ON f.path = d.path")
+@query("SELECT DISTINCT d.doc_id, c.chunk_id FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Za-z_]\\w+', 0)) AS symbol FROM documents) d JOIN (SELECT DISTINCT chunk_id, symbol_name AS symbol FROM chunks) c USING (symbol) WHERE length(symbol) > 12")
 def evidence_chunks(spark, sf_dir):
-    """Source files that a document cites by path."""
-    cited = read_table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"`([\w./-]+\.[a-z]+)`"), 1)).alias("path"))
-    return cited.join(read_table(spark, sf_dir, "source_files").select("path", "file_id"), "path").select("doc_id", "file_id").distinct()
+    """Chunks of the symbols (of more than 12 characters) that a document names."""
+    named = F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Za-z_]\w+"), 0))
+    cited = read_table(spark, sf_dir, "documents").select("doc_id", F.explode(F.filter(named, lambda s: F.length(s) > 12)).alias("symbol"))
+    return cited.join(read_table(spark, sf_dir, "chunks").select("chunk_id", F.col("symbol_name").alias("symbol")).distinct(), "symbol").select("doc_id", "chunk_id").distinct()
 
 
 @query(f"WITH k AS (SELECT doc_id, {_KEYS} AS ws FROM documents WHERE text IS NOT NULL), p AS (SELECT a.doc_id, len(list_filter(a.ws, lambda w: list_contains(b.ws, w))) AS overlap, len(a.ws) AS words FROM k a JOIN k b ON b.doc_id = a.doc_id + 1) SELECT doc_id, overlap, overlap >= ceil(words / 2.0) AS matches FROM p")
@@ -121,11 +121,15 @@ def link_wiring(spark, sf_dir):
     return by.withColumn("status", F.when(F.col("wired") == F.col("returns"), "WIRED").when(F.col("wired") > 0, "PARTIAL").otherwise("NOT_WIRED"))
 
 
-@query(f"WITH x AS (SELECT DISTINCT repo AS producer, unnest(regexp_extract_all(text, '{_EXPORT}', 1)) AS symbol FROM source_files), i AS (SELECT DISTINCT repo AS consumer, unnest(regexp_extract_all(text, '{_IMPORT}', 1)) AS symbol FROM source_files) SELECT symbol, producer, consumer FROM x JOIN i USING (symbol) WHERE producer IS NOT NULL AND consumer IS NOT NULL")
+_IDENTIFIER = r"[A-Za-z_]\w+"
+
+
+@query(f"WITH x AS (SELECT DISTINCT repo AS producer, unnest(regexp_extract_all(text, '{_EXPORT}', 1)) AS symbol FROM source_files), i AS (SELECT DISTINCT repo AS consumer, unnest(regexp_extract_all(text, '{_IDENTIFIER}', 0)) AS symbol FROM documents) SELECT symbol, producer, consumer FROM x JOIN i USING (symbol) WHERE producer IS NOT NULL AND consumer IS NOT NULL")
 def provides_consumes(spark, sf_dir):
-    """Which repository exports a symbol that which repository imports."""
-    files = read_table(spark, sf_dir, "source_files").where("repo is not null")
-    x, i = (files.select(F.col("repo").alias(who), F.explode(F.regexp_extract_all("text", F.lit(pattern), 1)).alias("symbol")).distinct() for who, pattern in (("producer", _EXPORT), ("consumer", _IMPORT)))
+    """Which repository exports a symbol that the documents of which repository name."""
+    x = read_table(spark, sf_dir, "source_files").where("repo is not null").select(F.col("repo").alias("producer"), F.explode(F.regexp_extract_all("text", F.lit(_EXPORT), 1)).alias("symbol")).distinct()
+    named = F.array_distinct(F.regexp_extract_all("text", F.lit(_IDENTIFIER), 0))
+    i = read_table(spark, sf_dir, "documents").where("repo is not null").select(F.col("repo").alias("consumer"), F.explode(named).alias("symbol")).distinct()
     return x.join(i, "symbol").select("symbol", "producer", "consumer")
 
 
@@ -144,24 +148,6 @@ def phase_complete(spark, sf_dir):
     return by.withColumn("complete", F.col("plans") == F.col("summaries"))
 
 
-@query("SELECT o_custkey, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS plans FROM orders GROUP BY o_custkey")
-def plans_by_wave(spark, sf_dir):
-    return read_table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list("o_orderkey")), lambda x: x.cast("string")), ",").alias("plans"))
-
-
-@query("SELECT DISTINCT l_partkey AS node, l_suppkey AS needs FROM lineitem WHERE l_suppkey >= l_partkey")
-def dag_forward_refs(spark, sf_dir):
-    return read_table(spark, sf_dir, "lineitem").where("l_suppkey >= l_partkey").select(F.col("l_partkey").alias("node"), F.col("l_suppkey").alias("needs")).distinct()
-
-
-@query()
-def dag_cycles(spark, sf_dir):
-    """Nodes on or behind a cycle: those that never get a level."""
-    nodes = read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"))
-    edges = nodes.where("node % 5 <> 0").withColumn("needs", F.when(F.col("node") % 7 == 1, F.col("node")).otherwise(F.expr("node div 2 + 1")))
-    return nodes.join(G.levels(nodes, edges).select("node"), "node", "left_anti")
-
-
 @query("SELECT doc_id, repo, created_at FROM documents WHERE created_at IS NOT NULL QUALIFY row_number() OVER (PARTITION BY repo ORDER BY created_at DESC, doc_id) <= 3")
 def recent_work(spark, sf_dir):
     own = read_table(spark, sf_dir, "documents").where("created_at is not null").select("doc_id", "repo", "created_at")
