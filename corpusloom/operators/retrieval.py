@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -15,6 +17,20 @@ from corpusloom.functions.text import TOKEN, tokens
 QUERY_TERMS = 20_000
 
 
+def where_all(chunks: DataFrame, language: str | None = None, symbol_type: str | None = None, file_hash: str | None = None, path: str | None = None, prefix: bool = False) -> DataFrame:
+    """Chunks that meet all given conditions: equal language, symbol type and file hash; path holds the text or, with prefix, begins with it.
+
+    A search by metadata alone needs a condition: without any it raises an error.
+    """
+    given = {"language": language, "symbol_type": symbol_type, "file_hash": file_hash}
+    tests = [F.col(c) == v for c, v in given.items() if v is not None]
+    if path is not None:
+        tests.append(F.col("path").startswith(path) if prefix else F.col("path").contains(path))
+    if not tests:
+        raise ValueError("a search by metadata needs at least one condition")
+    return chunks.where(reduce(and_, tests))
+
+
 def term_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id_col, term, tf)."""
     return docs.select(id_col, F.explode(tokens(F.col(text_col))).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))

@@ -40,15 +40,50 @@ def removed_files(files: DataFrame, manifest: DataFrame) -> DataFrame:
     return known.join(here, known["repo"].eqNullSafe(here["repo"]) & (known["path"] == here["path"]), "left_anti")
 
 
+def _quantile(values: DataFrame, quantile: float, most: int = 100_000, bins: int = 4096) -> float | None:
+    """The interpolated quantile of values (x), rounded to 9 decimals: a histogram per pass, until at most `most` values are left to rank."""
+    n, low, high = values.agg(F.count("x"), F.min("x"), F.max("x")).first()
+    if not n:
+        return None
+    place = quantile * (n - 1)
+    first, below = int(place), 0
+
+    def between(lower: float, upper: float) -> float:
+        return round(lower + (place - first) * (upper - lower), 9)
+
+    # Ranks first and first + 1 are wanted; `below` of all values lie under low.
+    while low < high:
+        inside = values.where(F.col("x").between(low, high))
+        step = (high - low) / bins
+        if low + step <= low:  # neighbouring numbers: nothing lies between them
+            least = inside.where(F.col("x") == low).count()
+            return between(low if first - below < least else high, low if first + 1 - below < least else high)
+        counts = sorted(inside.groupBy(F.least(F.lit(bins - 1), F.floor((F.col("x") - low) / step)).alias("b")).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect())  # bins rows
+        kept, seen = [], below
+        for b in counts:
+            if seen <= first + 1 and seen + b["n"] > first:
+                kept.append((seen, b))
+            seen += b["n"]
+        (below, head), tail = kept[0], kept[-1][1]
+        if len(kept) > 1:  # the two ranks lie at the facing ends of two ranges
+            return between(head["hi"], tail["lo"])
+        low, high = head["lo"], head["hi"]
+        if head["n"] <= most and low < high:
+            ranked = [r[0] for r in values.where(F.col("x").between(low, high)).orderBy("x").collect()[first - below :][:2]]
+            return between(ranked[0], ranked[-1])
+    return between(low, low)
+
+
 def quantize_int8(vectors: DataFrame, id_col: str, vector_col: str, quantile: float = 0.99) -> DataFrame:
     """(id_col, bound, codes): scalar quantisation to -127..127, clipped at the quantile of all absolute values.
 
-    One aggregate over all components gives the bound (exact percentile). Non-finite components are left out of it and
-    become 0; null vectors stay null.
+    The bound is exact (interpolated between the two nearest ranks): counts by value range find the range of each rank, and only that
+    range's values are ranked, narrowed again while it holds many. Non-finite components are left out of it and become 0; null vectors stay null.
     """
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     values = vectors.select(F.explode(vector_col).alias("x")).where(~bad(F.col("x")))
-    bound = values.agg(F.round(F.percentile(F.abs(F.col("x").cast("double")), quantile), 9).alias("bound"))
+    bound = _quantile(values.select(F.abs(F.col("x").cast("double")).alias("x")), quantile)
+    bound = vectors.sparkSession.createDataFrame([(bound,)], "bound double")
     scaled = lambda x: F.when(bad(x), 0.0).otherwise(F.greatest(F.lit(-127.0), F.least(F.lit(127.0), F.floor(x.cast("double") / F.col("bound") * 127 + 0.5).cast("double"))))
     return vectors.join(F.broadcast(bound), F.lit(True)).select(id_col, "bound", F.transform(vector_col, lambda x: scaled(x).cast("tinyint")).alias("codes"))
 

@@ -1,7 +1,7 @@
 """Queries of cited answers: citations, confidence, links, refinement and budgets.
 
-A document is an answer; the paths it names in backticks are its citations, the source files of those paths its evidence. A
-citation's score is made from the length of its path.
+A document is an answer; the symbols it names are its citations, the chunks of those symbols its evidence. A
+citation's score is made from the length of its name.
 """
 
 from __future__ import annotations
@@ -30,17 +30,17 @@ def query(sql: str | None = None):
     return keep
 
 
-_PATH = r"`([\w./-]+\.[a-z]+)`"
-_CITED = f"SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '{_PATH}', 1)) AS path FROM documents"
-_SCORED = f"SELECT doc_id, path, (length(path) % 10) / 10.0::DOUBLE AS score, path IN (SELECT path FROM source_files WHERE path IS NOT NULL) AS valid FROM ({_CITED})"
+_SYMBOL = r"[A-Za-z]\w*[a-z0-9](?:[A-Z]|_[a-z])\w*"
+_CITED = f"SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '{_SYMBOL}', 0)) AS symbol FROM documents"
+_SCORED = f"SELECT doc_id, symbol, (length(symbol) % 10) / 10.0::DOUBLE AS score, symbol IN (SELECT symbol_name FROM chunks WHERE symbol_name IS NOT NULL) AS valid FROM ({_CITED})"
 
 
 def _cited(spark, sf_dir):
-    """(doc_id, path, score, valid), distinct."""
-    own = read_table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(_PATH), 1)).alias("path")).distinct()
-    known = read_table(spark, sf_dir, "source_files").select("path").distinct().withColumn("known", F.lit(True))
-    score = (F.length("path") % 10 / 10.0).cast("double")
-    return own.join(known, "path", "left").select("doc_id", "path", score.alias("score"), F.coalesce("known", F.lit(False)).alias("valid"))
+    """(doc_id, symbol, score, valid), distinct."""
+    own = read_table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_SYMBOL), 0))).alias("symbol"))
+    known = read_table(spark, sf_dir, "chunks").select(F.col("symbol_name").alias("symbol")).distinct().withColumn("known", F.lit(True))
+    score = (F.length("symbol") % 10 / 10.0).cast("double")
+    return own.join(known, "symbol", "left").select("doc_id", "symbol", score.alias("score"), F.coalesce("known", F.lit(False)).alias("valid"))
 
 
 @query(f"SELECT doc_id, count(*) AS cited, count(*) FILTER (valid) AS valid, round(CASE WHEN count(*) FILTER (valid) > 0 THEN avg(score) ELSE 0 END, 6)::DOUBLE AS confidence FROM ({_SCORED}) GROUP BY doc_id")
@@ -50,15 +50,15 @@ def create_evidence(spark, sf_dir):
     return by.select("doc_id", "cited", "valid", F.round(F.when(F.col("valid") > 0, F.col("mean")).otherwise(0.0), 6).alias("confidence"))
 
 
-@query(f"SELECT c.doc_id, c.path, substr(d.text, 1, 100) AS claim, c.score AS confidence FROM ({_SCORED}) c JOIN documents d USING (doc_id) WHERE valid")
+@query(f"SELECT c.doc_id, c.symbol, substr(d.text, 1, 100) AS claim, c.score AS confidence FROM ({_SCORED}) c JOIN documents d USING (doc_id) WHERE valid")
 def build_evidence(spark, sf_dir):
     """A row of evidence per citation that exists: the answer's first 100 characters as the claim."""
     heads = read_table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 100).alias("claim"))
-    return _cited(spark, sf_dir).where("valid").join(heads, "doc_id").select("doc_id", "path", "claim", F.col("score").alias("confidence"))
+    return _cited(spark, sf_dir).where("valid").join(heads, "doc_id").select("doc_id", "symbol", "claim", F.col("score").alias("confidence"))
 
 
 _FACTORS = f"""WITH s AS ({_SCORED}), a AS (SELECT doc_id, coalesce(avg(score) FILTER (valid), 0) AS retrieval, count(*) FILTER (valid) / count(*) AS covered FROM s GROUP BY doc_id),
-f AS (SELECT s.doc_id, count(DISTINCT f.file_hash) AS chunks, count(DISTINCT f.path) AS paths, count(DISTINCT f.repo) AS repos FROM s JOIN source_files f USING (path) GROUP BY s.doc_id),
+f AS (SELECT s.doc_id, count(DISTINCT f.file_hash) AS chunks, count(DISTINCT f.path) AS paths, count(DISTINCT f.repo) AS repos FROM s JOIN chunks f ON f.symbol_name = s.symbol GROUP BY s.doc_id),
 x AS (SELECT a.doc_id, round(retrieval, 6)::DOUBLE AS retrieval, round(covered, 6)::DOUBLE AS covered, coalesce(chunks, 0) AS chunks, round(CASE WHEN coalesce(chunks, 0) < 2 THEN 1 ELSE (1.0::DOUBLE / paths + CASE WHEN repos > 0 THEN 1.0::DOUBLE / repos ELSE 0 END) / 2 END, 6)::DOUBLE AS consistent FROM a LEFT JOIN f USING (doc_id))"""
 
 
@@ -67,8 +67,8 @@ def confidence_factors(spark, sf_dir):
     """(doc_id, retrieval, covered, chunks, consistent) of every answer with citations."""
     cited = _cited(spark, sf_dir)
     score = cited.groupBy("doc_id").agg(F.round(F.coalesce(F.avg(F.when(F.col("valid"), F.col("score"))), F.lit(0.0)), 6).alias("retrieval"), F.round(F.count_if("valid") / F.count("*"), 6).alias("covered"))
-    files = read_table(spark, sf_dir, "source_files").select("path", "repo", "file_hash").distinct()
-    found = cited.where("valid").join(files, "path").groupBy("doc_id").agg(F.countDistinct("file_hash").alias("chunks"), F.countDistinct("path").alias("paths"), F.countDistinct("repo").alias("repos"))
+    chunks = read_table(spark, sf_dir, "chunks").select(F.col("symbol_name").alias("symbol"), "path", "repo", "file_hash").distinct()
+    found = cited.where("valid").join(chunks, "symbol").groupBy("doc_id").agg(F.countDistinct("file_hash").alias("chunks"), F.countDistinct("path").alias("paths"), F.countDistinct("repo").alias("repos"))
     chunks = F.coalesce("chunks", F.lit(0))
     spread = (1.0 / F.col("paths") + F.when(F.col("repos") > 0, 1.0 / F.col("repos")).otherwise(0.0)) / 2
     return score.join(found, "doc_id", "left").select("doc_id", "retrieval", "covered", chunks.cast("bigint").alias("chunks"), F.round(F.when(chunks < 2, 1.0).otherwise(spread), 6).alias("consistent"))
@@ -102,20 +102,34 @@ def claim_chunk_links(spark, sf_dir):
     return E.claim_links(claims, evidence, "doc_id")
 
 
-@query(_MATCH + f""", g AS (SELECT doc_id, count(*) AS gaps, count(*) FILTER (reason = 'No evidence found') AS missing FROM gaps WHERE reason IS NOT NULL GROUP BY doc_id),
-w AS (SELECT doc_id, pos, unnest({_KEYS.replace('text', 'claim')}) AS word FROM gaps WHERE reason IS NOT NULL), o AS (SELECT doc_id, word, min(pos) AS first_at FROM w GROUP BY ALL),
-named AS (SELECT doc_id, string_agg(word, ' ' ORDER BY first_at, word) AS concepts FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY first_at, word) AS n FROM o) WHERE n <= 5 GROUP BY doc_id)
-SELECT doc_id, gaps, missing, CASE WHEN missing * 2 > gaps THEN 'look for: ' || coalesce(concepts, '') ELSE 'cite better sources' END AS refinement FROM g LEFT JOIN named USING (doc_id)""")
+_FILE = r"(?i)(?:file|in|from)\s+[`\"']?([a-zA-Z0-9_\-./]+\.[a-zA-Z]+)"
+_FILE_SQL = _FILE.replace("'", "''")
+
+
+@query(_MATCH + f""", r AS (SELECT *, regexp_extract(claim, '{_FILE_SQL}', 1) AS file FROM gaps WHERE reason IS NOT NULL),
+g AS (SELECT doc_id, count(*) AS gaps, count(*) FILTER (reason = 'No evidence found') AS missing, count(*) FILTER (reason = 'Low confidence evidence') AS low, count(*) FILTER (reason = 'Evidence has no source chunks') AS bare FROM r GROUP BY doc_id),
+w AS (SELECT doc_id, pos, unnest({_KEYS.replace('text', 'claim')}) AS word FROM r), o AS (SELECT doc_id, word, min(pos) AS first_at FROM w GROUP BY ALL),
+named AS (SELECT doc_id, string_agg(word, ', ' ORDER BY first_at, word) AS concepts FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY first_at, word) AS n FROM o) WHERE n <= 5 GROUP BY doc_id),
+files AS (SELECT doc_id, string_agg(file, ', ' ORDER BY first_at, file) AS files FROM (SELECT doc_id, file, min(pos) AS first_at, row_number() OVER (PARTITION BY doc_id ORDER BY min(pos), file) AS n FROM r WHERE file <> '' GROUP BY doc_id, file) WHERE n <= 3 GROUP BY doc_id)
+SELECT doc_id, gaps, missing, concat_ws('; ', 'Need more context from: ' || files, CASE WHEN missing * 2 > gaps THEN 'Clarify: ' || concepts END, CASE WHEN low > 0 THEN 'Find more specific code references' END, CASE WHEN bare > 0 THEN 'Provide code examples for claims' END) AS refinement FROM g LEFT JOIN named USING (doc_id) LEFT JOIN files USING (doc_id)""")
 def refinement_query(spark, sf_dir):
-    """What to search for next: up to five keywords of the claims without evidence, in the order in which they occur."""
+    """What to ask for next, by the reasons of the gaps: up to three files that their claims name, up to five of their keywords in the order in which they occur."""
     reason = E.gap_reason(F.col("epos"), F.col("sources"), F.col("confidence"))
-    gaps = _matched(spark, sf_dir).withColumn("reason", reason).where("reason is not null")
-    counted = gaps.groupBy("doc_id").agg(F.count("*").alias("gaps"), F.count_if(F.col("reason") == "No evidence found").alias("missing"))
-    first = gaps.select("doc_id", "pos", F.explode(T.keywords(F.col("claim"))).alias("word")).groupBy("doc_id", "word").agg(F.min("pos").alias("at"))
-    ranked = first.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("at", "word"))).where("n <= 5")
-    words = ranked.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "word"))), lambda x: x["word"]), " ").alias("concepts"))
-    text = F.when(F.col("missing") * 2 > F.col("gaps"), F.concat(F.lit("look for: "), F.coalesce("concepts", F.lit("")))).otherwise("cite better sources")
-    return counted.join(words, "doc_id", "left").select("doc_id", "gaps", "missing", text.alias("refinement"))
+    gaps = _matched(spark, sf_dir).withColumn("reason", reason).where("reason is not null").withColumn("file", F.regexp_extract("claim", _FILE, 1))
+    count = lambda text: F.count_if(F.col("reason") == text)
+    counted = gaps.groupBy("doc_id").agg(F.count("*").alias("gaps"), count("No evidence found").alias("missing"), count("Low confidence evidence").alias("low"), count("Evidence has no source chunks").alias("bare"))
+
+    def first(rows, name, most):
+        ranked = rows.groupBy("doc_id", name).agg(F.min("pos").alias("at")).withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("at", name))).where(F.col("n") <= most)
+        return ranked.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", name))), lambda x: x[name]), ", ").alias(name + "s"))
+
+    words = first(gaps.select("doc_id", "pos", F.explode(T.keywords(F.col("claim"))).alias("word")), "word", 5)
+    files = first(gaps.where("file <> ''"), "file", 3)
+    text = F.concat_ws(
+        "; ", F.concat(F.lit("Need more context from: "), "files"), F.when(F.col("missing") * 2 > F.col("gaps"), F.concat(F.lit("Clarify: "), "words")),
+        F.when(F.col("low") > 0, "Find more specific code references"), F.when(F.col("bare") > 0, "Provide code examples for claims"),
+    )
+    return counted.join(words, "doc_id", "left").join(files, "doc_id", "left").select("doc_id", "gaps", "missing", text.alias("refinement"))
 
 
 @query(_MATCH + _COVER + " SELECT doc_id, total, covered, ratio >= 0.7 AS passed, concat_ws('; ', CASE WHEN average < 0.5 THEN 'find stronger evidence' END, CASE WHEN ratio < 0.5 THEN 'support more claims' END, CASE WHEN sources = 0 THEN 'cite sources' END) AS notes FROM cover")
@@ -129,7 +143,7 @@ def refined_query(spark, sf_dir):
 v AS (SELECT doc_id, ratio, coalesce(checks, 0) AS checks, coalesce(failed, 0) AS failed FROM cover LEFT JOIN f USING (doc_id))
 SELECT doc_id, checks, failed, ratio >= 0.7 AND failed = 0 AS verified, round(greatest(0, least(1, ratio - 0.2::DOUBLE * failed + CASE WHEN checks > 0 AND failed = 0 THEN 0.1::DOUBLE ELSE 0 END)), 6)::DOUBLE AS confidence FROM v""")
 def verify_answers(spark, sf_dir):
-    """Claims, coverage and checks together: a check per cited path, failed if no such file exists."""
+    """Claims, coverage and checks together: a check per cited symbol, failed if no chunk has it."""
     cover = E.coverage(_matched(spark, sf_dir), "doc_id").select("doc_id", "ratio")
     checks = _cited(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("checks"), F.count_if(~F.col("valid")).alias("failed"))
     both = cover.join(checks, "doc_id", "left").fillna(0, ["checks", "failed"])

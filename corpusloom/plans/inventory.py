@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions import text as T
 from corpusloom.plans.scans import _EXPORT, _PATTERNS, _STEM, _STEM_SQL, antipattern_scan
 from corpusloom.session import read_table
 
@@ -186,8 +188,43 @@ def usage_bands(spark, sf_dir):
     return last.withColumn("bar", F.repeat(F.lit("#"), F.least(F.lit(10), F.floor(v / 10)).cast("int"))).withColumn("band", F.when(v < 50, "low").when(v < 65, "middle").when(v < 80, "high").otherwise("full"))
 
 
-@query("SELECT doc_id, created_at, line, substr(content, 7) AS item FROM (SELECT doc_id, created_at, unnest(range(0, len(string_split(text, chr(10))))) AS line, unnest(string_split(text, chr(10))) AS content FROM documents WHERE text IS NOT NULL) WHERE starts_with(content, '- [ ] ')")
+_ITEMS = "SELECT doc_id, repo, created_at, line, substr(content, 7) AS item FROM (SELECT doc_id, repo, created_at, unnest(range(0, len(string_split(text, chr(10))))) AS line, unnest(string_split(text, chr(10))) AS content FROM documents WHERE text IS NOT NULL) WHERE starts_with(content, '- [ ] ')"
+_NOW = "2026-01-01 00:00:00"
+
+
+def _items(spark, sf_dir):
+    rows = read_table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "repo", "created_at", F.posexplode(F.split("text", "\n", -1)).alias("line", "content"))
+    return rows.where(F.col("content").startswith("- [ ] ")).select("doc_id", "repo", "created_at", F.col("line").cast("bigint").alias("line"), F.expr("substring(content, 7)").alias("item"))
+
+
+@query(f"SELECT doc_id, repo, line, item, date_diff('day', created_at::DATE, DATE '2026-01-01') AS age_days, row_number() OVER (PARTITION BY repo ORDER BY created_at, doc_id, line) AS place FROM ({_ITEMS}) QUALIFY place <= 50")
 def todo_list(spark, sf_dir):
-    """Open items of all documents with the time they were written down."""
-    rows = read_table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "created_at", F.posexplode(F.split("text", "\n", -1)).alias("line", "content"))
-    return rows.where(F.col("content").startswith("- [ ] ")).select("doc_id", "created_at", F.col("line").cast("bigint").alias("line"), F.expr("substring(content, 7)").alias("item"))
+    """The 50 oldest open items of each repository, with their age on a stated day."""
+    order = Window.partitionBy("repo").orderBy(F.col("created_at").asc_nulls_last(), "doc_id", "line")
+    age = F.date_diff(F.to_date(F.lit(_NOW)), F.to_date("created_at")).cast("bigint")
+    return _items(spark, sf_dir).select("doc_id", "repo", "line", "item", age.alias("age_days"), F.row_number().over(order).cast("bigint").alias("place")).where("place <= 50")
+
+
+_TODO_WORDS = "list_distinct(list_filter(regexp_extract_all(lower(item), '[a-z0-9_]+'), lambda w: length(w) > 8))"
+
+
+@query(f"WITH i AS (SELECT doc_id, repo, line, {_TODO_WORDS} AS ws FROM ({_ITEMS})), w AS (SELECT doc_id, repo, line, unnest(ws) AS w FROM i), k AS (SELECT repo, w, min((doc_id, line)) AS first, count(*) AS n FROM w GROUP BY ALL HAVING count(*) > 1) SELECT w.doc_id, w.line, count(*) AS shared_words, min(first)[1] AS first_id FROM w JOIN k ON k.repo IS NOT DISTINCT FROM w.repo AND k.w = w.w AND (w.doc_id, w.line) <> k.first GROUP BY ALL")
+def todo_duplicates(spark, sf_dir):
+    """Open items whose long words an earlier item of the repository holds too: how many of them, and the first document that does.
+
+    Each word is linked to its first item only, so no pair of items is built.
+    """
+    words = F.array_distinct(F.filter(T.tokens(F.col("item")), lambda w: F.length(w) > 8))
+    own = _items(spark, sf_dir).select("repo", F.struct("doc_id", "line").alias("at"), F.explode(words).alias("w"))
+    firsts = own.groupBy(F.col("repo").alias("r"), F.col("w").alias("v")).agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1")
+    met = own.join(firsts, F.col("repo").eqNullSafe(F.col("r")) & (F.col("w") == F.col("v"))).where("at <> first")
+    return met.groupBy("at").agg(F.count("*").alias("shared_words"), F.min("first.doc_id").alias("first_id")).select("at.doc_id", "at.line", "shared_words", "first_id")
+
+
+@query("WITH l AS (SELECT file_id, path, unnest(range(0, len(string_split(text, chr(10))))) AS line, unnest(string_split(text, chr(10))) AS content FROM source_files WHERE text IS NOT NULL) " + " UNION ALL ".join(f"SELECT path AS file, line + 1 AS line, 'scan' AS type, '{name}: ' || trim(content, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160) || chr(65279)) AS message, CASE WHEN '{level}' = 'blocker' THEN 'error' ELSE 'warning' END AS severity FROM l WHERE regexp_matches(content, '{pattern}')" for name, pattern, level in _PATTERNS if level != "info"))
+def verifier_errors(spark, sf_dir):
+    """The findings of all checks as one list of errors: file, line (from 1), type of check, message and severity."""
+    rows = read_table(spark, sf_dir, "source_files").where("text is not null").select("path", F.posexplode(F.split("text", "\n", -1)).alias("line", "content"))
+    hits = F.array(*[F.when(F.col("content").rlike(pattern), F.struct(F.lit(name + ": ").alias("name"), F.lit("error" if level == "blocker" else "warning").alias("severity"))) for name, pattern, level in _PATTERNS if level != "info"])
+    found = rows.select("path", "line", "content", F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("h"))
+    return found.select(F.col("path").alias("file"), (F.col("line") + 1).cast("bigint").alias("line"), F.lit("scan").alias("type"), F.concat("h.name", T.trim_blank(F.col("content"))).alias("message"), "h.severity")

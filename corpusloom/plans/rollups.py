@@ -177,7 +177,7 @@ def duration_label(spark, sf_dir):
 
 
 @query("SELECT sha256(text) AS text_hash, count(*) AS copies, min(doc_id) AS first_id, max(doc_id) AS last_id FROM documents WHERE text IS NOT NULL GROUP BY sha256(text) HAVING count(*) > 1")
-def todo_duplicates(spark, sf_dir):
+def repeated_texts(spark, sf_dir):
     """Texts that occur more than once."""
     own = read_table(spark, sf_dir, "documents").where("text is not null").select(F.sha2("text", 256).alias("text_hash"), "doc_id")
     return own.groupBy("text_hash").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("copies > 1")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.functions.paths import extension
-from corpusloom.operators.retrieval import term_table
+from corpusloom.operators import code as C
+from corpusloom.operators.retrieval import term_table, where_all
 from corpusloom.session import read_table
 
 QUERIES, SQL = {}, {}
@@ -196,7 +197,7 @@ def peek_context(spark, sf_dir):
 @query("SELECT DISTINCT chunk_id, path, language, symbol_type FROM chunks WHERE language = 'typescript' AND symbol_type = 'method' AND contains(path, 'src/')")
 def filter_chunks(spark, sf_dir):
     own = read_table(spark, sf_dir, "chunks")
-    return own.where((F.col("language") == "typescript") & (F.col("symbol_type") == "method") & F.col("path").contains("src/")).select("chunk_id", "path", "language", "symbol_type").distinct()
+    return where_all(own, language="typescript", symbol_type="method", path="src/").select("chunk_id", "path", "language", "symbol_type").distinct()
 
 
 @query("SELECT DISTINCT chunk_id, path, contains(path, 'lib/') AS anywhere, starts_with(path, 'lib/') AS prefix FROM chunks WHERE contains(path, 'lib/')")
@@ -207,7 +208,7 @@ def filter_path(spark, sf_dir):
 
 @query("SELECT repo, chunk_id FROM (SELECT DISTINCT repo, chunk_id FROM chunks WHERE symbol_type = 'class') QUALIFY row_number() OVER (PARTITION BY repo ORDER BY chunk_id) <= 100")
 def search_by_metadata(spark, sf_dir):
-    own = read_table(spark, sf_dir, "chunks").where("symbol_type = 'class'").select("repo", "chunk_id").distinct()
+    own = where_all(read_table(spark, sf_dir, "chunks"), symbol_type="class").select("repo", "chunk_id").distinct()
     return own.withColumn("n", F.row_number().over(Window.partitionBy("repo").orderBy("chunk_id"))).where("n <= 100").drop("n")
 
 
@@ -288,9 +289,14 @@ def split_by_size(spark, sf_dir):
     return _split(read_table(spark, sf_dir, "documents").where("length(text) > 1500"), "doc_id", 1500, 0.15)
 
 
-@query(_split_sql("(SELECT DISTINCT chunk_id, text FROM chunks)", "chunk_id", 2000, 0.15, "length(text) > 2000"))
+@query("SELECT chunk_id || '-part' || part AS part_id, coalesce(symbol_name, '') || ' (part ' || (part + 1) || ')' AS name, part, piece FROM (" + _split_sql("(SELECT DISTINCT chunk_id, symbol_name, text FROM chunks)", "chunk_id, symbol_name", 2000, 0.15, "length(text) > 2000") + ")")
 def split_large_code(spark, sf_dir):
-    return _split(read_table(spark, sf_dir, "chunks").where("length(text) > 2000").select("chunk_id", "text").distinct(), "chunk_id", 2000, 0.15)
+    """Parts of large chunks under ids and names of their own."""
+    own = read_table(spark, sf_dir, "chunks").where("length(text) > 2000").select("chunk_id", "symbol_name", "text").distinct().withColumn("chunk", F.struct("chunk_id", "symbol_name"))
+    parts = _split(own, "chunk", 2000, 0.15)
+    part = F.col("part").cast("string")
+    name = F.concat(F.coalesce("chunk.symbol_name", F.lit("")), F.lit(" (part "), (F.col("part") + 1).cast("string"), F.lit(")"))
+    return parts.select(F.concat("chunk.chunk_id", F.lit("-part"), part).alias("part_id"), name.alias("name"), "part", "piece")
 
 
 @query(_split_sql("documents", "doc_id", 1500, 0.15, "length(text) > 1500", "ceil((length(text) - {size}) / {step})"))
@@ -305,7 +311,9 @@ def split_whole_code(spark, sf_dir):
     return _split(read_table(spark, sf_dir, "chunks").where("length(text) > 2000").select("chunk_id", "text").distinct(), "chunk_id", 2000, 0.15, whole=True)
 
 
-@query("SELECT file_id, unnest(regexp_extract_all(text, '(?m)^import [^;\\n]*', 0)) AS import_text FROM source_files WHERE path NOT LIKE '%.py'")
+@query(f"SELECT file_id, k AS place, list[k + 1] AS import_text FROM (SELECT file_id, list, unnest(range(0, len(list))) AS k FROM (SELECT file_id, regexp_extract_all(text, '{C.IMPORT.replace(chr(39), chr(39) * 2)}', 0) AS list FROM source_files WHERE path NOT LIKE '%.py'))")
 def collect_imports(spark, sf_dir):
+    """Whole import statements, over several lines or one, in order."""
     own = read_table(spark, sf_dir, "source_files").where("path not like '%.py'")
-    return own.select("file_id", F.explode(F.regexp_extract_all("text", F.lit(r"(?m)^import [^;\n]*"), 0)).alias("import_text"))
+    found = own.select("file_id", F.posexplode(F.regexp_extract_all("text", F.lit(C.IMPORT), 0)).alias("place", "import_text"))
+    return found.withColumn("place", F.col("place").cast("bigint"))

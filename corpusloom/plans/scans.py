@@ -79,11 +79,16 @@ def dag_missing_refs(spark, sf_dir):
     return G.missing_references(*_modules(spark, sf_dir))
 
 
-@query(f"WITH RECURSIVE {_MODULES}, back AS (SELECT node, needs FROM e UNION SELECT back.node, e.needs FROM back JOIN e ON e.node = back.needs) SELECT DISTINCT node FROM back WHERE node = needs")
+_PART = "lower(regexp_extract({}, '^[A-Za-z][a-z]*', 0))"
+
+
+@query(f"WITH RECURSIVE e AS (SELECT DISTINCT {_PART.format('name')} AS node, {_PART.format('stem')} AS needs FROM (SELECT regexp_replace(path, '^.*/', '') AS name, unnest(regexp_extract_all(text, '{_STEM_SQL}', 1)) AS stem FROM source_files WHERE path IS NOT NULL) WHERE {_PART.format('name')} <> {_PART.format('stem')}), back AS (SELECT node, needs FROM e UNION SELECT back.node, e.needs FROM back JOIN e ON e.node = back.needs) SELECT DISTINCT node FROM back WHERE node = needs AND node <> ''")
 def dag_cycles(spark, sf_dir):
-    """Modules that import themselves, directly or through others."""
-    nodes, imports = _modules(spark, sf_dir)
-    return G.on_cycles(nodes, _known(nodes, imports))
+    """Components (the first words of the modules' names) that need one another in a circle."""
+    part = lambda c: F.lower(F.regexp_extract(c, "^[A-Za-z][a-z]*", 0))
+    files = read_table(spark, sf_dir, "source_files").where("path is not null").select(part(F.regexp_replace("path", "^.*/", "")).alias("node"), F.explode(F.regexp_extract_all("text", F.lit(_STEM), 1)).alias("stem"))
+    edges = files.select("node", part(F.col("stem")).alias("needs")).where("node <> needs").distinct()
+    return G.on_cycles(edges.select("node"), edges).where("node <> ''")
 
 
 @query(f"WITH {_MODULES} SELECT e.node, e.needs FROM e JOIN m a ON a.node = e.node JOIN m b ON b.node = e.needs WHERE b.since > a.since")

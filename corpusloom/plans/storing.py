@@ -142,11 +142,26 @@ def md_section_chunks(spark, sf_dir):
     return M.with_header(M.sections(read_table(spark, sf_dir, "documents"), "doc_id")).select("doc_id", "section", "chunk")
 
 
-@query()
+_HEADED = f"SELECT *, CASE WHEN level > 0 THEN repeat('#', level) || ' ' || title || chr(10) || chr(10) ELSE '' END AS header FROM ({_SECTIONS})"
+_BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160) || chr(65279)"
+
+
+@query(f"""WITH RECURSIVE s AS ({_HEADED}), long AS (SELECT *, regexp_split_to_array(content, '\\n\\n+') AS ps FROM s WHERE length(header || content) > 1500),
+f AS (SELECT doc_id, section, title, level, start_line, end_line, header, ps, 0 AS i, header AS text, 0 AS done, 0 AS offs, 0 AS went, NULL::VARCHAR AS out, 0 AS a, 0 AS b FROM long
+UNION ALL SELECT doc_id, section, title, level, start_line, end_line, header, ps, i + 1, CASE WHEN is_full THEN header ELSE text END || p || chr(10) || chr(10), done + is_full::INT, CASE WHEN is_full THEN n ELSE offs + n + 1 END, CASE WHEN is_full THEN offs ELSE went END, CASE WHEN is_full THEN trim(text, {_BLANK}) END, start_line + went, start_line + went + offs
+FROM (SELECT *, ps[i + 1] AS p, len(string_split(ps[i + 1], chr(10))) AS n, length(text) + length(ps[i + 1]) + 2 > 1500 AND length(text) > 100 AS is_full FROM f WHERE i < len(ps))),
+parts AS (SELECT doc_id, section, title, level, done - 1 AS part, a AS start_line, b AS end_line, out AS chunk FROM f WHERE out IS NOT NULL UNION ALL SELECT doc_id, section, title, level, done, start_line + went, end_line, trim(text, {_BLANK}) FROM f WHERE i = len(ps) AND length(trim(text, {_BLANK})) > 100 UNION ALL SELECT doc_id, section, title, level, 0, start_line, end_line, header || content FROM s WHERE length(header || content) <= 1500)
+SELECT doc_id, section, title, level, part::INTEGER AS part, CASE WHEN part > 0 THEN title || ' (cont.)' ELSE title END AS name, start_line::INTEGER AS start_line, end_line::INTEGER AS end_line, chunk FROM parts""")
 def chunk_markdown(spark, sf_dir):
     return M.pack_paragraphs(M.sections(read_table(spark, sf_dir, "documents"), "doc_id"))
 
 
+@query(f"""WITH s AS (SELECT *, header || content AS whole FROM ({_HEADED})), k AS (SELECT *, unnest(range(0, CASE WHEN length(whole) <= 1500 THEN 1 ELSE (greatest(0, floor((length(whole) - 450.0) / 1275)) + 1)::BIGINT END)) AS part FROM s)
+SELECT doc_id, section, title, level, part::INTEGER AS part, CASE WHEN part > 0 THEN title || ' (cont.)' ELSE title END AS name, start_line, end_line, substr(whole, (part * 1275 + 1)::BIGINT, 1500) AS chunk FROM k""")
+def chunk_markdown_by_size(spark, sf_dir):
+    return M.split_sections(M.sections(read_table(spark, sf_dir, "documents"), "doc_id"))
+
+
 _PARTS = f"""SELECT file_id, hash || '-' || start_line || '-' || symbol_name AS chunk_id, symbol_type, symbol_name, start_line, end_line, chunk FROM (SELECT file_id, hash, min(line)::INTEGER AS start_line, max(line)::INTEGER AS end_line, string_agg(content, chr(10) ORDER BY line) AS chunk, max(CASE WHEN head THEN content END) AS f,
 CASE WHEN f IS NULL THEN '<module>' ELSE coalesce(nullif(regexp_extract(f, '{C.NAME}', 1), ''), '<anonymous>') END AS symbol_name,
 CASE WHEN f IS NULL THEN 'module' WHEN regexp_matches(f, '\\b(?:function|def)\\b|=\\s*(?:async\\s*)?\\(') THEN 'function' WHEN regexp_matches(f, '\\bclass\\b') THEN 'class' WHEN regexp_matches(f, '\\b(?:interface|enum|type)\\b') THEN 'other' ELSE 'module' END AS symbol_type
