@@ -8,7 +8,7 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.session import cut, shared_dir
+from corpusloom.session import cut, run_dir
 
 
 def levels(nodes: DataFrame, edges: DataFrame, node: str = "node", needs: str = "needs", most: int | None = None) -> DataFrame:
@@ -23,7 +23,7 @@ def levels(nodes: DataFrame, edges: DataFrame, node: str = "node", needs: str =
     kind = nodes.schema[node].dataType
     pairs = cut(edges.where(F.col(needs).isNotNull()).select(F.col(node).cast(kind).alias(node), F.col(needs).cast(kind).alias(needs)).distinct(), "edges")
     fresh = nodes.select(node).distinct().join(pairs, node, "left_anti").withColumn("level", F.lit(1))
-    path, schema = f"{shared_dir(spark)}/levels-{uuid.uuid4().hex}", f"`{node}` {kind.simpleString()}, level int"
+    path, schema = f"{run_dir(spark)}/levels-{uuid.uuid4().hex}", f"`{node}` {kind.simpleString()}, level int"
     for level in count(1):
         fresh.write.mode("append").parquet(path)
         done = spark.read.schema(schema).parquet(path)

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.plans import answers, evidence, inventory, rollups, scalars, scans, search, storing
+from corpusloom.plans import answers, evidence, inventory, rollups, scalars, scans, search, storing, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
-SECTIONS = [search, scalars, storing, evidence, answers, scans, inventory, rollups]
+SECTIONS = [search, scalars, storing, evidence, answers, scans, inventory, rollups, streams]
 
 
 def queries() -> dict[str, Query]:

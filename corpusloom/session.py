@@ -36,9 +36,25 @@ def shared_dir(spark: SparkSession) -> str:
     return given
 
 
+def run_dir(spark: SparkSession) -> str:
+    """This application's own folder in the shared one; it is deleted when the application ends."""
+    path = f"{shared_dir(spark)}/run-{spark.sparkContext.applicationId}"
+    if path not in _runs:
+        _runs.add(path)
+        jvm = spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+    return path
+
+
+_runs: set[str] = set()
+
+
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """Write df once to the shared folder and read it back: ends the lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
