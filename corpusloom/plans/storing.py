@@ -182,3 +182,27 @@ def chunk_code(spark, sf_dir):
 def index_single(spark, sf_dir):
     """What indexing a file yields."""
     return _code(spark, sf_dir).groupBy("file_id").agg(F.count("*").alias("chunks"), F.countDistinct("symbol_name").alias("symbols"), F.sum(F.length("chunk")).alias("chars"))
+
+
+_METHOD_LINE = C.METHOD.replace(r"(?:\n|\z)", "$")
+_KIND = "CASE WHEN regexp_matches({0}, '\\b(?:function|def)\\b|=\\s*(?:async\\s*)?\\(') THEN 'function' WHEN regexp_matches({0}, '\\bclass\\b') THEN 'class' WHEN regexp_matches({0}, '\\b(?:interface|enum|type)\\b') THEN 'other' ELSE 'module' END"
+
+
+@query(f"""WITH src AS (SELECT file_id, text, substr(sha256(text), 1, 16) AS hash, array_to_string(regexp_extract_all(text, '{C.IMPORT.replace(chr(39), chr(39) * 2)}', 0), chr(10)) AS prefix FROM source_files WHERE text IS NOT NULL),
+l AS (SELECT file_id, unnest(range(0, len(string_split(text, chr(10))))) AS line, unnest(string_split(text, chr(10))) AS content FROM src),
+t AS (SELECT *, sum(head::INT) OVER (PARTITION BY file_id ORDER BY line) AS part FROM (SELECT *, regexp_matches(content, '^{C.BOUNDARY}') AS head FROM l)),
+tu AS (SELECT *, coalesce(min(line) FILTER (NOT (head OR content = '' OR regexp_matches(content, '^(?:\\s|[}}\\])])'))) OVER (PARTITION BY file_id, part), 1000000000) AS stop FROM t WHERE part > 0),
+tl AS (SELECT *, max(line) FILTER (line < stop AND regexp_matches(content, '\\S')) OVER (PARTITION BY file_id, part) AS last FROM tu),
+d AS (SELECT file_id, part, min(line) AS a, max(line) AS b, max(CASE WHEN head THEN content END) AS first, regexp_replace(string_agg(content, chr(10) ORDER BY line), '\\s+$', '') AS unit FROM tl WHERE line <= last GROUP BY file_id, part),
+dn AS (SELECT file_id, a, b, {_KIND.format('first')} AS kind, coalesce(nullif(regexp_extract(first, '{C.NAME}', 1), ''), '<anonymous>') AS name, unit FROM d),
+m AS (SELECT *, sum(head::INT) OVER (PARTITION BY file_id, a ORDER BY line) AS part FROM (SELECT dn.file_id, dn.a, tl.line, CASE WHEN tl.line = dn.b THEN regexp_replace(tl.content, '\\s+$', '') ELSE tl.content END AS content, regexp_matches(tl.content, '^(?:{_METHOD_LINE})') AS head FROM dn JOIN tl ON tl.file_id = dn.file_id AND tl.line BETWEEN dn.a AND dn.b WHERE kind = 'class')),
+mu AS (SELECT *, coalesce(min(line) FILTER (NOT (head OR content = '' OR regexp_matches(content, '^(?:(?:  |\\t)(?:  )?[}}\\])]|(?:  |\\t)\\s)'))) OVER (PARTITION BY file_id, a, part), 1000000000) AS stop FROM m WHERE part > 0),
+ml AS (SELECT *, max(line) FILTER (line < stop AND regexp_matches(content, '\\S')) OVER (PARTITION BY file_id, a, part) AS last FROM mu),
+mn AS (SELECT file_id, min(line) AS a, max(line) AS b, max(CASE WHEN head THEN content END) AS first, regexp_replace(string_agg(content, chr(10) ORDER BY line), '\\s+$', '') AS unit FROM ml WHERE line <= last GROUP BY file_id, a, part),
+u AS (SELECT file_id, a, b, kind, name, unit FROM dn UNION ALL SELECT file_id, a, b, 'method', coalesce(nullif(regexp_extract(first, '{C.METHOD_NAME}', 1), ''), '<anonymous>'), unit FROM mn WHERE NOT regexp_matches(first, '{C._NO_METHOD}')),
+w AS (SELECT u.file_id, hash || '-' || a || '-' || name AS id, kind, name, a, b, CASE WHEN prefix <> '' THEN prefix || chr(10) || chr(10) || unit ELSE unit END AS whole FROM u JOIN src USING (file_id)),
+k AS (SELECT *, unnest(range(0, CASE WHEN length(whole) <= 2000 THEN 1 ELSE (greatest(0, floor((length(whole) - 600.0) / 1700)) + 1)::BIGINT END)) AS part FROM w)
+SELECT file_id, CASE WHEN length(whole) > 2000 THEN id || '-part' || part ELSE id END AS chunk_id, kind AS symbol_type, CASE WHEN length(whole) > 2000 THEN name || ' (part ' || (part + 1) || ')' ELSE name END AS symbol_name, a::INTEGER AS start_line, b::INTEGER AS end_line, substr(whole, (part * 1700 + 1)::BIGINT, 2000) AS chunk FROM k""")
+def chunk_code_units(spark, sf_dir):
+    """Declarations and methods as chunks, under the file's imports, large ones in parts."""
+    return C.code_units(read_table(spark, sf_dir, "source_files"))

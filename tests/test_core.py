@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import datetime
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,6 +178,83 @@ def test_code_chunks(spark):
     assert got == [("module", "<module>", 0, 1), ("class", "K", 2, 4), ("function", "f", 5, 8)]
 
 
+def test_code_units(spark):
+    text = 'import a from "a";\nimport {\n  b as c,\n} from "b";\n\n// note\nexport class Foo {\n  x = 1;\n\n  constructor(a) {\n    if (a) {\n      b();\n    }\n  }\n}\n\nconst f = (x) => {\n  return x;\n};\nlog(1);\nfunction g(\n  a,\n) {\n  return a;\n}\n'
+    df = spark.createDataFrame([(1, text, "x"), (2, None, "x"), (3, "", "x"), (4, "class A:\n    def m(self):\n        return 1\n\nx = 1\n", "x"), (5, "const f = (\n" + "  a,\n" * 600 + ") => 1;", "x")], "file_id int, text string, chunk_id string")
+    rows = C.code_units(df).orderBy("file_id", "start_line", "symbol_type").collect()
+    got = [(r["symbol_type"], r["symbol_name"], r["start_line"], r["end_line"]) for r in rows if r["file_id"] != 5]
+    assert got == [("class", "Foo", 6, 14), ("method", "constructor", 9, 13), ("function", "f", 16, 18), ("function", "g", 20, 24), ("class", "A", 0, 2), ("method", "m", 1, 2)]
+    assert rows[1]["chunk"].startswith('import a from "a"\nimport {') and rows[1]["chunk"].endswith("\n  }")
+    assert [r["symbol_name"] for r in rows if r["file_id"] == 5] == ["f (part 1)", "f (part 2)"]
+    names = spark.createDataFrame([("import { a, b as c,\n  type D } from 'x'; import e, { f } from 'y'; import {} from 'z'",)], "t string").select(C.imported_names(F.col("t"))).first()[0]
+    assert names == ["a", "b", "D", "f"]
+
+
+def test_quantile_bounds(spark):
+    rng = random.Random(3)
+    for values in ([1.0], [2.0] * 50, [0.0, 1e9], [rng.gauss(0, 1) for _ in range(1500)], [rng.choice((1.0, 1.0000000000000002)) for _ in range(99)], []):
+        df = spark.createDataFrame([(x,) for x in values], "x double")
+        for quantile in (0.0, 0.5, 0.99, 1.0):
+            want = None if not values else round(float(np.quantile(values, quantile)), 9)
+            for most in (5, 100_000):
+                got = S._quantile(df, quantile, most, 16)
+                assert got == want or abs(got - want) < 1e-8 * max(1, abs(want)), (values[:3], quantile, most)
+
+
+def test_cycles(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (6, 1), (7, 7), (8, 9), (9, 8), (5, 8), (None, 1), (2, None), (1, 2)], "node int, needs int")
+    assert {r[0] for r in G.on_cycles(edges.select("node"), edges).collect()} == {1, 2, 3, 7, 8, 9}
+    assert G.on_cycles(edges.select("node"), edges.limit(0)).count() == 0
+
+
+def test_matching_equals_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(E, "BLOCK", 4)
+    rng = random.Random(8)
+    words = "alpha beta gamma delta epsilon zeta the of in concatenated cat".split()
+    say = lambda most: " ".join(rng.choice(words) for _ in range(rng.randint(0, most)))
+    claims = [(g, p, say(7)) for g in range(6) for p in range(14)] + [(None, 0, "alpha beta")]
+    evidence = [(g, p, say(9)[rng.randint(0, 2):], p % 3, p / 20) for g in range(6) for p in range(14)] + [(0, 2, "alpha beta gamma", 9, 0.9), (None, 0, "alpha beta", 1, 0.5)]
+    keys = lambda t: [w for w in t.lower().split() if len(w) > 2 and w not in T.STOP_WORDS]
+
+    def match(c, e):
+        return c.lower() in e.lower() or e.lower() in c.lower() or sum(w in keys(e) for w in keys(c)) >= math.ceil(len(keys(c)) / 2)
+
+    want = {}
+    for g, p, c in claims:
+        met = [(q, e, s, f) for h, q, e, s, f in evidence if h == g and g is not None and match(c, e)]
+        least = min((q for q, *_ in met), default=None)
+        want[g, p] = min(((e, s, f) for h, q, e, s, f in evidence if h == g and q == least), default=None)
+        want[g, p] = (least, *want[g, p][1:]) if least is not None else (None, None, None)
+    a, b = spark.createDataFrame(claims, "g int, pos bigint, claim string"), spark.createDataFrame(evidence, "g int, epos bigint, evidence string, sources int, confidence double")
+    got = {(r["g"], r["pos"]): (r["epos"], r["sources"], r["confidence"]) for r in E.match_evidence(a, b, "g").collect()}
+    assert got == want and sum(v[0] is not None for v in want.values()) > 30
+    assert E.match_evidence(a.limit(0), b, "g").count() == 0 and E.match_evidence(a, b.limit(0), "g").where("epos is not null").count() == 0
+    links = {(r["g"], r["pos"], r["epos"]) for r in E.claim_links(a, b, "g").where("g is not null").collect()}
+    monkeypatch.setattr(E, "BLOCK", 512)
+    assert links == {(r["g"], r["pos"], r["epos"]) for r in E.claim_links(a, b, "g").where("g is not null").collect()} and links
+
+
+def test_lexical_search_either_way(spark):
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(30)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 12)))) for i in range(120)] + [(500, None), (501, "")], "d int, text string")
+    asked = spark.createDataFrame([(f"q{i}", " ".join(rng.choice([*words, "other"]) for _ in range(4))) for i in range(9)] + [("none", None)], "q string, text string")
+    few, many = ({tuple(r) for r in R.lexical_topk(docs, asked, "d", "q", 5, legs=("sparse", "overlap"), most_terms=m).collect()} for m in (1000, 0))
+    assert few == many and len(few) == 90
+    assert R.lexical_topk(docs.limit(0), asked, "d", "q", 5).count() == 0 == R.lexical_topk(docs, asked.limit(0), "d", "q", 5).count()
+    with pytest.raises(ValueError):
+        R.where_all(docs)
+
+
+def test_each_text_is_embedded_once(spark):
+    rows = spark.createDataFrame([("a", "x y", 1), ("b", "x y", 1), ("c", "z", 1), ("d", None, 1), ("e", "", 1), ("f", "z", 1)], "id string, text string, hash int")
+    cache = spark.createDataFrame([("b", [1.0]), ("a", [2.0]), ("c", None)], "id string, vector array<double>")
+    got = {r["id"]: (r["origin"], r["source"], r["vector"]) for r in S.embed_batch(rows, cache, "id", "text", lambda t: F.array(F.length(t).cast("double"))).collect()}
+    assert got == {"a": ("cached", "a", [2.0]), "b": ("cached", "a", [2.0]), "c": ("embedded", None, [1.0]), "f": ("embedded", None, [1.0]), "e": ("embedded", None, [0.0])}
+    (vector,) = rows.where("id = 'a'").select(T.hashed_embedding(F.col("text"), 8)).first()
+    assert abs(sum(x * x for x in vector) - 1) < 1e-9
+
+
 def test_file_scan(spark, tmp_path):
     for path, text in (("a.ts", "x"), ("b/c.md", "é"), ("node_modules/d.js", "x"), ("e.txt", "x"), (".git/f.js", "x")):
         (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
