@@ -139,7 +139,8 @@ def _class_tiles(texts: DataFrame, own: DataFrame, least: int, words: str, short
     if few:
         known = np.array([r[0] for r in item_seeds.select("h").distinct().toLocalIterator()], dtype=np.int64)
         wanted = spark.sparkContext.broadcast(np.sort(known.view(np.uint64)))
-    doc_seeds = cut(texts.mapInPandas(_seeds(sizes, words, wanted), SEED_SCHEMA).select("h", "id", "pos", "size").distinct(), "seeds")
+    doc_seeds = texts.mapInPandas(_seeds(sizes, words, wanted), SEED_SCHEMA).select("h", "id", "pos", "size").distinct()
+    doc_seeds = doc_seeds if few else cut(doc_seeds, "seeds")
     right = item_seeds.select("h", "size", F.col("id").alias("item"), F.col("pos").alias("other"), F.col("n_words").alias("item_words"))
     # Beyond the bound both sides are read from tables and joined by shuffle, where adaptive execution splits hot hashes.
     matches = doc_seeds.join(F.broadcast(right) if few else right, ["h", "size"]).select(F.col("id").alias("doc"), "item", "pos", "other", "item_words", "size")
@@ -173,6 +174,6 @@ def leaks(
     found = _class_tiles(texts, own, least, words, short, most_broadcast).groupBy("doc", "item").agg(
         F.count("*").alias("tiles"), F.sum("length").alias("covered_words"), F.max("item_words").cast("bigint").alias("item_words")
     )
-    found = cut(found.withColumn("coverage", F.col("covered_words") / F.col("item_words")).where(F.col("coverage") >= threshold), "leaks")
+    found = found.withColumn("coverage", F.col("covered_words") / F.col("item_words")).where(F.col("coverage") >= threshold)
     named = _with_ids(_with_ids(found, members, "doc", "doc_"), item_members, "item", "item_")
     return named.select(F.col("doc_").alias(doc_id), F.col("item_").alias(item_id), "tiles", "covered_words", "item_words", "coverage")

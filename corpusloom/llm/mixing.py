@@ -140,13 +140,15 @@ def mixture(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None
     max_repeats, available_tokens, mixed_tokens, actual_share), one row per target, also those without records.
     total_tokens is the size of the mixture (default: all tokens of the targets' sources); where max_repeats
     keeps a source below its share, the others keep their proportions and fill the total as far as they can.
-    Records without source, without a target or without tokens aren't used. Any number of targets: their quotas are found in
-    Spark, and up to BROADCAST_TARGETS of them are broadcast (they are counted first).
+    Records without source, without a target or without tokens aren't used. Up to BROADCAST_TARGETS targets (they are counted first) are
+    broadcast and get their quotas on the driver; beyond that the quotas are found in Spark (see apportion), with equal results.
     """
+    spark = docs.sparkSession
     goal = targets.where(F.col("source").isNotNull()).groupBy("source").agg(F.max(F.coalesce("target_share", F.lit(0.0))).alias("target_share"), F.max(F.coalesce("max_repeats", F.lit(0))).alias("max_repeats"))
     goal = cut(goal, "targets")
     rows = token_counts(docs, id_col, tokenizer).where("tokens > 0")
-    if goal.limit(BROADCAST_TARGETS + 1).count() <= BROADCAST_TARGETS:
+    few = goal.limit(BROADCAST_TARGETS + 1).count() <= BROADCAST_TARGETS
+    if few:
         rows = rows.join(F.broadcast(goal.select("source")), "source")
     else:  # a source may hold a third of all rows: both sides are spread over salts
         salts = goal.select("source", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
@@ -169,7 +171,12 @@ def mixture(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None
     # Seats are blocks; a source's blocks may differ in size from another's, so seats come from the tokens.
     wanted, per_seat = entries.agg(F.sum("target_share"), F.sum(F.col("target_share") / F.col("mean"))).first()
     seats = round(per_seat / wanted * total) if wanted else 0
-    quotas = apportion(entries, seats).join(entries.select("source", "max_repeats"), "source")
+    if few:
+        rows = sorted(entries.select("source", "weight", "most").collect())  # at most BROADCAST_TARGETS rows
+        quotas = spark.createDataFrame(list(zip([r[0] for r in rows], sainte_lague([r[1] for r in rows], [r[2] for r in rows], seats))), "source string, quota bigint")
+    else:
+        quotas = apportion(entries, seats)
+    quotas = quotas.join(entries.select("source", "max_repeats"), "source")
     quota = stock.select("source", "shard", "blocks").join(quotas, "source").repartition("source").sortWithinPartitions("source", "shard")
     quota = cut(quota.mapInPandas(_split, "source string, shard int, blocks bigint, quota bigint"), "quota")
     chosen = run.select("source", "shard", "block").distinct().join(quota, ["source", "shard"])

@@ -57,7 +57,7 @@ def test_more_targets_than_are_broadcast(spark):
 
 
 @pytest.mark.skipif(not os.path.exists(TOKENIZER), reason="needs the tokenizer's file")
-def test_shares_repeats_and_odd_rows(spark):
+def test_shares_repeats_and_odd_rows(spark, monkeypatch):
     text = "one two three four five six seven eight nine ten"
     rows = [(i, text, ("A", " a ", "a")[i % 3], "") for i in range(600)] + [(1000 + i, text, "b", "") for i in range(60)] + [(2000, None, "a", ""), (2001, "", "a", ""), (None, text, "a", ""), (2002, text, None, ""), (2003, text, "zz", "")]
     docs = spark.createDataFrame(rows, DOCS)
@@ -70,6 +70,9 @@ def test_shares_repeats_and_odd_rows(spark):
     assert len({r["doc_id"] for r in got}) == len(got)
     again = {(r["doc_id"], r["copies"]) for r in mixture(docs, targets, total_tokens=3000, block_tokens=20)[0].collect()}
     assert again == {(r["doc_id"], r["copies"]) for r in got}
+    monkeypatch.setattr("corpusloom.llm.mixing.BROADCAST_TARGETS", 1)
+    in_spark = {(r["doc_id"], r["copies"]) for r in mixture(docs, targets, total_tokens=3000, block_tokens=20)[0].collect()}
+    assert in_spark == again
     scarce = {r["source"]: r["mixed_tokens"] for r in mixture(docs, targets, total_tokens=100_000)[1].collect()}
     assert scarce["a"] == 6000 and scarce["b"] == 1800
     empty, none = mixture(docs.limit(0), targets)
