@@ -83,7 +83,9 @@ def _seats_down_to(w: np.ndarray, most: np.ndarray, quotient: float) -> np.ndarr
     """How many quotients of each entry are at least `quotient`."""
     with np.errstate(over="ignore", divide="ignore"):
         fit = np.minimum((w / quotient - 1) / 2, most)
-    return np.minimum(most, np.floor(fit).astype(np.int64) + 1).clip(0)
+    n = np.minimum(most, np.floor(fit).astype(np.int64) + 1).clip(0)
+    n -= (n > 0) & (w / (2.0 * n - 1) < quotient)  # rounding may be off by one
+    return n + ((n < most) & (w / (2.0 * n + 1) >= quotient))
 
 
 def apportion(entries: DataFrame, seats: int, name: str = "source") -> DataFrame:
@@ -100,7 +102,9 @@ def apportion(entries: DataFrame, seats: int, name: str = "source") -> DataFrame
 
     def held(quotient) -> Column:
         fit = F.floor(F.least((F.col("weight") / quotient - 1) / 2, F.col("most").cast("double"))).cast("bigint") + 1
-        return F.least(F.col("most"), F.greatest(F.lit(0), fit))
+        n = F.least(F.col("most"), F.greatest(F.lit(0), fit))
+        n = n - ((n > 0) & (F.col("weight") / (2 * n - 1) < quotient)).cast("int")  # rounding may be off by one
+        return n + ((n < F.col("most")) & (F.col("weight") / (2 * n + 1) >= quotient)).cast("int")
 
     own = cut(own, "entries")
     low, high = 0, int(np.float64(top * 2).view(np.int64))  # positive numbers are ordered like their bits
